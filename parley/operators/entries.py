@@ -82,6 +82,17 @@ def entry_columns(
     ]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter on an ordinary computed column is pushed below the projection and
+    takes a copy of the expression with it. Columns that come out of a generator
+    stay where they are, so an expensive expression is not evaluated twice.
+    """
+    boxed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(boxed))
+
+
 # --- column shorthands ------------------------------------------------------
 
 
@@ -234,9 +245,11 @@ def parse_entries(records: DataFrame, *, record: str = "record", meta_key: str =
 def entries_projection(records: DataFrame, record: str, meta_key: str, keep=()) -> DataFrame:
     """``parse_entries`` that also carries the columns named in ``keep``."""
     v = F.col("v")
-    parsed = records.select(
-        "entry_index", "source", F.try_parse_json(F.col(record)).alias("v"), *keep
-    ).select(
+    rows = records.select("entry_index", "source", F.col(record).alias("_text"), *[c for c in keep if c != record])
+    parsed = once(rows, v=F.try_parse_json(F.col("_text")))
+    if record in keep:
+        parsed = parsed.withColumn(record, F.col("_text"))
+    parsed = parsed.select(
         "entry_index",
         "source",
         F.try_variant_get(v, "$", "map<string,variant>").alias("top"),
@@ -271,7 +284,7 @@ def entries_projection(records: DataFrame, record: str, meta_key: str, keep=())
         F.col("top").isNotNull().alias("is_object"),
         F.transform("m", message_from_variant).alias("messages"),
         tags.alias("tags"),
-        F.when(F.exists(tags, lambda x: x.isNull()), F.transform("t", F.to_json)).alias("tags_raw"),
+        F.when(F.exists(tags, lambda x: x.isNull()), F.transform("t", lambda x: F.to_json(x))).alias("tags_raw"),
         meta.cast(META_TYPE).alias("meta"),
         F.coalesce(
             F.transform_values(extras, lambda _, x: F.to_json(x)),

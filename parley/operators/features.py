@@ -87,13 +87,13 @@ def from_entries(entries: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = entries.select(
+    rows = en.once(entries, u=sized("user"), a=sized("assistant")).select(
         "entry_index",
         en.entry_id().alias("entry_id"),
         F.size(en.messages_or_empty()).cast("long").alias("n_messages"),
         en.exchanges().alias("exchanges"),
-        sized("user").alias("u"),
-        sized("assistant").alias("a"),
+        "u",
+        "a",
         en.text_length().alias("text_chars"),
         en.system_prompt().alias("prompt"),
         en.clean_tags().alias("tags"),

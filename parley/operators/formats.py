@@ -28,6 +28,7 @@ from .entries import (
     entry_id,
     message,
     messages_or_empty,
+    once,
     parse_entries,
 )
 from .ordering import running_total
@@ -90,7 +91,7 @@ def detect_dataset_format(records: DataFrame, record: str = "record") -> DataFra
 def sharegpt_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """Records plus ``turns``: what a converter or analyzer needs of each turn."""
     v = F.try_parse_json(F.col(record))
-    parsed = records.withColumn("v", v).withColumn(
+    parsed = once(records, v=v).withColumn(
         "arr", F.try_variant_get(F.col("v"), "$.conversations", "array<variant>")
     )
 

@@ -413,12 +413,10 @@ def flagged_entries(features: DataFrame, structure_in: DataFrame, duplicate_entr
         )
         out.append(tagged("diversity", "unresolved_tag", unresolved))
     if mapped_uuids is not None:
-        out.append(
-            tagged(
-                "metadata_integrity", "unmapped",
-                features.join(mapped_uuids.select("entry_uuid"), "entry_uuid", "left_anti"),
-            )
-        )
+        # without any mapping the dimension does not apply
+        some = mapped_uuids.agg((F.count(F.lit(1)) > 0).alias("_some")).where("_some")
+        unmapped = features.join(mapped_uuids.select("entry_uuid"), "entry_uuid", "left_anti")
+        out.append(tagged("metadata_integrity", "unmapped", unmapped.crossJoin(F.broadcast(some))))
     rows = out[0]
     for part in out[1:]:
         rows = rows.unionByName(part)

@@ -30,6 +30,7 @@ from .entries import (
     entries_projection,
     entry_id,
     has_key,
+    once,
     with_fields,
 )
 from .formats import sharegpt_turns
@@ -231,15 +232,13 @@ def analyze_chatml(entries: DataFrame) -> DataFrame:
     noted = entries.withColumn("noted", F.expr(NOTED_MESSAGES)).withColumn(
         "names", F.expr("transform(noted, a -> a.key)")
     )
-    return _finish(
-        noted.withColumn("diagnostics", F.expr(chatml_diagnostics())).drop("noted", "names"), CHATML
-    )
+    return _finish(once(noted, diagnostics=F.expr(chatml_diagnostics())).drop("noted", "names"), CHATML)
 
 
 def analyze_base(entries: DataFrame) -> DataFrame:
     """Format-agnostic checks only."""
     return _finish(
-        entries.withColumn("diagnostics", F.expr(base_diagnostics(KNOWN_KEYS, strict=False))), "unknown"
+        once(entries, diagnostics=F.expr(base_diagnostics(KNOWN_KEYS, strict=False))), "unknown"
     )
 
 
@@ -326,13 +325,8 @@ def analyze_sharegpt(records: DataFrame, record: str = "record") -> DataFrame:
     """Records plus ``turns``, ``diagnostics``, ``format`` and ``is_valid``."""
     base = sharegpt_turns(records, record).drop("is_object")
     both = entries_projection(base, record, META_KEY, keep=("has_turns", "turns", record))
-    return _finish(
-        both.withColumn(
-            "diagnostics",
-            F.expr(f"concat({base_diagnostics(SHAREGPT_KNOWN_KEYS, strict=False)}, {sharegpt_diagnostics()})"),
-        ),
-        SHAREGPT,
-    )
+    found = F.expr(f"concat({base_diagnostics(SHAREGPT_KNOWN_KEYS, strict=False)}, {sharegpt_diagnostics()})")
+    return _finish(once(both, diagnostics=found), SHAREGPT)
 
 
 # --- reports over analyzed entries --------------------------------------------------------
@@ -376,34 +370,52 @@ def diagnostic_summary(analyzed: DataFrame, *, tag_faults_block: bool = True) ->
     )
 
 
-def auto_fix_groups(analyzed: DataFrame, samples: int = 5) -> DataFrame:
+def auto_fix_groups(analyzed: DataFrame, samples: int = 5, span: int = 100_000) -> DataFrame:
     """Automatic diagnostics by code, with the first few as samples.
 
-    Counts come from one partial aggregate. Samples are cut to ``samples`` per
-    code inside every partition-sized slice before the ranking shuffle, so a
-    code that half of all rows carry sends a handful of rows, not all of them.
+    Pass one counts by code and run of ``span`` entries, a partial aggregate of
+    numbers. The counts say how many runs hold the first ``samples`` findings of
+    each code; pass two reads only those entries and ranks what is left.
     """
-    rows = diagnostic_rows(analyzed).where(F.col("repair_kind") == "automatic")
-    counts = rows.groupBy("code").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.count_distinct("entry_index").alias("entries"),
-        F.min_by("severity", F.struct("entry_index", "pos")).alias("severity"),
-    )
+    auto = F.filter("diagnostics", lambda d: d["repair_kind"] == "automatic")
+    rows = analyzed.select("entry_index", F.posexplode(auto).alias("pos", "d"))
+    run = F.floor(F.col("entry_index") / span).alias("run")
+    per_entry = analyzed.select(
+        "entry_index",
+        F.explode(F.array_distinct(F.transform(auto, lambda d: F.struct(d["code"].alias("code"), d["severity"].alias("severity"))))).alias("c"),
+        F.transform(auto, lambda d: d["code"]).alias("all"),
+    )
+    found = per_entry.select(
+        "entry_index", "c.code", "c.severity",
+        F.size(F.filter("all", lambda x: x == F.col("c.code"))).alias("n"),
+    )
+    by_run = found.groupBy("code", run).agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("entries"),
+        F.min(F.struct("entry_index", "severity")).alias("first"),
+    )
+    upto = Window.partitionBy("code").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    needed = by_run.withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0))).where(
+        F.col("before") < samples
+    )
+    cut = needed.groupBy("code").agg(F.max("run").alias("last_run"))
     ranked = Window.partitionBy("code").orderBy("entry_index", "pos")
-    sliced = Window.partitionBy("code", "_slice").orderBy("entry_index", "pos")
     first = (
-        rows.withColumn("_slice", F.pmod(F.xxhash64("entry_index"), F.lit(256)))
-        .withColumn("_r", F.row_number().over(sliced))
-        .where(F.col("_r") <= samples)
+        rows.select("entry_index", "pos", "d.code", "d.path", "d.original_value", "d.normalized_value")
+        .join(F.broadcast(cut), "code")  # one row per repair code
+        .where(F.floor(F.col("entry_index") / span) <= F.col("last_run"))
         .withColumn("_r", F.row_number().over(ranked))
         .where(F.col("_r") <= samples)
         .groupBy("code")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct("entry_index", "pos", "original_value", "normalized_value"))
+                F.collect_list(F.struct("entry_index", "pos", "path", "original_value", "normalized_value"))
             ).alias("samples")
         )
     )
+    counts = by_run.groupBy("code").agg(
+        F.sum("count").alias("count"), F.sum("entries").alias("entries"),
+        F.min("first").getField("severity").alias("severity"),
+    )
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     return (
         counts.join(first, "code")

@@ -1,6 +1,6 @@
 """All named queries."""
 
-from . import catalog_entries  # noqa: F401
+from . import catalog_entries, catalog_quality, catalog_validate  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,10 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sqltext as sq
 from ..functions import text as tx
 from ..functions.constants import DATASET_EXTENSIONS, TRAINING_OBJECT_KEYS
-from ..operators.entries import entry_json
+from ..operators.entries import entry_json, once
 from ..operators.ordering import dense_index
 
 
@@ -55,10 +54,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     ``record`` is the text of a line that holds one JSON value, else NULL.
     """
     text = tx.strip(F.col("value"))
-    ok = F.try_parse_json(F.col("text")).isNotNull()
+    rows = lines.select("source", "line", text.alias("text")).where(F.col("text") != "")
+    ok = F.col("ok")
     return (
-        lines.select("source", "line", text.alias("text"))
-        .where(F.col("text") != "")
+        once(rows, ok=F.try_parse_json(F.col("text")).isNotNull())
         .select(
             "source", "line",
             F.when(ok, F.col("text")).alias("record"),
