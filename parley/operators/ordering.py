@@ -57,10 +57,10 @@ def dense_index(df: DataFrame, key: str, then=(), name: str = "entry_index", buc
     )
     order = Window.partitionBy("_bucket").orderBy(key, *then)
     return (
-        rows.withColumn("_pos", F.row_number().over(order))
+        rows.withColumn("_rank", F.row_number().over(order))
         .join(F.broadcast(base), "_bucket")
-        .withColumn(name, F.col("_base") + F.col("_pos") - 1)
-        .drop("_bucket", "_pos", "_base")
+        .withColumn(name, F.col("_base") + F.col("_rank") - 1)
+        .drop("_bucket", "_rank", "_base")
     )
 
 

@@ -1,6 +1,12 @@
 """All named queries."""
 
-from . import catalog_entries, catalog_quality, catalog_validate  # noqa: F401
+from . import (  # noqa: F401
+    catalog_entries,
+    catalog_mutate,
+    catalog_quality,
+    catalog_tags,
+    catalog_validate,
+)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
