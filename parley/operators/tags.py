@@ -21,6 +21,7 @@ from ..functions.constants import (
     RETIRED_ACTIONS,
     TAXONOMY,
 )
+from ..session import cut_lineage
 from . import entries as en
 from .normalize import tag_display_name
 
@@ -71,35 +72,29 @@ def alias_edges(lifecycle: DataFrame) -> DataFrame:
 def resolve_aliases(slugs: DataFrame, lifecycle: DataFrame, active: DataFrame, hops: int = MAX_ALIAS_HOPS) -> DataFrame:
     """``(slug, target, action)`` for slugs whose alias chain reaches an active tag.
 
-    Chains are shortened by pointer jumping over the alias table: each round
-    doubles the distance covered, so twenty hops take five joins of that table
-    with itself. A pointer stops at the first active target; hop counts end
-    cycles and chains that are too long. The used slugs join in once, at the end.
+    The walk runs over the alias table alone. Each round follows one more hop
+    for the slugs that have not arrived yet and writes that frontier to the
+    shared folder, so the plan stays flat; it ends when the frontier is empty,
+    which for a typical registry is after two or three rounds. Cycles never
+    arrive and are dropped at the hop limit. The used slugs join in at the end.
     """
     ends = active.select(F.col("slug").alias("target"), F.lit(True).alias("hit"))
-    step = (
+    edges = cut_lineage(
         alias_edges(lifecycle)
         .where(F.col("target") != "")
         .join(ends, "target", "left")
-        .select("slug", "target", "action", F.coalesce("hit", F.lit(False)).alias("done"), F.lit(1).alias("hops"))
+        .select("slug", "target", "action", F.coalesce("hit", F.lit(False)).alias("done"))
     )
-    reach = 1
-    while reach < hops:
-        nxt = step.select(
-            F.col("slug").alias("target"), F.col("target").alias("_t"), F.col("action").alias("_a"),
-            F.col("done").alias("_d"), F.col("hops").alias("_h"),
-        )
-        go = ~F.col("done") & F.col("_t").isNotNull()
-        step = step.join(nxt, "target", "left").select(
-            "slug",
-            F.when(go, F.col("_t")).otherwise(F.col("target")).alias("target"),
-            F.when(go, F.col("_a")).otherwise(F.col("action")).alias("action"),
-            F.when(go, F.col("_d")).otherwise(F.col("done")).alias("done"),
-            (F.col("hops") + F.when(go, F.col("_h")).otherwise(0)).alias("hops"),
-        )
-        reach *= 2
-    resolved = step.where(F.col("done") & (F.col("hops") <= hops)).select("slug", "target", "action")
-    return slugs.select("slug").join(resolved, "slug")
+    arrived = edges.where("done").select("slug", "target", "action")
+    frontier = edges.where(~F.col("done")).select("slug", "target")
+    nxt = edges.select(F.col("slug").alias("target"), F.col("target").alias("to"), "action", "done")
+    for _ in range(hops - 1):
+        if frontier.isEmpty():
+            break
+        moved = cut_lineage(frontier.join(nxt, "target").select("slug", F.col("to").alias("target"), "action", "done"))
+        arrived = arrived.unionByName(moved.where("done").select("slug", "target", "action"))
+        frontier = moved.where(~F.col("done")).select("slug", "target")
+    return slugs.select("slug").join(arrived, "slug")
 
 
 def resolve_tags(raw_tags: DataFrame, tags: DataFrame, categories: DataFrame, lifecycle: DataFrame) -> DataFrame:
@@ -173,7 +168,7 @@ def canonicalize_aliases(entries: DataFrame, resolved: DataFrame, *, max_map_row
     row looks up, so entries are not shuffled. A larger one is joined on the
     exploded tags, and only entries that change are put together again.
     """
-    rewrites = resolved.where("rewrite").select("tag", "resolved_slug")
+    rewrites = cut_lineage(resolved.where("rewrite").select("tag", "resolved_slug"))
     small = rewrites.limit(max_map_rows + 1).count() <= max_map_rows
     tags = en.clean_tags()
     if small:
@@ -222,7 +217,8 @@ def adopt_unknown_tags(entries: DataFrame, tags: DataFrame, categories: DataFram
 
     Returns ``(tags, lifecycle, counts)``.
     """
-    resolved = resolve_tags(raw_tags(entries), tags, categories, lifecycle)
+    # one row per distinct tag, read three times below
+    resolved = cut_lineage(resolve_tags(raw_tags(entries), tags, categories, lifecycle))
     new = resolved.where("create_archived").select("slug").distinct()
     known = resolved.where(F.col("slug") != "").select("slug", "result_type").distinct()
     new_tags = new.select(

@@ -183,7 +183,7 @@ def tags(spark, sf_dir) -> DataFrame:
 
 def lifecycle(spark, sf_dir) -> DataFrame:
     """Alias rows brand_k -> brand_{k+1} for k in 1..5, for brands that exist,
-    and one delete row per unknown slug that ends in ``n``."""
+    and a delete row for unknown slugs of even length that end in ``e``."""
     universe = slug_universe(spark, sf_dir)
     number = F.regexp_extract("slug", r"^brand_(\d)$", 1)
     alias = universe.where(number.isin("1", "2", "3", "4", "5")).select(
@@ -191,7 +191,7 @@ def lifecycle(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("brand_"), (number.cast("int") + 1).cast("string")).alias("new_slug"),
         F.lit("{}").alias("metadata_json"),
     )
-    gone = universe.where((_third() == 2) & F.col("slug").endswith("n")).select(
+    gone = universe.where((_third() == 2) & F.col("slug").endswith("e") & (F.length("slug") % 2 == 0)).select(
         F.lit(100).cast("long").alias("id"), F.lit("delete").alias("action"), F.col("slug").alias("old_slug"),
         F.lit(None).cast("string").alias("new_slug"), F.lit("{}").alias("metadata_json"),
     )

@@ -131,7 +131,7 @@ CTES = {
     ),
     "resolved": (
         "SELECT u.tag, u.slug, CASE WHEN r.status = 'active' THEN 'active' WHEN c.target IS NOT NULL THEN 'alias_mapped' "
-        "WHEN r.status = 'archived' THEN 'archived' WHEN t.k = 2 AND u.slug LIKE '%n' THEN 'retired' ELSE 'unknown' END AS kind, "
+        "WHEN r.status = 'archived' THEN 'archived' WHEN t.k = 2 AND u.slug LIKE '%e' AND length(u.slug) % 2 = 0 THEN 'retired' ELSE 'unknown' END AS kind, "
         "CASE WHEN coalesce(r.status, '') <> 'active' AND c.target IS NOT NULL THEN c.target ELSE u.slug END AS resolved "
         f"FROM (SELECT DISTINCT tag, {slug('tag')} AS slug FROM tagrows) u LEFT JOIN reg r ON r.slug = u.slug "
         "LEFT JOIN chain c ON c.slug = u.slug LEFT JOIN third t ON t.slug = u.slug"

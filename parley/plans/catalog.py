@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     catalog_entries,
+    catalog_files,
     catalog_mutate,
     catalog_quality,
     catalog_tags,

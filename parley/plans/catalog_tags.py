@@ -76,7 +76,7 @@ def adopt_counts(spark, sf):
 
 
 @query("latest_metadata", sql(
-    "SELECT slug, 'delete' AS action FROM third WHERE k = 2 AND slug LIKE '%n'", "third"))
+    "SELECT slug, 'delete' AS action FROM third WHERE k = 2 AND slug LIKE '%e' AND length(slug) % 2 = 0", "third"))
 def latest_metadata(spark, sf):
     return tg.latest_metadata(ad.lifecycle(spark, sf)).select("slug", "action")
 
