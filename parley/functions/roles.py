@@ -1,25 +1,15 @@
-"""Role spellings as CASE expressions (hash-set membership, no map scan)."""
+"""Role spellings looked up in one constant map."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import (
-    ASSISTANT_SPELLINGS,
-    SHAREGPT_ROLE_OF,
-    SYSTEM_SPELLINGS,
-    USER_SPELLINGS,
-)
+from .sqltext import ROLE_MAP, SHAREGPT_MAP
 from .text import strip
 
 
 def standard_role(role: Column) -> Column:
     """user / assistant / system for a known spelling, otherwise NULL."""
-    key = F.lower(strip(role))
-    return (
-        F.when(key.isin(*USER_SPELLINGS), "user")
-        .when(key.isin(*ASSISTANT_SPELLINGS), "assistant")
-        .when(key.isin(*SYSTEM_SPELLINGS), "system")
-    )
+    return F.try_element_at(F.expr(ROLE_MAP), F.lower(strip(role)))
 
 
 def normalize_role(role: Column) -> Column:
@@ -38,8 +28,4 @@ def expected_role(index: Column) -> Column:
 
 def sharegpt_role(role: Column) -> Column:
     """human / gpt / system for a known spelling, otherwise NULL."""
-    std = standard_role(role)
-    out = F.when(std == "system", SHAREGPT_ROLE_OF["system"])
-    for name in ("user", "assistant"):
-        out = out.when(std == name, SHAREGPT_ROLE_OF[name])
-    return out
+    return F.try_element_at(F.expr(SHAREGPT_MAP), F.lower(strip(role)))

@@ -6,6 +6,7 @@ parsed once in the JVM instead of being assembled call by call from Python.
 
 from .constants import (
     ASSISTANT_SPELLINGS,
+    SHAREGPT_ROLE_OF,
     SYSTEM_SPELLINGS,
     USER_SPELLINGS,
     WHITESPACE,
@@ -42,13 +43,22 @@ def casefold(x: str) -> str:
     return out
 
 
+_SPELLINGS = {
+    "user": USER_SPELLINGS, "assistant": ASSISTANT_SPELLINGS, "system": SYSTEM_SPELLINGS,
+}
+
+
+def _spelling_map(names: dict) -> str:
+    pairs = [f"{lit(word)}, {lit(names[role])}" for role, words in _SPELLINGS.items() for word in words]
+    return f"map({', '.join(pairs)})"
+
+
+ROLE_MAP = _spelling_map({role: role for role in _SPELLINGS})
+SHAREGPT_MAP = _spelling_map(SHAREGPT_ROLE_OF)
+
+
 def standard_role(x: str) -> str:
-    key = f"lower({strip(x)})"
-    return (
-        f"CASE WHEN {key} IN ({_list(USER_SPELLINGS)}) THEN 'user' "
-        f"WHEN {key} IN ({_list(ASSISTANT_SPELLINGS)}) THEN 'assistant' "
-        f"WHEN {key} IN ({_list(SYSTEM_SPELLINGS)}) THEN 'system' END"
-    )
+    return f"try_element_at({ROLE_MAP}, lower({strip(x)}))"
 
 
 def sharegpt_role(std: str) -> str:

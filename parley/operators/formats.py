@@ -34,6 +34,11 @@ from .entries import (
 from .ordering import running_total
 
 
+TURN_TYPE = (
+    "struct<is_obj:boolean,role_key:string,role:string,content_key:string,content:string,raw:string>"
+)
+
+
 def _text_of(v: Column) -> Column:
     """Text of a variant value: strings as they are, others as JSON text."""
     return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
@@ -127,40 +132,48 @@ def sharegpt_to_chatml(
     meta_key: str = META_KEY,
 ) -> DataFrame:
     """Entries from ShareGPT records, with ``warnings ARRAY<STRING>``."""
-    base = sharegpt_turns(records, record)
-    turns = F.coalesce(F.col("turns"), F.expr("cast(array() as array<struct<is_obj:boolean,role_key:string,role:string,content_key:string,content:string,raw:string>>)"))
-    usable = F.filter(turns, lambda t: t["is_obj"] & t["role"].isNotNull())
-    system_parts = F.transform(
-        F.filter(usable, lambda t: standard_role(t["role"]).eqNullSafe("system")),
-        lambda t: F.coalesce(t["content"], F.lit("")),
+    no_turns = f"cast(array() as array<{TURN_TYPE}>)"
+    noted = F.transform(
+        F.coalesce(F.col("turns"), F.expr(no_turns)),
+        lambda t, i: F.struct(t.alias("t"), i.alias("i"), standard_role(t["role"]).alias("std")),
     )
-    joined = F.array_join(F.filter(system_parts, lambda p: ~tx.is_blank(p)), "\n\n")
+    base = sharegpt_turns(records, record).withColumn("noted", noted)
+    base = base.withColumn("usable", F.filter("noted", lambda a: a["t"]["is_obj"] & a["t"]["role"].isNotNull()))
+    base = base.withColumn(
+        "system_parts",
+        F.transform(
+            F.filter("usable", lambda a: a["std"].eqNullSafe("system")),
+            lambda a: F.coalesce(a["t"]["content"], F.lit("")),
+        ),
+    ).withColumn("joined", F.array_join(F.filter("system_parts", lambda p: ~tx.is_blank(p)), "\n\n"))
+    turns, system_parts, joined = F.col("noted"), F.col("system_parts"), F.col("joined")
     system_content = F.when(tx.is_blank(joined), default_system_prompt).otherwise(joined)
-    others = F.filter(usable, lambda t: ~standard_role(t["role"]).eqNullSafe("system"))
+    others = F.filter("usable", lambda a: ~a["std"].eqNullSafe("system"))
     messages = F.concat(
         F.array(message(F.lit("system"), system_content)),
         F.transform(
             others,
-            lambda t: message(
-                F.coalesce(standard_role(t["role"]), t["role"]),
-                F.coalesce(t["content"], F.lit("")),
+            lambda a: message(
+                F.coalesce(a["std"], a["t"]["role"]), F.coalesce(a["t"]["content"], F.lit(""))
             ),
         ),
     )
     per_turn = F.flatten(
         F.transform(
             turns,
-            lambda t, i: F.when(
-                ~t["is_obj"], F.array(_numbered(i, "Turn ", ": not an object"))
+            lambda a: F.when(
+                ~a["t"]["is_obj"], F.array(_numbered(a["i"], "Turn ", ": not an object"))
             )
-            .when(t["role"].isNull(), F.array(_numbered(i, "Turn ", ": no role field")))
+            .when(a["t"]["role"].isNull(), F.array(_numbered(a["i"], "Turn ", ": no role field")))
             .otherwise(
                 F.array_compact(
                     F.array(
-                        F.when(t["content"].isNull(), _numbered(i, "Turn ", ": no content field")),
+                        F.when(a["t"]["content"].isNull(), _numbered(a["i"], "Turn ", ": no content field")),
                         F.when(
-                            standard_role(t["role"]).isNull(),
-                            F.concat(_numbered(i, "Turn ", ": role '"), t["role"], F.lit("' needs mapping")),
+                            a["std"].isNull(),
+                            F.concat(
+                                _numbered(a["i"], "Turn ", ": role '"), a["t"]["role"], F.lit("' needs mapping")
+                            ),
                         ),
                     )
                 )
@@ -238,43 +251,46 @@ def conversion_summary(converted: DataFrame) -> DataFrame:
 
 def chatml_to_sharegpt(entries: DataFrame, *, import_prompt: str = IMPORT_SYSTEM_PROMPT) -> DataFrame:
     """ShareGPT turns ``conversations ARRAY<STRUCT<from,value>>`` and warnings."""
-    messages = messages_or_empty()
-
-    def role_text(m):
-        return F.coalesce(m["role"], F.get_json_object(m["other"], "$.role"))
-
-    def content_text(m):
-        return F.coalesce(m["content"], F.get_json_object(m["other"], "$.content"), F.lit(""))
-
+    field = lambda m, name: F.coalesce(m[name], F.get_json_object(m["other"], f"$.{name}"))
+    first = F.transform(
+        messages_or_empty(),
+        lambda m, i: F.struct(
+            m.alias("m"), i.alias("i"), field(m, "role").alias("role"), field(m, "content").alias("content")
+        ),
+    )
+    noted = F.transform(
+        "noted",
+        lambda a: F.struct(
+            a["m"].alias("m"), a["i"].alias("i"), a["role"].alias("role"), a["content"].alias("content"),
+            sharegpt_role(a["role"]).alias("to"),
+        ),
+    )
+    rows = entries.withColumn("noted", first).withColumn("noted", noted)
     kept = F.filter(
-        messages,
-        lambda m: m["is_obj"]
-        & sharegpt_role(role_text(m)).isNotNull()
-        & ~(m["role"].eqNullSafe("system") & (content_text(m) == import_prompt)),
+        "noted",
+        lambda a: a["m"]["is_obj"]
+        & a["to"].isNotNull()
+        & ~(a["m"]["role"].eqNullSafe("system") & (F.coalesce(a["content"], F.lit("")) == import_prompt)),
     )
     turns = F.transform(
         kept,
-        lambda m: F.struct(
-            sharegpt_role(role_text(m)).alias("from"), content_text(m).alias("value")
-        ),
+        lambda a: F.struct(a["to"].alias("from"), F.coalesce(a["content"], F.lit("")).alias("value")),
     )
+    messages = F.col("noted")
     per_message = F.flatten(
         F.transform(
-            messages,
-            lambda m, i: F.when(
-                ~m["is_obj"], F.array(_numbered(i, "Message ", ": not an object"))
+            "noted",
+            lambda a: F.when(
+                ~a["m"]["is_obj"], F.array(_numbered(a["i"], "Message ", ": not an object"))
             )
-            .when(role_text(m).isNull(), F.array(_numbered(i, "Message ", ": no role field")))
+            .when(a["role"].isNull(), F.array(_numbered(a["i"], "Message ", ": no role field")))
             .otherwise(
                 F.array_compact(
                     F.array(
+                        F.when(a["content"].isNull(), _numbered(a["i"], "Message ", ": no content field")),
                         F.when(
-                            m["content"].isNull() & F.get_json_object(m["other"], "$.content").isNull(),
-                            _numbered(i, "Message ", ": no content field"),
-                        ),
-                        F.when(
-                            sharegpt_role(role_text(m)).isNull(),
-                            F.concat(_numbered(i, "Message ", ": unknown role '"), role_text(m), F.lit("'")),
+                            a["to"].isNull(),
+                            F.concat(_numbered(a["i"], "Message ", ": unknown role '"), a["role"], F.lit("'")),
                         ),
                     )
                 )
@@ -290,7 +306,7 @@ def chatml_to_sharegpt(entries: DataFrame, *, import_prompt: str = IMPORT_SYSTEM
         ),
         per_message,
     )
-    return entries.withColumn("conversations", turns).withColumn("warnings", warnings)
+    return rows.withColumn("conversations", turns).withColumn("warnings", warnings).drop("noted")
 
 
 def custom_role_turns(entries: DataFrame) -> DataFrame:

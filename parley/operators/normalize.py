@@ -50,10 +50,6 @@ def changed_between(before: Column, after: Column, field: str) -> Column:
     )
 
 
-def _count_list(cond: Column, n: Column) -> Column:
-    return F.when(cond, n).otherwise(0)
-
-
 def normalize_roles(entries: DataFrame) -> DataFrame:
     """Positional role repair, with ``roles_normalized`` per entry."""
     out = entries.withColumn("_m", positional_messages(F.col("messages")))
@@ -88,41 +84,35 @@ def normalize_baseline(entries: DataFrame) -> DataFrame:
     columns: ``roles_normalized, contents_trimmed, tags_changed,
     tags_added, structural_changed, dropped_tags, changed``.
     """
-    tags = F.col("tags")
+    tags, stripped, clean = F.col("tags"), F.col("_s"), F.col("_c")
     not_list = tags.isNull() & F.map_contains_key("extras", F.lit("tags"))
-    stripped = F.transform(tags, tx.strip)
-    clean = F.array_distinct(F.filter(stripped, lambda t: t.isNotNull() & (t != "")))
+    rows = entries.withColumn("_s", F.transform(tags, tx.strip)).withColumn(
+        "_c", F.array_distinct(F.filter("_s", lambda t: t.isNotNull() & (t != "")))
+    )
     bad = F.size(F.filter(stripped, lambda t: t.isNull() | (t == "")))
-    firsts = F.size(clean)
-    valid = F.size(tags) - bad
     # a kept tag counts as changed when its first occurrence was padded
     padded = F.size(
         F.filter(
-            F.transform(
-                tags,
-                lambda t, i: (tx.strip(t) != "")
-                & (t != tx.strip(t))
-                & (F.array_position(stripped, tx.strip(t)) == i + 1),
-            ),
-            lambda x: F.coalesce(x, F.lit(False)),
+            F.arrays_zip(tags.alias("t"), stripped.alias("s")),
+            lambda z: F.coalesce((z["s"] != "") & (z["t"] != z["s"]), F.lit(False)),
         )
     )
+    repeats = F.size(tags) - bad - F.size(clean)
+    padded_repeats = _later_changed(F.arrays_zip(tags.alias("t"), stripped.alias("s")), stripped)
     dropped = F.array_compact(
         F.transform(
             tags,
-            lambda t, i: F.when(t.isNull(), F.get("tags_raw", i)).when(
-                tx.strip(t) == "", t
-            ),
+            lambda t, i: F.when(t.isNull(), F.get("tags_raw", i)).when(F.get(stripped, i) == "", t),
         )
     )
     obj = F.col("is_object")
     out = (
-        entries.withColumn("_m", normalized_messages(F.col("messages")))
+        rows.withColumn("_m", normalized_messages(F.col("messages")))
         .withColumn("_t", F.when(obj, F.coalesce(clean, empty_strings())).otherwise(tags))
         .withColumn(
             "tags_changed",
             F.when(~obj, 0)
-            .when(tags.isNotNull(), bad + (valid - firsts) + padded)
+            .when(tags.isNotNull(), bad + repeats + padded - padded_repeats)
             .otherwise(not_list.cast("int")),
         )
         .withColumn("tags_added", (obj & tags.isNull() & ~not_list).cast("int"))
@@ -139,8 +129,18 @@ def normalize_baseline(entries: DataFrame) -> DataFrame:
         .withColumn("tags", F.col("_t"))
         .withColumn("tags_raw", F.lit(None).cast("array<string>"))
         .withColumn("extras", F.when(obj, _without_key("tags")).otherwise(F.col("extras")))
-        .drop("_t")
+        .drop("_t", "_s", "_c")
+    )
+
+
+def _later_changed(pairs: Column, keys: Column) -> Column:
+    """Changed items that repeat an earlier key; the repeat itself is counted
+    elsewhere, so these are taken off again."""
+    flags = F.transform(
+        pairs,
+        lambda z, i: (z["s"] != "") & (z["t"] != z["s"]) & (F.array_position(keys, z["s"]) < i + 1),
     )
+    return F.size(F.filter(flags, lambda x: F.coalesce(x, F.lit(False))))
 
 
 def tag_slugs(tags: Column) -> Column:
@@ -155,25 +155,16 @@ def tag_display_name(slug: Column) -> Column:
 def normalize_tags(entries: DataFrame) -> DataFrame:
     """Tag lists as slugs; counters ``slug_changed_tags``, ``slug_dropped``,
     ``slug_added`` and flag ``slug_changed``."""
-    tags = F.col("tags")
-    slugs = F.transform(tags, tx.slug)
-    clean = tag_slugs(tags)
-    empties = F.size(F.filter(slugs, lambda s: s == ""))
-    repeats = F.size(tags) - empties - F.size(clean)
-    rewritten = F.size(
-        F.filter(
-            F.transform(
-                tags,
-                lambda t, i: (tx.slug(t) != "")
-                & ~t.eqNullSafe(tx.slug(t))
-                & (F.array_position(slugs, tx.slug(t)) == i + 1),
-            ),
-            lambda x: x,
-        )
+    tags, slugs, obj = F.col("tags"), F.col("_s"), F.col("is_object")
+    rows = entries.withColumn("_s", F.transform(tags, tx.slug)).withColumn(
+        "_c", F.array_distinct(F.filter("_s", lambda x: x != ""))
     )
-    obj = F.col("is_object")
+    pairs = F.arrays_zip(F.transform(tags, lambda t: F.coalesce(t, F.lit(""))).alias("t"), slugs.alias("s"))
+    empties = F.size(F.filter(slugs, lambda x: x == ""))
+    repeats = F.size(tags) - empties - F.size("_c")
+    rewritten = F.size(F.filter(pairs, lambda z: (z["s"] != "") & (z["t"] != z["s"]))) - _later_changed(pairs, slugs)
     return (
-        entries.withColumn("_t", F.when(obj, F.coalesce(clean, empty_strings())).otherwise(tags))
+        rows.withColumn("_t", F.when(obj, F.coalesce("_c", empty_strings())).otherwise(tags))
         .withColumn("slug_changed_tags", F.when(tags.isNull(), 0).otherwise(empties + repeats + rewritten))
         .withColumn("slug_dropped", F.when(tags.isNull(), 0).otherwise(empties))
         .withColumn("slug_added", (obj & tags.isNull()).cast("int"))
@@ -181,7 +172,7 @@ def normalize_tags(entries: DataFrame) -> DataFrame:
         .withColumn("tags", F.col("_t"))
         .withColumn("tags_raw", F.lit(None).cast("array<string>"))
         .withColumn("extras", F.when(obj, _without_key("tags")).otherwise(F.col("extras")))
-        .drop("_t")
+        .drop("_t", "_s", "_c")
     )
 
 

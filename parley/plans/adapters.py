@@ -100,14 +100,18 @@ def records(spark, sf_dir) -> DataFrame:
     """``(entry_index, source, record)``: JSON text of dirty entries, with one
     kind of fault per ``entry_index % 10``."""
     rows = with_part_tags(entries_dirty(spark, sf_dir), spark, sf_dir)
-    text = en.entry_json()
-    k = F.col("entry_index") % 10
-    body = F.substr(text, F.lit(2), F.length(text) - 2)
-    messages = F.substring_index(body, ',"tags":', 1)
     turns = F.transform(
         "messages", lambda m: F.struct(m["role"].alias("from"), m["content"].alias("value"))
     )
-    share = F.substr(F.to_json(F.struct(turns.alias("conversations"))), F.lit(2), F.lit(1 << 30))
+    rows = (
+        rows.withColumn("text", en.entry_json())
+        .withColumn("body", F.substr("text", F.lit(2), F.length("text") - 2))
+        .withColumn("head", F.substring_index("body", ',"tags":', 1))
+        .withColumn("share", F.to_json(F.struct(turns.alias("conversations"))))
+    )
+    text, messages = F.col("text"), F.col("head")
+    share = F.substr("share", F.lit(2))
+    k = F.col("entry_index") % 10
     wrap = lambda *parts: F.concat(F.lit("{"), *parts, F.lit("}"))
     record = (
         F.when(k == 0, wrap(messages))

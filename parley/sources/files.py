@@ -37,11 +37,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "value",
     )
     blocks = raw.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
-    earlier = blocks.select("source", F.col("block").alias("b"), F.col("n").alias("m"))
+    earlier = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("n").alias("_n"))
     offsets = (
-        blocks.join(earlier, (blocks["source"] == earlier["source"]) & (earlier["b"] < blocks["block"]), "left")
-        .groupBy(blocks["source"], blocks["block"], blocks["first"])
-        .agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
+        blocks.join(earlier, (F.col("source") == F.col("_s")) & (F.col("_b") < F.col("block")), "left")
+        .groupBy("source", "block", "first")
+        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("offset"))
     )
     return raw.join(offsets, ["source", "block"]).select(
         "source", (F.col("mid") - F.col("first") + F.col("offset") + 1).alias("line"), "value"

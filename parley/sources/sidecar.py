@@ -73,6 +73,18 @@ def _mapping_fault(x: Column) -> Column:
     )
 
 
+def _checker(name: str):
+    """Fault test of one kind of item; a one-argument function, as Spark calls
+    two-argument ones with the index."""
+    if name == "entry_character_mappings":
+        return _mapping_fault
+    return lambda x: _item_fault(x, name)
+
+
+def _labelled(name: str):
+    return lambda fault: F.concat(F.lit(f"{name}: "), fault)
+
+
 def parse_sidecars(docs: DataFrame) -> DataFrame:
     """``(source, v, errors)`` from ``(source, value)`` documents.
 
@@ -98,12 +110,7 @@ def parse_sidecars(docs: DataFrame) -> DataFrame:
     for name in (*ITEM_RULES, "entry_character_mappings"):
         arr = _get(v, name, "array<variant>")
         lists.append(F.when(_get(v, name).isNotNull() & arr.isNull(), F.lit(name)))
-        fault = _mapping_fault if name == "entry_character_mappings" else (lambda x, n=name: _item_fault(x, n))
-        items.append(
-            F.transform(
-                F.array_compact(F.transform(arr, fault)), lambda f, n=name: F.concat(F.lit(f"{n}: "), f)
-            )
-        )
+        items.append(F.transform(F.array_compact(F.transform(arr, _checker(name))), _labelled(name)))
     nothing = F.array().cast("array<string>")
     errors = F.concat(
         F.array_compact(F.array(*header, *lists)), *[F.coalesce(i, nothing) for i in items]
