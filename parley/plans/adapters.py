@@ -125,7 +125,7 @@ def records(spark, sf_dir) -> DataFrame:
         .when(k == 8, F.concat(F.lit("{"), messages))
         .otherwise(text)
     )
-    return rows.select("entry_index", F.lit("table").alias("source"), record.alias("record"))
+    return en.once(rows, record=record).select("entry_index", F.lit("table").alias("source"), "record")
 
 
 def sharegpt_records(spark, sf_dir) -> DataFrame:
@@ -136,7 +136,7 @@ def sharegpt_records(spark, sf_dir) -> DataFrame:
     )
     k = F.col("entry_index") % 3
     record = F.when(k == 0, pick("from", "value")).when(k == 1, pick("role", "content")).otherwise(pick("speaker", "text"))
-    return rows.select("entry_index", F.lit("table").alias("source"), record.alias("record"))
+    return en.once(rows, record=record).select("entry_index", F.lit("table").alias("source"), "record")
 
 
 # --- registry ------------------------------------------------------------------------

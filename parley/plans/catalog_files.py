@@ -244,14 +244,20 @@ def _document(spark, sf):
     return sidecar.build_sidecar(dataset, _side_frames(spark, sf), _usage(spark, sf), exported_at="2024-01-01T00:00:00Z")
 
 
+def _written_sidecar(spark, sf):
+    """The document written to the shared folder and read back."""
+    path = scratch_path(spark, "sidecar")
+    _document(spark, sf).write.text(path)
+    return sidecar.sidecar_frames(sidecar.read_sidecars(spark, path))
+
+
 @query("sidecar_round_trip", sql(
     "SELECT 'tags' AS part, slug FROM reg WHERE slug IN (SELECT slug FROM used) UNION ALL SELECT 'characters', slug FROM (SELECT DISTINCT slug FROM maps) UNION ALL "
     "SELECT 'mappings', u || '#' || i FROM maps UNION ALL SELECT 'aliases', old_slug FROM alias WHERE old_slug IN (SELECT slug FROM used) OR new_slug IN (SELECT slug FROM used)",
     "reg", "resolved", "alias", "maps", used=USED))
 def sidecar_round_trip(spark, sf):
     """Build the sidecar document, parse and validate it, list its contents."""
-    parsed = sidecar.parse_sidecars(_document(spark, sf).select(F.lit("doc").alias("source"), "value"))
-    f = sidecar.sidecar_frames(parsed)
+    f = _written_sidecar(spark, sf)
     part = lambda name, col: f[name].select(F.lit(name).alias("part"), col.alias("slug"))
     return (
         part("tags", F.col("slug")).unionByName(part("characters", F.col("slug")))
@@ -322,9 +328,7 @@ def import_registry(spark, sf):
     "SELECT 'tags', (SELECT count(*) FROM mine) + (SELECT count(*) FROM judged WHERE outcome = 'created') UNION ALL "
     "SELECT 'characters', count(DISTINCT slug) FROM people UNION ALL SELECT 'mappings', count(*) FROM maps", "judged", "mine", "people", "maps", "resolved", used=USED))
 def import_registry_rows(spark, sf):
-    side = sidecar.sidecar_frames(
-        sidecar.parse_sidecars(_document(spark, sf).select(F.lit("doc").alias("source"), "value"))
-    )
+    side = _written_sidecar(spark, sf)
     same = ad.table(spark, sf, "conversations").agg(F.lit("dataset-1").alias("dataset_uuid"))
     out, _ = rg.import_registry(_other_registry(spark, sf), side, entries_uuid=same, entry_uuids=_uuids(spark, sf))
     rows = None

@@ -102,8 +102,8 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     record. Faulty files give one error and no records. Files of kind ``lines``
     are left to the line reader.
     """
-    kinds = docs.withColumn("kind", document_kind(F.col("source"), F.col("value"))).withColumn(
-        "v", F.try_parse_json(tx.strip(F.col("value")))
+    kinds = once(
+        docs, v=F.try_parse_json(tx.strip(F.col("value"))), kind=document_kind(F.col("source"), F.col("value"))
     )
     items = F.try_variant_get(F.col("v"), "$", "array<variant>")
     is_obj = lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull()

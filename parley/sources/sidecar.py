@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.entries import once
+
 # --- fixed values: document header ---------------------------------------------
 KIND = "dataset_registry"
 SCHEMA_VERSION = 1
@@ -91,7 +93,7 @@ def parse_sidecars(docs: DataFrame) -> DataFrame:
     ``errors`` lists every violation; a document with any is not used.
     """
     v = F.col("v")
-    parsed = docs.select("source", F.try_parse_json(F.col("value")).alias("v"))
+    parsed = once(docs.select("source", "value"), v=F.try_parse_json(F.col("value"))).select("source", "v")
     header = [
         F.when(F.try_variant_get(v, "$", "map<string,variant>").isNull(), F.lit("document is not an object")),
         F.when(~_is_object(v, "metadata"), F.lit("metadata")),
@@ -115,7 +117,7 @@ def parse_sidecars(docs: DataFrame) -> DataFrame:
     errors = F.concat(
         F.array_compact(F.array(*header, *lists)), *[F.coalesce(i, nothing) for i in items]
     )
-    return parsed.select("source", "v", errors.alias("errors"))
+    return once(parsed, errors=errors)
 
 
 def sidecar_frames(parsed: DataFrame) -> dict:
