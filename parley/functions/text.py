@@ -41,9 +41,22 @@ def word_count(col: Column) -> Column:
 
 
 def word_set(col: Column) -> Column:
-    """Distinct lower-cased words, in order of first appearance."""
-    words = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
-    return F.array_distinct(F.transform(words, F.lower))
+    """Distinct lower-cased words, in order of first appearance.
+
+    The text is lower-cased as a whole; only where a capital's lower case
+    depends on its neighbours or has two code points are the words lower-cased
+    one by one.
+    """
+    text = F.coalesce(col, F.lit(""))
+    find = lambda x: F.regexp_extract_all(x, F.lit(WORD_PATTERN), F.lit(0))
+    special = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u03a3"))
+    words = F.when(special, F.transform(find(text), F.lower)).otherwise(find(F.lower(text)))
+    return F.array_distinct(words)
+
+
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def contains_any(col: Column, phrases) -> Column:

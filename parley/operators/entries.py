@@ -182,7 +182,7 @@ def turns_to_entries(
             tx.strip(F.col(text)).alias("content"),
         ).alias("t"),
     ).where(F.coalesce(F.col("t.content"), F.lit("")) != "")
-    grouped = body.groupBy("entry_index").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    grouped = body.groupBy("entry_index").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     messages = F.transform("ts", lambda t: message(t["role"], t["content"]))
     if system_prompt_text is not None:
         first = F.element_at("ts", 1)["role"]

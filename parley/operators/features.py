@@ -22,11 +22,15 @@ FEATURES = (
 )
 
 
-def is_placeholder(content: Column, words: Column) -> Column:
-    form = tx.search_form(content)
+def placeholder_form(form: Column, words: Column) -> Column:
+    """Placeholder test on text that is already in comparison form."""
     return (form != "") & ((words == 1) | tx.contains_any(form, PLACEHOLDER_PHRASES))
 
 
+def is_placeholder(content: Column, words: Column) -> Column:
+    return tx.bind(tx.search_form(content), lambda form: placeholder_form(form, words))
+
+
 def prompt_key(prompt: Column) -> Column:
     """Short hash of a normalized prompt, NULL when it is blank."""
     form = tx.search_form(prompt)
@@ -78,12 +82,19 @@ def from_turns(turns: DataFrame) -> DataFrame:
 def from_entries(entries: DataFrame) -> DataFrame:
     """The same features from nested entries, plus id, tags and stamps."""
     def sized(role):
-        return F.transform(
+        noted = F.transform(
             en.role_contents(role),
             lambda c: F.struct(
-                F.length(c).alias("chars"),
-                tx.word_count(c).alias("words"),
-                is_placeholder(c, tx.word_count(c)).alias("placeholder"),
+                F.length(c).alias("chars"), tx.word_count(c).alias("words"), tx.search_form(c).alias("form")
+            ),
+        )
+        if role == "user":
+            return F.transform(noted, lambda x: F.struct(x["chars"].alias("chars"), x["words"].alias("words")))
+        return F.transform(
+            noted,
+            lambda x: F.struct(
+                x["chars"].alias("chars"), x["words"].alias("words"),
+                placeholder_form(x["form"], x["words"]).alias("placeholder"),
             ),
         )
 

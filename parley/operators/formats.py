@@ -342,7 +342,7 @@ def custom_role_pattern(custom_turns: DataFrame) -> DataFrame:
     few = labels.crossJoin(F.broadcast(n_labels)).where(F.col("n_labels").isin(2, 3))
     order = few.agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("first_at", "label", "n"))),
+            F.sort_array(F.collect_list(F.struct("first_at", "label", "n"))),
             lambda s: F.struct(s["label"].alias("label"), s["n"].alias("n")),
         ).alias("labels")
     ).where(F.size("labels") >= 2)

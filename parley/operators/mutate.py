@@ -67,7 +67,7 @@ def merge_dedupe(stacked: DataFrame, *, salt: int = 64) -> DataFrame:
     )
     union_tags = tag_places.groupBy("key").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]
+            F.sort_array(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]
         ).alias("all_tags")
     )
     chosen = firsts.select("key", "copies", "place.file_order", "place.entry_index")
@@ -210,7 +210,7 @@ def split_entries(entries: DataFrame, requests: DataFrame, mappings: DataFrame |
     """
     keyed = entries.withColumn("entry_id", en.entry_id())
     todo = keyed.join(requests.select("entry_id", "split_points"), "entry_id")
-    points = F.array_sort(F.array_distinct("split_points"))
+    points = F.sort_array(F.array_distinct("split_points"))
     work = (
         todo.withColumn("turns", _non_system())
         .withColumn("n_ex", (F.size("turns") / 2).cast("int"))
@@ -306,7 +306,7 @@ def join_entries(entries: DataFrame, groups: DataFrame, mappings: DataFrame | No
             F.struct("seq", "entry_id", "source", "system", "turns", "tags").alias("p"),
         )
     )
-    chained = parts.groupBy("group_id", "at").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    chained = parts.groupBy("group_id", "at").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     head = F.get("ps", F.lit(0))
     fresh = no.derived_uuid(F.lit("join"), F.array_join(F.transform("ps", lambda p: p["entry_id"]), "|"))
     new_meta = F.struct(

@@ -47,9 +47,8 @@ def entry_texts(entries: DataFrame) -> DataFrame:
 
 def word_sets(texts: DataFrame) -> DataFrame:
     """``(entry_index, tokens, set_key)``; entries without words are left out."""
-    sets = texts.select(
-        "entry_index", F.array_sort(tx.word_set(F.col("text"))).alias("tokens")
-    ).where(F.size("tokens") > 0)
+    found = en.once(texts, tokens=F.sort_array(tx.word_set(F.col("text"))))
+    sets = found.select("entry_index", "tokens").where(F.size("tokens") > 0)
     return sets.withColumn("set_key", F.sha2(F.array_join("tokens", "\u0001"), 256))
 
 

@@ -57,7 +57,7 @@ def compile_prompts(configs: DataFrame, mappings: DataFrame, chunks: DataFrame)
         text = F.replace(text, F.lit("{{ " + name + " }}"), _variable(name))
     missing = F.col("is_required") & (F.coalesce("chunk_text", F.lit("")) == "")
     built = joined.groupBy("config_id").agg(
-        F.array_sort(F.collect_list(F.struct("sort_order", "id", F.coalesce(text, F.lit("")).alias("t")))).alias("ps"),
+        F.sort_array(F.collect_list(F.struct("sort_order", "id", F.coalesce(text, F.lit("")).alias("t")))).alias("ps"),
         F.count_if(missing).alias("missing"),
     )
     return cfg.select("config_id", "errors").join(built, "config_id", "left").select(

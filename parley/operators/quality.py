@@ -294,16 +294,18 @@ def metadata_integrity(features: DataFrame, *, mapped_uuids: DataFrame | None =
 
 def dialogue_ratio() -> Column:
     """Quoted characters over stripped assistant text, capped at 1."""
-    text = F.array_join(en.role_contents("assistant"), "\n")
-    length = F.length(tx.strip(text))
-    quoted = F.aggregate(
-        F.regexp_extract_all(text, F.lit(QUOTE_PATTERN), F.lit(1)),
-        F.lit(0).cast("long"),
-        lambda acc, q: acc + F.length(q),
-    )
-    escaped = F.floor((F.length(text) - F.length(F.replace(text, F.lit('\\"'), F.lit("")))) / 2)
-    used = F.when((quoted == 0) & (escaped > 0), escaped * 2).otherwise(quoted)
-    return F.when(length == 0, F.lit(0.0)).otherwise(F.least(used / length, F.lit(1.0)))
+    def ratio(text):
+        length = F.length(tx.strip(text))
+        quoted = F.aggregate(
+            F.regexp_extract_all(text, F.lit(QUOTE_PATTERN), F.lit(1)),
+            F.lit(0).cast("long"),
+            lambda acc, q: acc + F.length(q),
+        )
+        escaped = F.floor((F.length(text) - F.length(F.replace(text, F.lit('\\"'), F.lit("")))) / 2)
+        used = tx.bind(quoted, lambda n: F.when((n == 0) & (escaped > 0), escaped * 2).otherwise(n))
+        return F.when(length == 0, F.lit(0.0)).otherwise(F.least(used / length, F.lit(1.0)))
+
+    return tx.bind(F.array_join(en.role_contents("assistant"), "\n"), ratio)
 
 
 def dialogue_ratios(entries: DataFrame) -> DataFrame:

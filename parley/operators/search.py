@@ -48,7 +48,7 @@ def matches_search(query: str, mode: str = "contains", scopes=DEFAULT_SCOPES) ->
         return F.contains(text, F.lit(folded))
     if mode == "all_words":
         needed = F.array(*[F.lit(w) for w in folded.split(" ")])
-        return F.forall(needed, lambda w: F.contains(text, w))
+        return tx.bind(text, lambda t: F.forall(needed, lambda w: F.contains(t, w)))
     raise ValueError(f"unknown search mode: {mode}")
 
 

@@ -191,7 +191,7 @@ def canonicalize_aliases(entries: DataFrame, resolved: DataFrame, *, max_map_row
         hits.groupBy("entry_index")
         .agg(
             F.count("resolved_slug").alias("rewrite_count"),
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct("pos", F.coalesce("resolved_slug", "tag").alias("t")))
             ).alias("ts"),
         )

@@ -73,7 +73,7 @@ def base_diagnostics(known_keys, *, strict: bool) -> str:
         "base.unknown_top_level_key", "info", "concat('Unknown key kept: ', k)", ("k",), original="extras[k]"
     )
     unknown = (
-        f"transform(array_sort(filter(map_keys(extras), k -> k NOT IN ({known}))), k -> {unknown_key})"
+        f"transform(sort_array(filter(map_keys(extras), k -> k NOT IN ({known}))), k -> {unknown_key})"
     )
     not_text = diag(
         "base.invalid_tag_value", level, "'Tag is not text'", ("'tags'", "i"),
@@ -407,7 +407,7 @@ def auto_fix_groups(analyzed: DataFrame, samples: int = 5, span: int = 100_000)
         .where(F.col("_r") <= samples)
         .groupBy("code")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct("entry_index", "pos", "path", "original_value", "normalized_value"))
             ).alias("samples")
         )

@@ -75,7 +75,7 @@ def read_json_array(spark, sf):
     docs = rows.groupBy((F.col("entry_index") % 4).alias("doc")).agg(
         F.concat(
             F.lit(" ["),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_index", "j"))), lambda x: x["j"]), ", "),
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_index", "j"))), lambda x: x["j"]), ", "),
             F.lit("]\n"),
         ).alias("value")
     )

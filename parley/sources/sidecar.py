@@ -172,7 +172,7 @@ def build_sidecar(dataset: DataFrame, frames: dict, usage: DataFrame, *, exporte
     in their table, which the other operators read directly.
     """
     def listed(df, cols, order):
-        return df.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*cols).alias("item")))).alias("l")).select(
+        return df.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*cols).alias("item")))).alias("l")).select(
             F.transform("l", lambda s: s["item"]).alias("l")
         )
 
@@ -183,7 +183,7 @@ def build_sidecar(dataset: DataFrame, frames: dict, usage: DataFrame, *, exporte
         cols = [*required, *nullable, *optional]
         out = out.crossJoin(listed(frames[name], cols, [required[0]]).withColumnRenamed("l", name))
     turns = frames["mappings"].groupBy("entry_uuid").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("turn_index", "character_slug", "training_role", "source_role_label"))
         ).alias("turns")
     )
