@@ -270,31 +270,42 @@ def surviving_mappings(mappings: DataFrame, entries: DataFrame):
     )
 
 
-def inactive_references(entries: DataFrame, characters: DataFrame) -> DataFrame:
+def inactive_references(entries: DataFrame, characters: DataFrame, *, max_names: int = 10_000) -> DataFrame:
     """Entries whose first message names an inactive character.
 
-    A substring test has no join key. The names of inactive characters are a
-    registry-sized list, so they travel as one array; the message is folded
-    once and tested against it inside the row.
+    A substring test has no join key. Up to ``max_names`` names, which are
+    counted first, travel as one array that each folded message is tested
+    against. A larger set is joined on the first three letters of the name,
+    which must occur in any message that contains it, and then verified.
     """
     names = (
         characters.where(~F.col("is_active"))
-        .select(F.struct(tx.casefold(tx.strip(F.col("display_name"))).alias("needle"), "display_name").alias("n"))
-        .where(F.coalesce(F.col("n.needle"), F.lit("")) != "")
-        .agg(F.collect_list("n").alias("_names"))
+        .select(tx.casefold(tx.strip(F.col("display_name"))).alias("needle"), "display_name")
+        .where(F.coalesce("needle", F.lit("")) != "")
     )
     first = F.get("messages", F.lit(0))
     text = F.when(first["is_obj"], tx.casefold(first["content"]))
-    rows = (
-        entries.select("entry_index", en.entry_uuid().alias("entry_uuid"), text.alias("_text"))
-        .where(F.col("entry_uuid").isNotNull() & F.col("_text").isNotNull())
-        .crossJoin(F.broadcast(names))
-    )
-    hits = F.filter("_names", lambda n: F.contains(F.col("_text"), n["needle"]))
-    return rows.select("entry_index", "entry_uuid", F.explode(hits).alias("n")).select(
-        "entry_index", "entry_uuid", F.col("n.display_name").alias("character"),
-        F.lit("character.inactive_reference_in_prompt").alias("code"),
+    rows = en.once(entries, _text=text).select("entry_index", en.entry_uuid().alias("entry_uuid"), "_text").where(
+        F.col("entry_uuid").isNotNull() & F.col("_text").isNotNull()
     )
+    if names.limit(max_names + 1).count() <= max_names:
+        one = names.agg(F.collect_list(F.struct("needle", "display_name")).alias("_names"))
+        hits = F.filter("_names", lambda n: F.contains(F.col("_text"), n["needle"]))
+        found = rows.crossJoin(F.broadcast(one)).select(
+            "entry_index", "entry_uuid", F.explode(F.transform(hits, lambda n: n["display_name"])).alias("character")
+        )
+    else:
+        size = F.length("_text")
+        grams = lambda k: F.when(
+            size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr("_text", i, F.lit(k)))
+        ).otherwise(en.empty_strings())
+        keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
+        found = (
+            keyed.join(names.withColumn("gram", F.left("needle", F.lit(3))), "gram")
+            .where(F.contains("_text", F.col("needle")))
+            .select("entry_index", "entry_uuid", F.col("display_name").alias("character"))
+        )
+    return found.withColumn("code", F.lit("character.inactive_reference_in_prompt"))
 
 
 def character_coverage(entries: DataFrame, characters: DataFrame, mappings: DataFrame):

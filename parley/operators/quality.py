@@ -258,7 +258,7 @@ def metadata_integrity(features: DataFrame, *, mapped_uuids: DataFrame | None =
             F.lit(None).cast("string").alias("side_uuid"),
         )
     else:
-        side = sidecar.agg(
+        side = sidecar.agg(  # several documents of one dataset carry the same header
             (F.count(F.lit(1)) > 0).alias("sidecar_present"),
             F.max("entry_count").cast("long").alias("entry_count"),
             F.max("dataset_uuid").alias("side_uuid"),

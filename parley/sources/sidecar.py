@@ -164,39 +164,58 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return parse_sidecars(docs)
 
 
-def build_sidecar(dataset: DataFrame, frames: dict, usage: DataFrame, *, exported_at: str) -> DataFrame:
-    """One row ``value``: the sidecar document as JSON text.
-
-    ``dataset`` is one row (dataset_uuid, filename, entry_count). The document is
-    one JSON value by definition; mappings of a very large dataset should stay
-    in their table, which the other operators read directly.
+def build_sidecar(dataset: DataFrame, frames: dict, usage: DataFrame, *, exported_at: str,
+                  turns_per_document: int = 100_000) -> DataFrame:
+    """Sidecar documents as JSON text in ``value``.
+
+    ``dataset`` is one row (dataset_uuid, filename, entry_count). Registries are
+    small and go into the first document. Turn mappings grow with the entries,
+    so they are counted and spread over as many documents as keep each one to
+    about ``turns_per_document`` turns; the reader unites the documents.
     """
     def listed(df, cols, order):
         return df.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*cols).alias("item")))).alias("l")).select(
             F.transform("l", lambda s: s["item"]).alias("l")
         )
 
-    out = dataset.select(F.struct("dataset_uuid", "filename", "entry_count").alias("d"))
-    counts = usage.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("slug", "entries")))).alias("u"))
-    out = out.crossJoin(counts)
+    documents = max(1, -(-frames["mappings"].count() // turns_per_document))
+    registries = usage.agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("slug", "entries")))).alias("u")
+    )
     for name, (required, nullable, optional) in ITEM_RULES.items():
         cols = [*required, *nullable, *optional]
-        out = out.crossJoin(listed(frames[name], cols, [required[0]]).withColumnRenamed("l", name))
+        registries = registries.crossJoin(listed(frames[name], cols, [required[0]]).withColumnRenamed("l", name))
     turns = frames["mappings"].groupBy("entry_uuid").agg(
         F.sort_array(
             F.collect_list(F.struct("turn_index", "character_slug", "training_role", "source_role_label"))
         ).alias("turns")
     )
-    out = out.crossJoin(
-        listed(turns, ["entry_uuid", "turns"], ["entry_uuid"]).withColumnRenamed("l", "entry_character_mappings")
+    part = F.pmod(F.xxhash64("entry_uuid"), F.lit(documents)).cast("int")
+    mapped = turns.groupBy(part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("entry_uuid", "turns"))).alias("entry_character_mappings")
     )
+    parts = dataset.sparkSession.range(documents).select(F.col("id").cast("int").alias("part"))
     header = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(KIND).alias("kind"), F.lit(exported_at).alias("exported_at")
     )
+    lead = F.col("part") == 0
+    only_first = lambda name: F.when(lead, F.col(name)).otherwise(F.slice(name, 1, 0)).alias(name)
+    no_mappings = F.expr(
+        "cast(array() as array<struct<entry_uuid:string,turns:array<struct<turn_index:int,character_slug:string,"
+        "training_role:string,source_role_label:string>>>>)"
+    )
     doc = F.struct(
         header.alias("metadata"),
-        F.struct("d.dataset_uuid", "d.filename", "d.entry_count", F.col("u").alias("tag_usage_counts")).alias("dataset"),
-        *ITEM_RULES,
-        "entry_character_mappings",
+        F.struct(
+            "d.dataset_uuid", "d.filename", "d.entry_count",
+            F.when(lead, F.col("u")).otherwise(F.map_filter("u", lambda k, v: F.lit(False))).alias("tag_usage_counts"),
+        ).alias("dataset"),
+        *[only_first(name) for name in ITEM_RULES],
+        F.coalesce("entry_character_mappings", no_mappings).alias("entry_character_mappings"),
+    )
+    return (
+        parts.crossJoin(dataset.select(F.struct("dataset_uuid", "filename", "entry_count").alias("d")))
+        .crossJoin(registries)
+        .join(mapped, "part", "left")
+        .select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))
     )
-    return out.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))

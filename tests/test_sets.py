@@ -14,6 +14,7 @@ from parley.operators import neardup as nd
 from parley.operators import quality as qu
 from parley.operators import tags as tg
 from parley.plans import load
+from parley.sources import sidecar
 
 
 def ids(spark, *numbers):
@@ -163,6 +164,41 @@ def test_known_characters_by_map_and_by_join(spark, limit):
     assert sorted((r["turn_index"], r["source_role_label"]) for r in rows.collect()) == [(2, "EM"), (4, "emma stone")]
 
 
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_inactive_references_by_array_and_by_join(spark, limit):
+    names = ["Al", "X", "Anna Lee", "Zed", "ß", "Absent"]
+    chars = spark.createDataFrame([(n.lower(), n, None, n == "Zed") for n in names], "slug string, display_name string, description string, is_active boolean")
+    prompts = ["anna LEE and Zed", "exit", "STRASSE", "q", ""]
+    items = [chat("a", "b", system=p, _entry_meta={"entry_uuid": f"u{i}"}) for i, p in enumerate(prompts)]
+    got = ch.inactive_references(entries(spark, items), chars, max_names=limit)
+    want = {(i, n) for i, p in enumerate(prompts) for n in names if n != "Zed" and n.casefold() in p.casefold()}
+    assert {(r["entry_index"], r["character"]) for r in got.collect()} == want
+
+
+def test_sidecar_in_several_documents(spark):
+    maps = spark.createDataFrame(
+        [(f"u{i}", t, "emma", "assistant", None) for i in range(40) for t in (2, 4)],
+        "entry_uuid string, turn_index int, character_slug string, training_role string, source_role_label string",
+    )
+    frames = {
+        "mappings": maps,
+        "characters": spark.createDataFrame([("emma", "Emma", None, True)], "slug string, display_name string, description string, is_active boolean"),
+        "categories": spark.createDataFrame([("c", "C", 0, True, False)], "slug string, name string, sort_order int, is_active boolean, is_builtin boolean"),
+        "tags": spark.createDataFrame([("t", "T", "c", 0, "active", True, False)], "slug string, name string, category_slug string, sort_order int, status string, is_active boolean, is_builtin boolean"),
+        "aliases": spark.createDataFrame([("o", "rename", "t")], "old_slug string, action string, new_slug string"),
+        "system_prompts": spark.createDataFrame([("p", "P", "text", None, True)], "slug string, name string, content string, description string, is_active boolean"),
+    }
+    dataset = spark.createDataFrame([("d1", "f.jsonl", 40)], "dataset_uuid string, filename string, entry_count long")
+    usage = spark.createDataFrame([("t", 3)], "slug string, entries long")
+    docs = sidecar.build_sidecar(dataset, frames, usage, exported_at="now", turns_per_document=20)
+    assert docs.count() == 4
+    parsed = sidecar.parse_sidecars(docs.select(F.lit("s").alias("source"), "value"))
+    assert parsed.where(F.size("errors") > 0).count() == 0
+    back = sidecar.sidecar_frames(parsed)
+    assert back["mappings"].count() == 80
+    assert [back[n].count() for n in ("tags", "categories", "aliases", "characters", "system_prompts")] == [1] * 5
+
+
 def test_finalize_a_load(spark):
     tags, cats, life = registry(spark, [("rename", "old", "live")], [("live", "c", "active")])
     chars = spark.createDataFrame([("emma", "Emma", None, True)], "slug string, display_name string, description string, is_active boolean")
