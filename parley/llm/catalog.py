@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, secret_scan
+from ..session import cut_lineage, scratch_path
+
+from . import fingerprint, lm, mixing, packing, quality_model, rollup, secret_scan, shards, trie_join, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_lm_score")
+def op1_lm_score(spark, sf_dir):
+    """All documents scored by a model of those not held out."""
+    return lm.score_by_id(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t FROM documents
@@ -73,7 +82,96 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    strlen(coalesce(text, '')) AS bytes,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.toxic = 1) AS toxic
+  FROM documents
+)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) FILTER (NOT toxic) AS docs,
+  CAST(coalesce(sum(words + 1) FILTER (NOT toxic), 0) AS BIGINT) AS tokens
+FROM d GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'bytes-1', count(*) FILTER (NOT toxic), CAST(coalesce(sum(bytes) FILTER (NOT toxic), 0) AS BIGINT)
+FROM d GROUP BY source, lang
+"""
+
+
+@query("op4_token_counts", OP4_SQL)
+def op4_token_counts(spark, sf_dir):
+    """Counts of all documents after an insert, a takedown of toxic ones and a revision, each sent twice."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    text = F.coalesce("text", F.lit(""))
+    counts = docs.select("doc_id", "source", "lang", mixing.word_count(text).alias("w"), F.octet_length(text).cast("long").alias("b"))
+    counts = cut_lineage(counts)
+    versions = lambda add: F.explode(F.array(
+        F.struct(F.lit("words-1").alias("tokenizer"), (F.col("w") + add).alias("tokens")),
+        F.struct(F.lit("bytes-1").alias("tokenizer"), F.col("b").alias("tokens")),
+    ))
+    event = lambda action, df, add=0: df.select(
+        F.lit(action).alias("action"), "source", "lang", versions(add).alias("v")
+    ).select("action", "source", "lang", "v.*", F.lit(None).cast("long").alias("old_tokens"))
+    gone = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    left = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_anti")
+    # the revised tokenizer also counts the end token
+    revised = left.select(
+        F.lit("revise").alias("action"), "source", "lang", F.lit("words-1").alias("tokenizer"),
+        (F.col("w") + 1).alias("tokens"), F.col("w").alias("old_tokens"),
+    )
+    store = rollup.Rollup(spark, scratch_path(spark, "rollup"))
+    for name, events in (("insert", event("insert", counts)), ("takedown", event("delete", gone)), ("revise", revised)):
+        store.commit(name, events)
+        store.commit(name, events)  # a repeated commit changes nothing
+    return store.totals()
+
+
+@query("op5_sharding")
+def op5_sharding(spark, sf_dir):
+    """All documents in 16 shards."""
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_ngram_join")
+def op6_ngram_join(spark, sf_dir):
+    """Classes of all documents whose 4-word shingles agree by 85 in 100."""
+    return trie_join.similar_documents(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@query("op7_fingerprint")
+def op7_fingerprint(spark, sf_dir):
+    """Sketches of all documents and of their edited texts."""
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 @query("op8_secret_scan")
 def op8_secret_scan(spark, sf_dir):
     """Secrets of all documents."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id, c.r, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score, vec_id, r) AS rank FROM d
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank <= 10
+"""
+
+
+@query("op9_vantage_points", OP9_SQL)
+def op9_vantage_points(spark, sf_dir):
+    """The ten nearest vectors of every hundredth one, exactly."""
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_quality")
+def op10_quality(spark, sf_dir):
+    """Quality scores of all documents."""
+    return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
