@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -26,13 +22,12 @@ def remainder(name: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % n
 
 
-def number_rows(df: DataFrame, *order: Column, name: str = "row_number", more=None) -> DataFrame:
+def number_rows(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
     """Dense numbers from 0 in the given order, in column ``name``.
 
     Rows are dealt by ranges of the order and sorted there; each range then
     needs only the counts of the ranges before it, one row a range. A last key
     separates equal rows, so that no range is bound to hold all of them.
-    ``more`` names columns summed up to each row, itself left out.
     """
     n = partitions(df.sparkSession)
     kept = df.columns
@@ -46,9 +41,8 @@ def number_rows(df: DataFrame, *order: Column, name: str = "row_number", more=No
     )
     rows = cut_lineage(dealt.drop("_tie"))
     parts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = parts.alias("a").join(
-        F.broadcast(parts.alias("b")), F.col("b._range") < F.col("a._range"), "left"
-    ).groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_base"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
     here = F.col("_at") - F.shiftleft(F.col("_range"), 33)
     return rows.join(F.broadcast(before), "_range").select(*[F.col(f"`{c}`") for c in kept], (F.col("_base") + here).alias(name))
 
@@ -80,6 +74,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

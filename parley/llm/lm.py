@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import remainder
-from .words import SPACE, mix, slices, words
+from .words import mix, slices, words
 
 HEADS = 191  # words with a class of their own
 TAILS = 64  # classes of all other words
@@ -332,5 +332,3 @@ def score_by_id(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
     """``score_documents`` with the rows held out by a checksum of their ids."""
     return score_documents(docs, remainder("doc_id", mod) == out)
 
-
-__all__ = ["SPACE", "Model", "Vocabulary", "build_vocabulary", "count_words", "score_by_id", "score_documents", "train_model"]

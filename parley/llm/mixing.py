@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD, text_of
+from .common import text_of
 
 RANGE_ROWS = 10_000
 LEAST_WEIGHT = 1e-6
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -95,7 +96,8 @@ def mix_sources(
     unit = (draw.cast("double") + 0.5) / float(1 << 52)
     heavy = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(LEAST_WEIGHT))
     rows = docs.select(
-        *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
+        F.struct(*[F.col(f"`{c}`") for c in keep if c not in RESULTS]).alias("_kept"),
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         size.alias("size"), unit.alias("_u"), heavy.alias("_weight"), draw.alias("_draw"),
     )
@@ -123,7 +125,7 @@ def mix_sources(
     base = sums.select(
         F.col("_source").alias("_bs"), F.col("_range").alias("_br"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")
     )
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "_draw", "_k0", "size", "_tie").rowsBetween(
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "_draw", "_id", "size", "_tie").rowsBetween(
         Window.unboundedPreceding, -1
     )
     rows = rows.join(base, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_range") == F.col("_br")))
@@ -131,8 +133,7 @@ def mix_sources(
     chosen = (F.col("size") > 0) & (done + F.col("size") / 2 <= F.col("_rest"))
     rows = rows.withColumn("copies", (F.col("_epochs") + F.when(chosen, 1).otherwise(0)).cast("int"))
     return rows.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
-        "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        "_kept.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
@@ -141,5 +142,3 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     text = text_of()
     return mix_sources(docs, size=word_count(text), weight=quality_weight(text), **options)
 
-
-__all__ = ["WORD", "mix_documents", "mix_sources", "quality_weight", "source_targets", "word_count"]

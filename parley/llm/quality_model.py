@@ -163,4 +163,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     """The documents predicted good, all columns."""
     learn = labels.where(remainder("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("y"))
     weights = train(docs, learn, max_train)
-    return docs.withColumn("_score", score_column(docs, weights)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return docs.where(score_column(docs, weights) >= THRESHOLD)

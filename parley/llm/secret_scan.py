@@ -5,9 +5,10 @@ Native: DataFrame expressions, joins and windows only.
 Patterns find assigned values, access keys and hexadecimal runs. Any other run
 of at least ``RUN`` key characters is a candidate, judged by the log-likelihood
 ratio of two first-order Markov chains over characters: one of random strings,
-one of ordinary identifiers. Both are trained on labelled samples, here the
-values the patterns found against all other runs of the corpus; the table of
-ratios has one cell per pair of characters of a fixed alphabet.
+one of ordinary identifiers. Both are trained on labelled samples: the values
+the patterns found, and all runs of the corpus that neither mix letters with
+digits nor cases inside a part. Runs that do are judged, not learned from. The
+table of ratios has one cell per pair of characters of a fixed alphabet.
 
 Positions are code points. Spark's functions return matches without places, so
 a text is also split at the same pattern; running sums of the lengths of gaps
@@ -37,9 +38,11 @@ RUN = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % RUN
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN_CHARS = 12
+MIXED = "[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 WIDTH = len(ALPHABET) + 1
 SMOOTHING = 0.5
+PRIOR = 20.0  # weight of all characters' shares in each context
 MIN_RATIO = 12.0  # nats for the whole run
 MIN_RATE = 0.5  # nats for each character
 
@@ -61,15 +64,16 @@ def _hits(text: Column, kind: int, pattern: str, value_group: int) -> Column:
 
 
 def locate(docs: DataFrame, text_col: str = "text", keep=("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): the kept columns with a row number, and all matches with their places."""
+    """(rows, spans): ``_row`` and the columns ``kept`` as a struct, and all matches with their places."""
     text = text_of(text_col)
     found = F.flatten(F.array(
         _hits(F.col("_t"), 0, ASSIGN, 2), _hits(F.col("_t"), 1, ACCESS, 0),
         _hits(F.col("_t"), 2, HEX, 0), _hits(F.col("_t"), 3, CANDIDATE, 0),
     ))
     rows = cut_lineage(
-        docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in keep], text.alias("_t"))
-        .select("_row", *[F.col(f"`{c}`") for c in keep], found.alias("_found"))
+        docs.select(
+            F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), text.alias("_t")
+        ).select("_row", "kept", found.alias("_found"))
     )
     upto = Window.partitionBy("_row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     spans = rows.where(F.size("_found") > 0).select("_row", F.inline("_found"))
@@ -99,15 +103,18 @@ def train(samples: DataFrame) -> list[float]:
     The result has ``WIDTH`` squared numbers, whatever the size of the samples.
     """
     cells = samples.select("random", F.explode(_pairs(F.col("value"))).alias("cell")).groupBy("random", "cell").count().collect()
-    counts = {True: [SMOOTHING] * WIDTH**2, False: [SMOOTHING] * WIDTH**2}
+    counts = {k: [[0.0] * WIDTH for _ in range(WIDTH)] for k in (True, False)}
     for r in cells:  # at most 2 * WIDTH ** 2 rows
-        counts[r["random"]][r["cell"]] += r["count"]
-    out = []
-    for a in range(WIDTH):
-        lines = [counts[k][a * WIDTH : (a + 1) * WIDTH] for k in (True, False)]
-        sums = [sum(x) for x in lines]
-        out += [math.log(p / sums[0]) - math.log(q / sums[1]) for p, q in zip(*lines)]
-    return out
+        counts[r["random"]][r["cell"] // WIDTH][r["cell"] % WIDTH] = float(r["count"])
+
+    def chain(lines: list[list[float]]) -> list[list[float]]:
+        """Log-probabilities of the next character; rare contexts lean on all characters' shares."""
+        share = [sum(line[c] for line in lines) + SMOOTHING for c in range(WIDTH)]
+        total = sum(share)
+        return [[math.log((n + PRIOR * u / total) / (sum(line) + PRIOR)) for n, u in zip(line, share)] for line in lines]
+
+    random, ordinary = chain(counts[True]), chain(counts[False])
+    return [p - q for a, b in zip(random, ordinary) for p, q in zip(a, b)]
 
 
 def ratio(value: Column, model: list[float]) -> Column:
@@ -120,11 +127,12 @@ def find_spans(docs: DataFrame, text_col: str = "text", keep=("doc_id",), model:
     """(rows, spans) with spans ``_row, kind, rank, start, end``.
 
     Without a model it is trained on the documents: values found by the patterns
-    are the random strings, all other runs the ordinary ones.
+    are the random strings, runs that mix nothing the ordinary ones.
     """
     rows, spans = locate(docs, text_col, keep)
     if model is None:
-        model = train(spans.select("value", (F.col("rank") < 3).alias("random")))
+        random = F.col("rank") < 3
+        model = train(spans.where(random | ~F.col("value").rlike(MIXED)).select("value", random.alias("random")))
     score = F.when(F.col("rank") < 3, F.lit(math.inf)).otherwise(ratio(F.col("value"), model))
     chosen = F.col("score") >= F.greatest(F.lit(MIN_RATIO), MIN_RATE * F.length("value"))
     spans = spans.withColumn("score", score).where(chosen)
@@ -143,7 +151,7 @@ def scan(docs: DataFrame, text_col: str = "text", model: list[float] | None = No
     join = lambda xs: F.array_join(F.transform(xs, lambda x: x["s"]), ",")
     out = rows.join(by_row, "_row", "left")
     return out.select(
-        "doc_id",
+        "kept.doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(F.coalesce(join(F.filter("_all", lambda x: x["rank"] < 3)), F.lit("")), 256).alias("base_sha256"),
         F.coalesce(join(F.col("_all")), F.lit("")).alias("spans"),
@@ -161,10 +169,10 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", mode
     heads = heads.withColumn("_n", F.sum(F.col("_new").cast("int")).over(line))
     merged = heads.groupBy("_row", "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     by_row = merged.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"kept.`{text_col}`")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
     starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length(text).cast("long")))
     kept = F.zip_with(ends, starts, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     new = F.when(F.col("_spans").isNotNull(), F.array_join(kept, mark)).otherwise(text)
     out = rows.join(by_row, "_row", "left").withColumn("_new", new)
-    return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

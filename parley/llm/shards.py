@@ -80,8 +80,11 @@ def row_at(shard, slot, n: int, shards: int, seed: int = 0) -> np.ndarray:
 
 
 def shard_rows(df: DataFrame, order: list, shards: int = 16, seed: int = 0) -> DataFrame:
-    """Add ``shard`` and ``slot`` to rows numbered in the given order."""
-    rows = number_rows(df.drop("shard", "slot"), *order, name="_number")
+    """Add ``shard`` and ``slot`` to rows numbered by ascending keys, nulls last."""
+    keys = [f"_o{i}" for i in range(len(order))]
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")])
+    rows = df.select(kept.alias("kept"), *[o.alias(k) for o, k in zip(order, keys)])
+    rows = number_rows(rows, *[F.col(k).asc_nulls_last() for k in keys], name="_number")
     n = rows.count()
     permutation = Permutation(n, seed)
 
@@ -91,7 +94,7 @@ def shard_rows(df: DataFrame, order: list, shards: int = 16, seed: int = 0) -> D
 
     rows = rows.withColumn("_place", place("_number"))
     shard = (F.col("_place") % shards).cast("int")
-    return rows.withColumn("shard", shard).withColumn("slot", F.floor(F.col("_place") / shards).cast("long")).drop("_place", "_number")
+    return rows.select("kept.*", shard.alias("shard"), F.expr(f"_place div {shards}").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
@@ -99,7 +102,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFra
     rows = docs.select(
         "doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32")
     )
-    placed = shard_rows(rows, [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")], shards, seed)
+    placed = shard_rows(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards, seed)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
