@@ -47,6 +47,9 @@ def number_rows(df: DataFrame, *order: Column, name: str = "row_number") -> Data
     return rows.join(F.broadcast(before), "_range").select(*[F.col(f"`{c}`") for c in kept], (F.col("_base") + here).alias(name))
 
 
+ROWS_A_TASK = 100_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links reach, for all nodes of ``edges``.
 
@@ -54,23 +57,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the smallest one, first the larger neighbours, then the smaller. Only minima
     and joins on narrow rows, written once a round; no list of a node's
     neighbours is built. It ends when a round leaves the links as they were.
+    Tasks hold about ``ROWS_A_TASK`` links, so short rounds do not pay for many
+    empty ones.
     """
-    links = cut_lineage(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    )
-    mark = None
+    links = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    mark, tasks = None, None
     while True:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = cut_lineage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("x"), F.least("v", "m").alias("y")).where("x > y")
-        links = cut_lineage(small.union(least.select("u", "m")).toDF("u", "v").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             break
-        mark = tuple(now)
+        mark, tasks = tuple(now), 1 + now[0] // ROWS_A_TASK
+        few = lambda df: df.coalesce(tasks)  # noqa: B023, E731
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = few(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.greatest("v", "m").alias("x"), F.least("v", "m").alias("y")).where("x > y")
+        links = cut_lineage(few(small.union(least.select("u", "m")).toDF("u", "v").distinct()))
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-

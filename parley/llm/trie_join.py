@@ -45,7 +45,7 @@ from .words import mix, shingles, slices, words
 BLOCK = 1500  # sets whose trie one task builds
 PIVOTS = 8  # sets that all parts of a large block share
 WALKERS = 256  # sets that walk a trie together
-FLUSH = 4_000_000  # n-grams a task gathers before it packs them
+FLUSH = 1_500_000  # n-grams a task gathers before it packs them
 LOW48 = np.uint64((1 << 48) - 1)
 
 
