@@ -109,4 +109,3 @@ CURRENT_ACTIONS = (
     "import_archived", "import_uncategorized", "archive", "restore",
     "assign_category", "hide", "delete",
 )
-MAX_ALIAS_HOPS = 20

@@ -86,45 +86,32 @@ def known_character_roles(characters: DataFrame, mappings: DataFrame) -> DataFra
     )
 
 
-def _rewrite(entries: DataFrame, rules: DataFrame, fold: bool, max_rules: int = 10_000):
+def _rewrite(entries: DataFrame, rules: DataFrame, fold: bool):
     """Rewrite roles by ``rules(key, character_slug, training_role)``.
 
-    Returns ``(entries, mapping rows)``. The rule table is counted; up to
-    ``max_rules`` rows it travels as one map. Beyond that the turns that have a
-    custom label are joined with it by key.
+    Returns ``(entries, mapping rows)``. Turns with a custom label are joined
+    with the rules by key and come back as a map of their entry's own turns; the
+    optimizer broadcasts whichever side is small.
     """
     name = lambda m: F.coalesce(m["role"], F.get_json_object(m["other"], "$.role"))
     key_of = lambda label: tx.casefold(tx.strip(label)) if fold else tx.strip(label)
     custom = lambda m: m["is_obj"] & ((standard_role(m["role"]).isNull() & m["role"].isNotNull()) if fold else name(m).isNotNull())
     identified = ensure_entry_uuid(entries)
-    if rules.limit(max_rules + 1).count() <= max_rules:
-        one = rules.agg(
+    turns = identified.select("source", "entry_index", F.posexplode("messages").alias("pos", "m")).where(custom(F.col("m")))
+    found = (
+        turns.select("source", "entry_index", "pos", key_of(name(F.col("m"))).alias("key"))
+        .join(rules, "key")
+        .groupBy(F.col("source").alias("_source"), F.col("entry_index").alias("_index"))
+        .agg(
             F.map_from_entries(
-                F.collect_list(F.struct("key", F.struct("character_slug", "training_role")))
-            ).alias("_rules")
-        )
-        noted = identified.crossJoin(F.broadcast(one)).withColumn(
-            "_hits",
-            F.transform(
-                "messages",
-                lambda m: F.when(custom(m), F.element_at("_rules", key_of(name(m)))),
-            ),
-        )
-    else:
-        turns = identified.select("entry_index", F.posexplode("messages").alias("pos", "m")).where(custom(F.col("m")))
-        found = (
-            turns.select("entry_index", "pos", key_of(name(F.col("m"))).alias("key"))
-            .join(rules, "key")
-            .groupBy("entry_index")
-            .agg(
-                F.map_from_entries(
-                    F.collect_list(F.struct("pos", F.struct("character_slug", "training_role")))
-                ).alias("_by_pos")
-            )
-        )
-        noted = identified.join(found, "entry_index", "left").withColumn(
-            "_hits", F.transform("messages", lambda m, i: F.element_at("_by_pos", i))
+                F.collect_list(F.struct("pos", F.struct("character_slug", "training_role")))
+            ).alias("_by_pos")
         )
+    )
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("entry_index") == F.col("_index"))
+    noted = identified.join(found, same, "left").withColumn(
+        "_hits", F.transform("messages", lambda m, i: F.element_at("_by_pos", i))
+    )
     touched = F.exists("_hits", lambda h: h.isNotNull())
     out = noted.withColumn(
         "messages",
@@ -270,13 +257,13 @@ def surviving_mappings(mappings: DataFrame, entries: DataFrame):
     )
 
 
-def inactive_references(entries: DataFrame, characters: DataFrame, *, max_names: int = 10_000) -> DataFrame:
+def inactive_references(entries: DataFrame, characters: DataFrame) -> DataFrame:
     """Entries whose first message names an inactive character.
 
-    A substring test has no join key. Up to ``max_names`` names, which are
-    counted first, travel as one array that each folded message is tested
-    against. A larger set is joined on the first three letters of the name,
-    which must occur in any message that contains it, and then verified.
+    A substring test has no join key. A name's first letters, up to three, occur
+    in any message that contains it, so positions and letters are joined with the
+    names; the messages themselves are fetched for those candidates only, and
+    tested. No text travels with the letters.
     """
     names = (
         characters.where(~F.col("is_active"))
@@ -285,26 +272,22 @@ def inactive_references(entries: DataFrame, characters: DataFrame, *, max_names:
     )
     first = F.get("messages", F.lit(0))
     text = F.when(first["is_obj"], tx.casefold(first["content"]))
-    rows = en.once(entries, _text=text).select("entry_index", en.entry_uuid().alias("entry_uuid"), "_text").where(
+    rows = en.once(entries, _text=text).select("source", "entry_index", en.entry_uuid().alias("entry_uuid"), "_text").where(
         F.col("entry_uuid").isNotNull() & F.col("_text").isNotNull()
     )
-    if names.limit(max_names + 1).count() <= max_names:
-        one = names.agg(F.collect_list(F.struct("needle", "display_name")).alias("_names"))
-        hits = F.filter("_names", lambda n: F.contains(F.col("_text"), n["needle"]))
-        found = rows.crossJoin(F.broadcast(one)).select(
-            "entry_index", "entry_uuid", F.explode(F.transform(hits, lambda n: n["display_name"])).alias("character")
-        )
-    else:
-        size = F.length("_text")
-        grams = lambda k: F.when(
-            size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr("_text", i, F.lit(k)))
-        ).otherwise(en.empty_strings())
-        keyed = rows.withColumn("gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
-        found = (
-            keyed.join(names.withColumn("gram", F.left("needle", F.lit(3))), "gram")
-            .where(F.contains("_text", F.col("needle")))
-            .select("entry_index", "entry_uuid", F.col("display_name").alias("character"))
-        )
+    size = F.length("_text")
+    grams = lambda k: F.when(
+        size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr("_text", i, F.lit(k)))
+    ).otherwise(en.empty_strings())
+    keyed = rows.select(
+        F.col("entry_uuid").alias("_id"), F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram")
+    )
+    asked = keyed.join(names.withColumn("gram", F.left("needle", F.lit(3))), "gram").drop("gram").distinct()
+    found = (
+        rows.join(asked, F.col("entry_uuid") == F.col("_id"))
+        .where(F.contains("_text", F.col("needle")))
+        .select("entry_index", "entry_uuid", F.col("display_name").alias("character"))
+    )
     return found.withColumn("code", F.lit("character.inactive_reference_in_prompt"))
 
 

@@ -32,9 +32,14 @@ def is_placeholder(content: Column, words: Column) -> Column:
 
 
 def prompt_key(prompt: Column) -> Column:
-    """Short hash of a normalized prompt, NULL when it is blank."""
+    """Hash of a normalized prompt, NULL when it is blank."""
     form = tx.search_form(prompt)
-    return F.when(form != "", F.substring(F.sha1(form), 1, 12))
+    return F.when(form != "", F.sha1(form))
+
+
+def short_key(key) -> Column:
+    """The part of a prompt's hash that is shown."""
+    return F.substring(key, 1, 12)
 
 
 def from_turns(turns: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ reasons instead of an exception. Wide rows are moved at most once: decisions
 are made on ids and then applied with a join or a projection.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import entries as en
@@ -79,6 +79,25 @@ def merge_dedupe(stacked: DataFrame, *, salt: int = 64) -> DataFrame:
     ).drop("all_tags", "key")
 
 
+def renumber(merged: DataFrame) -> DataFrame:
+    """Dense ``entry_index`` in the order of the merge, by dataset, then by position.
+
+    Positions are numbered on narrow rows and joined back to the entries.
+    """
+    sizes = merged.groupBy("file_order").agg(F.max("entry_index").alias("_last"))
+    upto = Window.orderBy("file_order").rowsBetween(Window.unboundedPreceding, -1)  # one row per dataset
+    before = sizes.select("file_order", F.coalesce(F.sum(F.col("_last") + 1).over(upto), F.lit(0)).alias("_first"))
+    places = merged.select("file_order", "entry_index").join(before, "file_order").withColumn("_place", F.col("_first") + F.col("entry_index"))
+    numbers = dense_index(places, "_place", name="_new").select("file_order", "entry_index", "_new")
+    out = merged.join(numbers, ["file_order", "entry_index"])
+    return out.withColumn("entry_index", F.col("_new")).drop("_new")
+
+
+def merge_datasets(frames) -> DataFrame:
+    """The datasets in the given order as one: first occurrences, densely numbered, with ``copies``."""
+    return renumber(merge_dedupe(union_sources(frames))).drop("file_order")
+
+
 def merge_counts(merged: DataFrame) -> DataFrame:
     """``total_loaded`` and ``duplicates_removed`` from the copy counts."""
     return merged.agg(
@@ -209,7 +228,10 @@ def split_entries(entries: DataFrame, requests: DataFrame, mappings: DataFrame |
     entry must be valid or the entry stays as it is.
     """
     keyed = entries.withColumn("entry_id", en.entry_id())
-    todo = keyed.join(requests.select("entry_id", "split_points"), "entry_id")
+    # repeated requests for an entry are one, with the points of all
+    asked = requests.groupBy("entry_id").agg(F.array_distinct(F.flatten(F.collect_set("split_points"))).alias("split_points"))
+    todo = keyed.join(asked, "entry_id")
+    unknown = unknown_ids(entries, requests).select("entry_id", F.lit("no such entry").alias("reason"))
     points = F.sort_array(F.array_distinct("split_points"))
     work = (
         todo.withColumn("turns", _non_system())
@@ -251,7 +273,7 @@ def split_entries(entries: DataFrame, requests: DataFrame, mappings: DataFrame |
     done = checked.join(good, "entry_id", "left_semi")
     rejects = work.where(F.col("reason").isNotNull()).select("entry_id", "reason").unionByName(
         verdict.where(~F.col("ok")).select("entry_id", F.lit("segment is not valid").alias("reason"))
-    )
+    ).unionByName(unknown)
     rest = keyed.join(good, "entry_id", "left_anti").select(*en.ENTRY_COLUMNS).withColumn("segment", F.lit(0))
     stacked = rest.unionByName(done.select(*en.ENTRY_COLUMNS, "segment"))
     out = (
@@ -366,10 +388,15 @@ def join_entries(entries: DataFrame, groups: DataFrame, mappings: DataFrame | No
 def upsert_entries(entries: DataFrame, patch: DataFrame):
     """Replace entries by id and append those without a match.
 
-    ``patch`` has entry columns and ``entry_id`` (NULL for a new entry). Roles
+    ``patch`` has entry columns and ``entry_id`` (NULL for a new entry). Of
+    several rows for one id the one with the largest ``entry_index`` counts, then
+    the one whose content sorts last. Roles
     are repaired by position and the result must be valid; otherwise the row is
     rejected and the old entry stays. Returns ``(entries, rejects)``.
     """
+    latest = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("entry_index"), F.desc(F.to_json(F.struct("messages", "tags")))))
+    named = patch.where(F.col("entry_id").isNotNull()).withColumn("_n", latest).where("_n = 1").drop("_n")
+    patch = named.unionByName(patch.where(F.col("entry_id").isNull()))
     fixed = patch.withColumn("messages", no.normalized_messages(F.col("messages")))
     checked = va.analyze_chatml(fixed)
     rejects = checked.where(~F.col("is_valid")).select(

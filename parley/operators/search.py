@@ -10,7 +10,7 @@ from .ordering import dense_index
 
 SCOPES = ("system", "user", "assistant")
 DEFAULT_SCOPES = ("user", "assistant")
-SHOW_ALL_LIMIT, DEFAULT_PAGE_SIZE = 1000, 25
+DEFAULT_PAGE_SIZE = 25
 BLOCKING_CODES = (
     "base.missing_tags", "base.not_dict", "chatml.empty_system_content",
     "chatml.insufficient_messages", "chatml.missing_system_role",
@@ -156,7 +156,7 @@ def page(entries: DataFrame, number: int, size: int = DEFAULT_PAGE_SIZE, *, show
     """
     indexed = dense_index(entries, "entry_index", name="position")
     if show_all:
-        return indexed.where(F.col("position") < SHOW_ALL_LIMIT)
+        return indexed
     total = entries.agg(F.count(F.lit(1)).alias("_n"))
     last = F.greatest(F.ceil(F.col("_n") / size) - 1, F.lit(0))
     wanted = F.least(F.greatest(F.lit(number), F.lit(0)), last)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import entries as en
+from .features import prompt_key, short_key
 
 
 def _ratio(num, den):
@@ -125,6 +126,7 @@ def prompt_concentration(features: DataFrame) -> DataFrame:
         features.where(F.col("prompt_key").isNotNull())
         .groupBy("prompt_key")
         .agg(F.count(F.lit(1)).alias("entries"))
+        .select(short_key("prompt_key").alias("prompt_key"), "entries")
     )
 
 
@@ -137,8 +139,6 @@ def truncate_text(col, limit: int = 100):
 def prompt_rows(turns: DataFrame, features: DataFrame) -> DataFrame:
     """Prompt text, entries and share per distinct prompt; ``dominant`` marks a
     prompt used by more than four fifths of the entries."""
-    from .features import prompt_key
-
     prompts = turns.where((F.col("turn_index") == 0) & (F.col("role") == "system")).select(
         "entry_index",
         prompt_key(F.col("content")).alias("prompt_key"),
@@ -154,7 +154,7 @@ def prompt_rows(turns: DataFrame, features: DataFrame) -> DataFrame:
         )
         .crossJoin(F.broadcast(total))
         .select(
-            "prompt_key",
+            short_key("prompt_key").alias("prompt_key"),
             "prompt",
             "entries",
             _percent_text(F.col("entries") / F.col("total") * 100).alias("share"),

@@ -17,7 +17,6 @@ from ..functions import text as tx
 from ..functions.constants import (
     ALIAS_ACTIONS,
     CURRENT_ACTIONS,
-    MAX_ALIAS_HOPS,
     RETIRED_ACTIONS,
     TAXONOMY,
 )
@@ -69,32 +68,26 @@ def alias_edges(lifecycle: DataFrame) -> DataFrame:
     )
 
 
-def resolve_aliases(slugs: DataFrame, lifecycle: DataFrame, active: DataFrame, hops: int = MAX_ALIAS_HOPS) -> DataFrame:
+def resolve_aliases(slugs: DataFrame, lifecycle: DataFrame, active: DataFrame) -> DataFrame:
     """``(slug, target, action)`` for slugs whose alias chain reaches an active tag.
 
-    The walk runs over the alias table alone. Each round follows one more hop
-    for the slugs that have not arrived yet and writes that frontier to the
-    shared folder, so the plan stays flat; it ends when the frontier is empty,
-    which for a typical registry is after two or three rounds. Cycles never
-    arrive and are dropped at the hop limit. The used slugs join in at the end.
+    The walk runs over the alias table alone, by doubling: each round replaces a
+    slug's pointer by the pointer of its target, so a chain of n renames takes
+    log2(n) rounds. A pointer that reached an active tag stays; one that leads
+    nowhere is dropped. What still moves after as many rounds as the table's size
+    allows is a cycle and never arrives. The used slugs join in at the end.
     """
     ends = active.select(F.col("slug").alias("target"), F.lit(True).alias("hit"))
-    edges = cut_lineage(
-        alias_edges(lifecycle)
-        .where(F.col("target") != "")
-        .join(ends, "target", "left")
-        .select("slug", "target", "action", F.coalesce("hit", F.lit(False)).alias("done"))
-    )
-    arrived = edges.where("done").select("slug", "target", "action")
-    frontier = edges.where(~F.col("done")).select("slug", "target")
-    nxt = edges.select(F.col("slug").alias("target"), F.col("target").alias("to"), "action", "done")
-    for _ in range(hops - 1):
-        if frontier.isEmpty():
+    edges = alias_edges(lifecycle).where(F.col("target") != "").join(ends, "target", "left")
+    at = cut_lineage(edges.select("slug", "target", "action", F.coalesce("hit", F.lit(False)).alias("done")))
+    for _ in range(at.count().bit_length() + 1):
+        open_ = at.where(~F.col("done"))
+        if open_.isEmpty():
             break
-        moved = cut_lineage(frontier.join(nxt, "target").select("slug", F.col("to").alias("target"), "action", "done"))
-        arrived = arrived.unionByName(moved.where("done").select("slug", "target", "action"))
-        frontier = moved.where(~F.col("done")).select("slug", "target")
-    return slugs.select("slug").join(arrived, "slug")
+        nxt = at.select(F.col("slug").alias("target"), F.col("target").alias("to"), F.col("action").alias("by"), F.col("done").alias("there"))
+        moved = open_.join(nxt, "target").select("slug", F.col("to").alias("target"), F.col("by").alias("action"), F.col("there").alias("done"))
+        at = cut_lineage(at.where("done").unionByName(moved))
+    return slugs.select("slug").join(at.where("done").select("slug", "target", "action"), "slug")
 
 
 def resolve_tags(raw_tags: DataFrame, tags: DataFrame, categories: DataFrame, lifecycle: DataFrame) -> DataFrame:
@@ -161,48 +154,29 @@ def raw_tags(entries: DataFrame) -> DataFrame:
     return entries.select(F.explode(en.clean_tags()).alias("tag")).distinct()
 
 
-def canonicalize_aliases(entries: DataFrame, resolved: DataFrame, *, max_map_rows: int = 10_000) -> DataFrame:
+def canonicalize_aliases(entries: DataFrame, resolved: DataFrame) -> DataFrame:
     """Rewrite alias slugs in entries; repeats go only where something changed.
 
-    A small rewrite table (its size is counted first) becomes one map that each
-    row looks up, so entries are not shuffled. A larger one is joined on the
-    exploded tags, and only entries that change are put together again.
+    Only tags that have a rewrite leave their entry, with its position; they come
+    back as a map of that entry's own tags. The optimizer broadcasts whichever
+    side is small, the answer is the same.
     """
-    rewrites = cut_lineage(resolved.where("rewrite").select("tag", "resolved_slug"))
-    small = rewrites.limit(max_map_rows + 1).count() <= max_map_rows
+    rewrites = resolved.where("rewrite").select("tag", "resolved_slug")
     tags = en.clean_tags()
-    if small:
-        one = rewrites.agg(
-            F.map_from_entries(F.collect_list(F.struct("tag", "resolved_slug"))).alias("_map")
-        )
-        mapped = F.transform(tags, lambda t: F.coalesce(F.element_at("_map", t), t))
-        touched = F.exists(tags, lambda t: F.map_contains_key("_map", t))
-        out = entries.crossJoin(F.broadcast(one))
-        return (
-            out.withColumn("rewrite_count", F.size(F.filter(tags, lambda t: F.map_contains_key("_map", t))))
-            .withColumn("tags", F.when(touched, F.array_distinct(mapped)).otherwise(F.col("tags")))
-            .drop("_map")
-        )
-    hits = (
-        entries.select("entry_index", F.posexplode(tags).alias("pos", "tag"))
-        .join(rewrites, "tag", "left")
-    )
-    changed = (
-        hits.groupBy("entry_index")
-        .agg(
-            F.count("resolved_slug").alias("rewrite_count"),
-            F.sort_array(
-                F.collect_list(F.struct("pos", F.coalesce("resolved_slug", "tag").alias("t")))
-            ).alias("ts"),
-        )
-        .where(F.col("rewrite_count") > 0)
-        .select("entry_index", "rewrite_count", F.array_distinct(F.transform("ts", lambda x: x["t"])).alias("_new"))
-    )
+    found = (
+        entries.select("source", "entry_index", F.explode(F.array_distinct(tags)).alias("tag"))
+        .join(rewrites, "tag")
+        .groupBy(F.col("source").alias("_source"), F.col("entry_index").alias("_index"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("tag", "resolved_slug"))).alias("_map"))
+    )
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("entry_index") == F.col("_index"))
+    mapped = F.transform(tags, lambda t: F.coalesce(F.element_at("_map", t), t))
+    hits = F.filter(tags, lambda t: F.map_contains_key("_map", t))
     return (
-        entries.join(changed, "entry_index", "left")
-        .withColumn("tags", F.coalesce("_new", "tags"))
-        .withColumn("rewrite_count", F.coalesce("rewrite_count", F.lit(0)))
-        .drop("_new")
+        entries.join(found, same, "left")
+        .withColumn("rewrite_count", F.when(F.col("_map").isNull(), 0).otherwise(F.size(hits)))
+        .withColumn("tags", F.when(F.col("_map").isNull(), F.col("tags")).otherwise(F.array_distinct(mapped)))
+        .drop("_source", "_index", "_map")
     )
 
 

@@ -55,7 +55,7 @@ SELECT e AS entry_index, count(*) AS n_messages, count(*) FILTER (r <> 'system')
  sum(length(c))::BIGINT AS text_chars,
  count(*) FILTER (r = 'assistant' AND {words('c')} < 20) AS short_n,
  count(*) FILTER (r = 'assistant' AND {words('c')} = 0) AS empty_n,
- max(CASE WHEN i = 0 AND r = 'system' THEN substr(sha1({folded('c')}), 1, 12) END) AS prompt_key,
+ max(CASE WHEN i = 0 AND r = 'system' THEN sha1({folded('c')}) END) AS prompt_key,
  coalesce(max(CASE WHEN i = 0 AND r = 'system' THEN length({strip('c')}) END), 0) AS prompt_chars
 FROM @T GROUP BY e"""
 

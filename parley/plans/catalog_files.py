@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import entries as en
+from ..operators import mutate as mu
 from ..operators import normalize as no
 from ..operators import registry as rg
 from ..operators import tags as tg
@@ -53,6 +54,33 @@ def entry_index(spark, sf):
     return files.index_records(files.parse_lines(_lines(spark, sf))).select("line", "entry_index")
 
 
+def _three_sources(spark, sf):
+    """The record lines dealt to three sources, with line numbers that collide."""
+    lines = _lines(spark, sf)
+    e = F.col("line") - 1
+    return lines.select(
+        F.concat(F.lit("part-"), (e % 3).cast("string"), F.lit(".jsonl")).alias("source"),
+        (F.floor(e / 3) + 1).alias("line"), "value",
+    )
+
+
+@query("index_sources", sql(
+    "SELECT 'part-' || e % 3 || '.jsonl' AS source, e // 3 + 1 AS line, row_number() OVER (ORDER BY e % 3, e) - 1 AS entry_index FROM kinds WHERE k <> 8", "kinds"))
+def index_sources(spark, sf):
+    """One dense position over the good lines of several sources."""
+    return files.index_records(files.parse_lines(_three_sources(spark, sf))).select("source", "line", "entry_index")
+
+
+@query("delete_from_sources", sql(
+    "SELECT i AS entry_index, source FROM (SELECT 'part-' || e % 3 || '.jsonl' AS source, row_number() OVER (ORDER BY e % 3, e) - 1 AS i FROM kinds WHERE k <> 8) "
+    "WHERE i % 4 <> 0", "kinds"))
+def delete_from_sources(spark, sf):
+    """An id derived from a position names one entry, whatever the number of sources."""
+    entries = en.parse_entries(files.index_records(files.parse_lines(_three_sources(spark, sf))))
+    ids = entries.where(F.col("entry_index") % 4 == 0).select(F.concat(F.lit("entry_index:"), F.col("entry_index").cast("string")).alias("entry_id"))
+    return mu.delete_entries(entries, ids).select("entry_index", "source")
+
+
 @query("read_files", sql(
     "SELECT count(*) AS lines, count(*) FILTER (k <> 8) AS records, count(*) FILTER (k = 8) AS errors, true AS dense FROM kinds", "kinds"))
 def read_files(spark, sf):
@@ -120,15 +148,9 @@ def write_jsonl(spark, sf):
     path = scratch_path(spark, "jsonl")
     files.write_jsonl(ad.entries_dirty(spark, sf), path, partitions=4)
     lines = files.read_lines(spark, path)
-    # part files are in order, so (file, line) gives the position
+    # part files are in order, so is the position over all of them
     parsed = files.index_records(files.parse_lines(lines))
-    sizes = parsed.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    prior = sizes.select(F.col("source").alias("_s"), F.col("n").alias("_n"))
-    base = sizes.join(prior, F.col("_s") < F.col("source"), "left").groupBy("source").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("base"))
-    placed = parsed.join(base, "source").select(
-        (F.col("entry_index") + F.col("base")).alias("entry_index"), "source", "record"
-    )
-    return en.parse_entries(placed).select("entry_index", _fingerprint().alias("fingerprint"))
+    return en.parse_entries(parsed).select("entry_index", _fingerprint().alias("fingerprint"))
 
 
 @query("export_clean", sql(

@@ -62,6 +62,18 @@ def merge_dedupe(spark, sf):
     return mu.merge_dedupe(_merge_input(spark, sf)).select("file_order", "entry_index", _tags_text(), "copies")
 
 
+@query("merge_datasets", sql(
+    "SELECT row_number() OVER (ORDER BY f, e) - 1 AS entry_index, e AS old_index, n AS copies FROM "
+    "(SELECT k, first(f ORDER BY f, e) AS f, first(e ORDER BY f, e) AS e, count(*) AS n FROM merged_copies GROUP BY k)",
+    "copies", merged_copies="SELECT 1 - f AS f, e, k FROM copies"))
+def merge_datasets(spark, sf):
+    """The copies first, then all entries, as one densely numbered dataset."""
+    stacked = _merge_input(spark, sf)
+    marked = stacked.withColumn("source", F.col("entry_index").cast("string"))
+    parts = [marked.where(f"file_order = {n}").select(*en.ENTRY_COLUMNS) for n in (1, 0)]
+    return mu.merge_datasets(parts).select("entry_index", F.col("source").cast("long").alias("old_index"), "copies")
+
+
 @query("merge_counts", sql(
     "SELECT count(*) AS total_loaded, count(*) - count(DISTINCT k) AS duplicates_removed FROM copies", "copies"))
 def merge_counts(spark, sf):
@@ -73,7 +85,7 @@ def merge_counts(spark, sf):
     "0 AS dropped_entries FROM copies", "copies", "tsys"))
 def save_merged(spark, sf):
     """Merge, normalize, rewrite aliases, keep surviving mappings, stamp."""
-    merged = mu.merge_dedupe(_merge_input(spark, sf)).select(*en.ENTRY_COLUMNS)
+    merged = mu.renumber(mu.merge_dedupe(_merge_input(spark, sf))).select(*en.ENTRY_COLUMNS)
     rows = no.normalize_entries(ad.with_uuids(merged)).select(*en.ENTRY_COLUMNS)
     resolved = tg.resolve_tags(tg.raw_tags(rows), ad.tags(spark, sf), ad.categories(spark, sf), ad.lifecycle(spark, sf))
     stamped = no.stamp_entries(tg.canonicalize_aliases(rows, resolved).drop("rewrite_count"), dataset="merged-1")

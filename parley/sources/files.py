@@ -1,12 +1,11 @@
 """Dataset files in and out: JSON lines, JSON arrays, single objects, text."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.constants import DATASET_EXTENSIONS, TRAINING_OBJECT_KEYS
 from ..operators.entries import entry_json, once
-from ..operators.ordering import dense_index
 
 
 def gate(spark: SparkSession, path: str) -> DataFrame:
@@ -37,12 +36,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "value",
     )
     blocks = raw.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
-    earlier = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("n").alias("_n"))
-    offsets = (
-        blocks.join(earlier, (F.col("source") == F.col("_s")) & (F.col("_b") < F.col("block")), "left")
-        .groupBy("source", "block", "first")
-        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("offset"))
-    )
+    # one row per split goes through the window, none of the text
+    upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("source", "block", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
     return raw.join(offsets, ["source", "block"]).select(
         "source", (F.col("mid") - F.col("first") + F.col("offset") + 1).alias("line"), "value"
     )
@@ -146,19 +142,16 @@ def read_dataset(spark: SparkSession, path: str, *, layout: str = "lines") -> Da
 
 
 def index_records(parsed: DataFrame) -> DataFrame:
-    """Dense ``entry_index`` per source over the good records, in line order.
+    """Dense ``entry_index`` over the good records of all sources.
 
-    Per-bucket counts of (source, line) give the offsets; buckets are runs of
-    a million lines, so no task numbers a whole file.
+    The order is by source, then by line, so positions and the ids derived from
+    them are unique over a load of many files. Counts per run of a million lines
+    give the offsets; no task numbers a whole file.
     """
     rows = parsed.where(F.col("record").isNotNull()).withColumn("_b", F.floor(F.col("line") / 1_000_000))
     counts = rows.groupBy("source", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    prior = counts.select(F.col("source").alias("_s"), F.col("_b").alias("_p"), F.col("_n").alias("_m"))
-    base = (
-        counts.join(prior, (F.col("source") == F.col("_s")) & (F.col("_p") < F.col("_b")), "left")
-        .groupBy("source", "_b")
-        .agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_base"))
-    )
+    upto = Window.orderBy("source", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per run
+    base = counts.select("source", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
     pos = F.expr("row_number() over (partition by source, _b order by line)")
     return (
         rows.withColumn("_pos", pos)

@@ -193,6 +193,36 @@ def test_pages_are_clamped(spark):
     assert page(0, 3, show_all=True) == list(range(7))
 
 
+def test_all_entries_can_be_shown(spark):
+    df = spark.range(1500).select(F.col("id").alias("entry_index"))
+    assert se.page(df, 0, show_all=True).count() == 1500
+
+
+def test_repeated_patches_and_unknown_split_ids(spark):
+    from parley.operators import mutate as mu
+
+    df = entries(spark, [chat("a", "b", "c", "d"), chat("e", "f")])
+    patch = entries(spark, [chat("x", "1"), chat("x", "2")]).withColumn("entry_id", F.lit("entry_index:1"))
+    out, rejects = mu.upsert_entries(df, patch)
+    assert rejects.count() == 0
+    assert [m[2][1] for m in pairs(out)] == ["b", "2"]
+    asked = spark.createDataFrame([("entry_index:0", [1]), ("entry_index:0", [1]), ("entry_index:9", [1])], "entry_id string, split_points array<int>")
+    parts, rejects, *_ = mu.split_entries(df, asked)
+    assert parts.count() == 3
+    assert [tuple(r) for r in rejects.collect()] == [("entry_index:9", "no such entry")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from parley import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+
+
 @pytest.mark.parametrize("buckets", [1, 4, 64])
 def test_positions_do_not_depend_on_partitioning(spark, buckets):
     df = spark.range(500).select((F.col("id") * 7919 % 503).alias("k")).repartition(13)

@@ -1,6 +1,7 @@
 """Merge, split, join, registry and near duplicates on small fixtures."""
 
 import hashlib
+import json
 import random
 
 import pytest
@@ -135,22 +136,20 @@ def test_tag_resolution(spark):
         "new": ("unknown", "new", "unknown_tag"),
         "??": ("unknown", "", "invalid_tag"),
         "h5": ("alias_mapped", "h25", "rename"),  # 20 hops
-        "h4": ("unknown", "h4", "unknown_tag"),  # 21 hops
+        "h4": ("alias_mapped", "h25", "rename"),  # 21 hops
         "hidden_cat": ("unknown", "hidden_cat", "unknown_tag"),
     }
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_alias_rewrite_by_map_and_by_join(spark, limit):
+def test_alias_rewrite(spark):
     df = entries(spark, [chat("a", "b", tags=["old", "x", "new", "x"]), chat("c", "d", tags=["x", "x"]), chat("e", "f", tags=[1, "old"])])
     resolved = spark.createDataFrame([("old", "new", True), ("x", "x", False)], "tag string, resolved_slug string, rewrite boolean")
-    out = tg.canonicalize_aliases(df, resolved, max_map_rows=limit)
+    out = tg.canonicalize_aliases(df, resolved)
     assert col(out, "tags") == [["new", "x"], ["x", "x"], [None, "old"]]
     assert col(out, "rewrite_count") == [1, 0, 0]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_known_characters_by_map_and_by_join(spark, limit):
+def test_known_characters(spark):
     chars = spark.createDataFrame([("emma", "Emma Stone", None, True), ("bob", "Bob", None, False)], "slug string, display_name string, description string, is_active boolean")
     maps = spark.createDataFrame(
         [("u1", 2, "emma", "assistant", "Em"), ("u2", 1, "bob", "user", "Bob")],
@@ -159,22 +158,55 @@ def test_known_characters_by_map_and_by_join(spark, limit):
     rules = ch.known_character_roles(chars, maps)
     assert sorted(r["key"] for r in rules.collect()) == ["em", "emma stone"]
     item = {"messages": [{"role": r, "content": "x"} for r in ("system", "Bob", " EM ", "user", "emma stone")], "tags": []}
-    out, rows = ch._rewrite(entries(spark, [item]), rules, fold=True, max_rules=limit)
+    out, rows = ch._rewrite(entries(spark, [item]), rules, fold=True)
     assert [r for r, _ in pairs(out)[0]] == ["system", "Bob", "assistant", "user", "assistant"]
     assert sorted((r["turn_index"], r["source_role_label"]) for r in rows.collect()) == [(2, "EM"), (4, "emma stone")]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_inactive_references_by_array_and_by_join(spark, limit):
+def test_inactive_references(spark):
     names = ["Al", "X", "Anna Lee", "Zed", "ß", "Absent"]
     chars = spark.createDataFrame([(n.lower(), n, None, n == "Zed") for n in names], "slug string, display_name string, description string, is_active boolean")
     prompts = ["anna LEE and Zed", "exit", "STRASSE", "q", ""]
     items = [chat("a", "b", system=p, _entry_meta={"entry_uuid": f"u{i}"}) for i, p in enumerate(prompts)]
-    got = ch.inactive_references(entries(spark, items), chars, max_names=limit)
+    got = ch.inactive_references(entries(spark, items), chars)
     want = {(i, n) for i, p in enumerate(prompts) for n in names if n != "Zed" and n.casefold() in p.casefold()}
     assert {(r["entry_index"], r["character"]) for r in got.collect()} == want
 
 
+def test_aliases_do_not_leak_between_sources(spark):
+    """Entries of several sources may share a position; each is rewritten by its own tags."""
+    one = entries(spark, [chat("a", "b", tags=["old", "x"])])
+    two = entries(spark, [chat("a", "b", tags=["b", "x"])]).withColumn("source", F.lit("other"))
+    three = one.withColumn("source", F.lit(None).cast("string"))
+    resolved = spark.createDataFrame([("old", "new", True)], "tag string, resolved_slug string, rewrite boolean")
+    out = tg.canonicalize_aliases(one.unionByName(two).unionByName(three), resolved)
+    got = {r["source"]: (list(r["tags"]), r["rewrite_count"]) for r in out.collect()}
+    assert got == {"t": (["new", "x"], 1), "other": (["b", "x"], 0), None: (["new", "x"], 1)}
+
+
+def test_merged_datasets_are_numbered_as_one(spark):
+    a = entries(spark, [chat("a", "b"), chat("c", "d"), chat("a", "b")])
+    b = entries(spark, [chat("c", "d"), chat("e", "f"), chat("g", "h")]).withColumn("source", F.lit("u"))
+    rows = mu.merge_datasets([a, b]).orderBy("entry_index").collect()
+    assert [r["entry_index"] for r in rows] == [0, 1, 2, 3]
+    assert [r["messages"][1]["content"] for r in rows] == ["a", "c", "e", "g"]
+    assert [r["copies"] for r in rows] == [2, 2, 1, 1]
+
+
+def test_near_duplicates_over_several_sources(spark):
+    """Positions of a load are unique over its files, so sets keep their own ids."""
+    from parley.sources import files
+
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = {"a": [text, "alone one"], "b": [text, "alone two"], "c": ["alone three"]}
+    rows = [(s, i + 1, json.dumps(chat(t, "answer " + t)), None) for s, ts in docs.items() for i, t in enumerate(ts)]
+    parsed = spark.createDataFrame(rows, "source string, line long, record string, error string")
+    loaded = en.parse_entries(files.index_records(parsed))
+    assert sorted(r["entry_index"] for r in loaded.collect()) == list(range(5))
+    sets = nd.distinct_sets(nd.word_sets(nd.entry_texts(loaded)))
+    assert sets.count() == sets.select("set_id").distinct().count() == 4
+
+
 def test_sidecar_in_several_documents(spark):
     maps = spark.createDataFrame(
         [(f"u{i}", t, "emma", "assistant", None) for i in range(40) for t in (2, 4)],
