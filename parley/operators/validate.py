@@ -481,11 +481,26 @@ def repair_chatml(entries: DataFrame, only=AUTOMATIC_CODES) -> DataFrame:
     )
 
 
-def repaired_sharegpt_roles(turns: Column) -> Column:
-    """Role texts of ShareGPT turns after the role-variant repair."""
-    return F.transform(
-        turns,
-        lambda t: F.when(
-            t["is_obj"] & (tx.strip(t["role"]) != sharegpt_role(t["role"])), sharegpt_role(t["role"])
-        ).otherwise(t["role"]),
-    )
+def repair_sharegpt(records: DataFrame, record: str = "record") -> DataFrame:
+    """ShareGPT records with standard role texts; adds ``changed``.
+
+    A turn whose role is a known spelling gets the standard one under its own
+    key; all other keys, turns and records keep their values.
+    """
+    rows = once(sharegpt_turns(records, record), _v=F.try_parse_json(F.col(record)))
+    variant = lambda t: F.coalesce(
+        t["is_obj"] & t["role_key"].isNotNull() & (tx.strip(t["role"]) != sharegpt_role(t["role"])), F.lit(False)
+    )
+    parts = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    put = lambda whole, key, text: F.to_json(
+        F.map_concat(F.map_filter(whole, lambda k, _: k != key), F.map_from_arrays(F.array(key), F.array(F.parse_json(text))))
+    )
+    fixed = lambda t: F.when(
+        variant(t),
+        put(parts(F.try_parse_json(t["raw"])), t["role_key"], F.concat(F.lit('"'), sharegpt_role(t["role"]), F.lit('"'))),
+    ).otherwise(t["raw"])
+    turns = F.concat(F.lit("["), F.array_join(F.transform("turns", fixed), ","), F.lit("]"))
+    changed = F.coalesce(F.exists("turns", variant), F.lit(False))
+    out = once(rows, changed=changed)
+    new = F.when(F.col("changed"), put(parts(F.col("_v")), F.lit("conversations"), turns)).otherwise(F.col(record))
+    return out.select(*[new.alias(c) if c == record else c for c in records.columns], "changed")

@@ -9,7 +9,10 @@ from ..operators import prompts as pr
 from ..operators import tags as tg
 from . import adapters as ad
 from . import catalog_mutate  # noqa: F401  (defines shared SQL)
+from . import load
 from .base import CTES, NEEDS, display, lit, query, slug, sql, std_role, strip
+from .catalog_entries import _fingerprint
+from .catalog_validate import FULL
 
 
 def _registry(spark, sf):
@@ -54,6 +57,20 @@ def canonicalize_aliases(spark, sf):
     return out.where(F.size("tags") > 0).select("entry_index", F.array_join("tags", ",").alias("tags"), "rewrite_count")
 
 
+@query("save_repaired", sql(
+    f"SELECT r.entry_index, r.changed, r.fingerprint, coalesce(CASE WHEN r.changed THEN g.renamed ELSE g.tags END, '') AS tags FROM "
+    f"(SELECT e AS entry_index, count(*) FILTER ({FULL} AND ((std = want AND r <> want) OR c <> cut)) > 0 AS changed, "
+    f"md5(string_agg(CASE WHEN {FULL} AND std = want THEN want ELSE r END || chr(1) || CASE WHEN {FULL} THEN cut ELSE c END, chr(2) ORDER BY i)) AS fingerprint "
+    "FROM noted GROUP BY e) r LEFT JOIN (SELECT t.e, string_agg(t.tag, ',' ORDER BY t.pos) AS tags, "
+    "string_agg(CASE WHEN v.kind = 'alias_mapped' THEN v.resolved ELSE t.tag END, ',' ORDER BY t.pos) AS renamed "
+    "FROM tagrows t JOIN resolved v ON v.tag = t.tag GROUP BY t.e) g ON g.e = r.entry_index", "noted", "resolved"))
+def save_repaired(spark, sf):
+    """Repaired entries with positional roles and current slugs."""
+    rows = ad.with_part_tags(ad.entries_dirty(spark, sf), spark, sf)
+    out = load.save_repaired(rows, _resolved(spark, sf))
+    return out.select("entry_index", "changed", _fingerprint().alias("fingerprint"), F.array_join("tags", ",").alias("tags"))
+
+
 @query("unknown_tags", sql(
     f"SELECT DISTINCT {slug('tag')} AS slug FROM tagrows WHERE {slug('tag')} NOT IN (SELECT slug FROM reg)", "tagrows", "reg"))
 def unknown_tags(spark, sf):

@@ -224,6 +224,16 @@ def analyze_sharegpt(spark, sf):
     return rows.groupBy("entry_index", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("repair_sharegpt", sql(
+    f"SELECT e AS entry_index, bool_or(coalesce({strip('r')} <> m, false)) AS changed, md5(string_agg(coalesce(m, r) || chr(1) || c, chr(2) ORDER BY i)) AS fingerprint "
+    f"FROM (SELECT *, CASE {std_role('r')} WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE {std_role('r')} END AS m FROM dirty) GROUP BY e", "dirty"))
+def repair_sharegpt(spark, sf):
+    """Standard role texts in ShareGPT records, read back from the repaired text."""
+    out = fo.sharegpt_turns(va.repair_sharegpt(ad.sharegpt_records(spark, sf)))
+    text = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\u0001"), t["content"]))
+    return out.select("entry_index", "changed", F.md5(F.array_join(text, "\u0002")).alias("fingerprint"))
+
+
 @query("custom_role_turns", sql(
     f"SELECT e AS entry_index, i AS turn_index, {strip('r')} AS label FROM dirty WHERE {std_role('r')} IS NULL", "dirty"))
 def custom_role_turns(spark, sf):

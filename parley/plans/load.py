@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import characters as ch
 from ..operators import entries as en
 from ..operators import formats as fo
+from ..operators import mutate as mu
 from ..operators import normalize as no
 from ..operators import tags as tg
 from ..operators import validate as va
@@ -86,3 +87,28 @@ def finalize(entries: DataFrame, registry: dict):
         rows, registry["tags"], registry["categories"], registry["lifecycle"]
     )
     return rows, out
+
+
+def save_repaired(entries: DataFrame, resolved: DataFrame, *, only=va.AUTOMATIC_CODES) -> DataFrame:
+    """Automatic repairs as they are saved: repaired entries also get positional
+    roles and current tag slugs, all others stay as they are. Adds ``changed``."""
+    rows = va.repair_chatml(entries.select(*en.ENTRY_COLUMNS), only)
+    done = F.col("changed")
+    rows = rows.withColumn("messages", F.when(done, no.positional_messages(F.col("messages"))).otherwise(F.col("messages")))
+    named = tg.canonicalize_aliases(rows.withColumn("_tags", F.col("tags")), resolved)
+    return named.withColumn("tags", F.when(done, F.col("tags")).otherwise(F.col("_tags"))).drop("_tags", "rewrite_count")
+
+
+def save_merged(frames, registry: dict, dataset: str):
+    """Datasets in the given order as one saved dataset.
+
+    First occurrences in one dense order, normalized, identified, with current
+    tag slugs and stamped with the new dataset's identity. Returns ``(entries,
+    kept mappings, ids whose mappings were dropped)``.
+    """
+    merged = mu.merge_datasets(frames).select(*en.ENTRY_COLUMNS)
+    rows = cut_lineage(no.ensure_entry_uuid(no.normalize_entries(merged).select(*en.ENTRY_COLUMNS)))
+    resolved = tg.resolve_tags(tg.raw_tags(rows), registry["tags"], registry["categories"], registry["lifecycle"])
+    stamped = no.stamp_entries(tg.canonicalize_aliases(rows, resolved).drop("rewrite_count"), dataset=dataset)
+    kept, dropped = ch.surviving_mappings(registry["mappings"], stamped)
+    return stamped, kept, dropped
