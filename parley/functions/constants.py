@@ -57,7 +57,6 @@ DATASET_EXTENSIONS = (".jsonl", ".json", ".txt")
 META_KEY = "_entry_meta"
 KNOWN_KEYS = ("messages", "conversations", "tags", "metadata", "source", "id")
 SHAREGPT_KNOWN_KEYS = KNOWN_KEYS + ("conversation", "title", "model")
-DEFAULT_SYSTEM_PROMPT = "You are a helpful assistant."
 IMPORT_SYSTEM_PROMPT = (
     "Imported from a ShareGPT record. This prompt is internal and is left out "
     "of ShareGPT exports."

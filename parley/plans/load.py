@@ -38,7 +38,7 @@ def entries_from_records(records: DataFrame, *, auto_normalize: bool = True) ->
     )
 
 
-def load_dataset(spark: SparkSession, path: str, *, layout: str = "lines", auto_normalize: bool = True):
+def load_dataset(spark: SparkSession, path: str, *, layout: str = "auto", auto_normalize: bool = True):
     """``(entries, parsed)`` of the dataset files under a path.
 
     ``parsed`` keeps one row per line with its error, for counts and reports.

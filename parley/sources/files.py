@@ -1,26 +1,54 @@
 """Dataset files in and out: JSON lines, JSON arrays, single objects, text."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.constants import DATASET_EXTENSIONS, TRAINING_OBJECT_KEYS
 from ..operators.entries import entry_json, once
+from ..session import cut_lineage
 
 
-def gate(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, error)`` per file: extension and UTF-8 checks, error NULL when
-    the file can be read. One task reads one file, as a listing does."""
-    files = spark.read.format("binaryFile").load(path)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return files.select(
-        F.col("path").alias("source"),
+def survey_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, error, whole)`` per file: whether it can be read, and how.
+
+    The error tells of a wrong extension or bytes that are not UTF-8, else NULL.
+    ``whole`` marks files that hold one JSON array or object instead of lines, by
+    their first line: an array opens, or a ``.json`` object that does not end on
+    it. Lines are tested where they are read; only flags leave the scan.
+    """
+    name = F.col("_metadata.file_path").alias("source")
+    listed = spark.read.format("binaryFile").load(path).select(name)  # names only, no content
+    text = tx.strip(F.col("value"))
+    lines = spark.read.text(path).select(
+        name, (~F.is_valid_utf8("value")).alias("bad"), (text != "").alias("filled"),
+        # one task reads the start of a file, in order
+        F.when((F.col("_metadata.file_block_start") == 0) & (text != ""), F.ascii(F.left(text, F.lit(1)))).alias("opens"),
+        F.when((F.col("_metadata.file_block_start") == 0) & (text != ""), F.ascii(F.right(text, F.lit(1)))).alias("ends"),
+    )
+    facts = lines.groupBy("source").agg(
+        F.bool_or("bad").alias("bad"), F.count_if("filled").alias("n"),
+        F.first("opens", ignorenulls=True).alias("opens"), F.first("ends", ignorenulls=True).alias("ends"),
+    )
+    ext = F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1))
+    one = (ext == ".json") & (F.col("opens") == ord("{")) & ((F.col("n") == 1) | (F.col("ends") != ord("}")))
+    return listed.join(facts, "source", "left").select(
+        "source",
         F.when(~ext.isin(*DATASET_EXTENSIONS), F.concat(F.lit("Unsupported file type: "), ext))
-        .when(~F.is_valid_utf8(F.col("content").cast("string")), "Not valid UTF-8")
+        .when(F.col("bad"), "Not valid UTF-8")
         .alias("error"),
+        F.coalesce((F.col("opens") == ord("[")) | one, F.lit(False)).alias("whole"),
     )
 
 
+def gate(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, error)`` per file: extension and UTF-8 checks, error NULL when
+    the file can be read."""
+    return survey_files(spark, path).select("source", "error")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with ``source`` and a 1-based ``line`` number.
 
@@ -72,7 +100,7 @@ def read_counts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def whole_documents(spark: SparkSession, path: str) -> DataFrame:
+def whole_documents(spark: SparkSession, path) -> DataFrame:
     """Files read whole, for arrays and single objects: ``(source, value)``."""
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), "value"
@@ -80,13 +108,18 @@ def whole_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_kind(source: Column, value: Column) -> Column:
-    """array / object / lines: how the content of a file has to be read."""
+    """array / object / lines: how the content of a file has to be read.
+
+    The JSON parser stops after a first value, so the text is tried as the only
+    item of a list: several values one after another are lines.
+    """
     text = tx.strip(value)
-    v = F.try_parse_json(text)
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = boxed.isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
     is_json = F.lower(source).endswith(".json")
     return (
-        F.when(text.startswith("[") & v.isNotNull(), "array")
-        .when(is_json & text.startswith("{") & v.isNotNull(), "object")
+        F.when(text.startswith("[") & single, "array")
+        .when(is_json & text.startswith("{") & single, "object")
         .otherwise("lines")
     )
 
@@ -126,15 +159,30 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     return good.unionByName(one).unionByName(errors)
 
 
-def read_dataset(spark: SparkSession, path: str, *, layout: str = "lines") -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, *, layout: str = "auto") -> DataFrame:
     """Parsed rows ``(source, line, record, error)`` of one or many files.
 
-    ``layout="lines"`` splits large files; ``"documents"`` reads each file whole,
-    which arrays and single objects need, and falls back to lines per file.
+    ``"auto"`` looks at each file first: refused files give one error row, files
+    of lines are split, arrays and single objects are read whole. ``"lines"``
+    and ``"documents"`` take that choice for all files; the latter falls back to
+    lines per file.
     """
     if layout == "lines":
         return parse_lines(read_lines(spark, path))
-    docs = whole_documents(spark, path)
+    if layout == "documents":
+        return _read_whole(whole_documents(spark, path))
+    found = cut_lineage(survey_files(spark, path))  # one row a file
+    refused = found.where(F.col("error").isNotNull()).select(
+        "source", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("record"), "error"
+    )
+    fine = found.where(F.col("error").isNull())
+    lines = read_lines(spark, path).join(fine.where(~F.col("whole")).select("source"), "source", "left_semi")
+    out = parse_lines(lines).unionByName(refused)
+    names = [unquote(r["source"]) for r in fine.where("whole").select("source").collect()]  # a list of files, as a listing is
+    return out.unionByName(_read_whole(whole_documents(spark, names))) if names else out
+
+
+def _read_whole(docs: DataFrame) -> DataFrame:
     by_line = docs.where(document_kind(F.col("source"), F.col("value")) == "lines").select(
         "source", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "value")
     ).select("source", (F.col("pos") + 1).cast("long").alias("line"), "value")

@@ -254,13 +254,25 @@ def test_file_kinds_and_gate(spark, tmp_path):
     (tmp_path / "lines.txt").write_text(f"{ok}\n\nbad\n{ok}\n")
     (tmp_path / "bad.csv").write_text("x")
     (tmp_path / "latin.jsonl").write_bytes(b'{"a": "\xe9"}')
-    rows = files.read_dataset(spark, str(tmp_path / "*.[jt]*[nt]"), layout="documents")
-    count = {}
-    for r in rows.collect():
-        key = r["source"].rsplit("/", 1)[1]
-        good, bad = count.get(key, (0, 0))
-        count[key] = (good + (r["record"] is not None), bad + (r["error"] is not None))
-    assert count == {"arr.json": (2, 0), "mixed.json": (0, 1), "obj.json": (1, 0), "odd.json": (0, 1), "lines.txt": (2, 1)}
+    (tmp_path / "pretty.json").write_text(json.dumps(chat("a", "b"), indent=1))
+    (tmp_path / "many lines.json").write_text(f"\n{ok}\n{ok}\n")
+    (tmp_path / "empty.jsonl").write_text("")
+
+    def counts(rows):
+        out = {}
+        for r in rows.collect():
+            key = r["source"].rsplit("/", 1)[1]
+            good, bad = out.get(key, (0, 0))
+            out[key] = (good + (r["record"] is not None), bad + (r["error"] is not None))
+        return out
+
+    want = {
+        "arr.json": (2, 0), "mixed.json": (0, 1), "obj.json": (1, 0), "odd.json": (0, 1), "lines.txt": (2, 1),
+        "pretty.json": (1, 0), "many%20lines.json": (2, 0),
+    }
+    assert counts(files.read_dataset(spark, str(tmp_path / "*.[jt]*[nt]"), layout="documents")) == want
+    refused = {"bad.csv": (0, 1), "latin.jsonl": (0, 1)}
+    assert counts(files.read_dataset(spark, str(tmp_path))) == want | refused
     gate = {r["source"].rsplit("/", 1)[1]: r["error"] for r in files.gate(spark, str(tmp_path)).collect()}
     assert gate["bad.csv"].startswith("Unsupported") and gate["latin.jsonl"] == "Not valid UTF-8" and gate["obj.json"] is None
 
