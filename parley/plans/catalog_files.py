@@ -116,13 +116,13 @@ def read_json_array(spark, sf):
 
 
 @query("read_json_object", sql(
-    "SELECT e AS entry_index, k IN (0, 1, 2, 3, 6, 7, 9) AS loaded, CASE WHEN k = 4 THEN 'Object is not a training record' END AS error FROM kinds WHERE k NOT IN (5, 8)", "kinds"))
+    "SELECT e AS entry_index, k NOT IN (4, 8) AS loaded, CASE k WHEN 4 THEN 'Object is not a training record' WHEN 8 THEN 'Line 1: not valid JSON' END AS error FROM kinds", "kinds"))
 def read_json_object(spark, sf):
-    """Every record that is an object, as a document of its own."""
-    docs = ad.records(spark, sf).where(~(F.col("entry_index") % 10).isin(5, 8)).select(
+    """Every record as a document of its own."""
+    docs = ad.records(spark, sf).select(
         F.concat(F.col("entry_index").cast("string"), F.lit(".json")).alias("source"), F.col("record").alias("value")
     )
-    out = files.parse_documents(docs)
+    out = files.parse_whole(docs)
     return out.select(
         F.split_part("source", F.lit("."), F.lit(1)).cast("long").alias("entry_index"), F.col("record").isNotNull().alias("loaded"), "error"
     )
@@ -177,14 +177,13 @@ def export_sharegpt(spark, sf):
 
 
 @query("load_pipeline", sql(
-    f"SELECT row_number() OVER (ORDER BY d.e) - 1 AS entry_index, md5(string_agg({NORMAL_ROLE} || chr(1) || {strip('c')}, chr(2) ORDER BY i)) AS fingerprint, "
-    "max(CASE k WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'a,b' WHEN 6 THEN '' ELSE coalesce(g.tags, '') END) AS tags "
+    f"SELECT row_number() OVER (ORDER BY d.e) - 1 AS entry_index, CASE WHEN k IN (0, 1, 2, 6, 9) THEN md5(string_agg({NORMAL_ROLE} || chr(1) || {strip('c')}, chr(2) ORDER BY i)) END AS fingerprint, "
+    "max(CASE WHEN k IN (0, 1, 3, 6) THEN '' WHEN k = 2 THEN 'a,b' WHEN k = 4 THEN 'a' WHEN k = 7 THEN 's' WHEN k = 9 THEN coalesce(g.tags, '') END) AS tags "
     f"FROM dirty d JOIN kinds USING (e) LEFT JOIN (SELECT e, string_agg({slug('tag')}, ',' ORDER BY pos) AS tags FROM tagrows GROUP BY e) g ON g.e = d.e "
-    "WHERE k IN (0, 1, 2, 6, 9) GROUP BY d.e", "dirty", "kinds", "tagrows"))
+    "WHERE k <> 8 GROUP BY d.e, k", "dirty", "kinds", "tagrows"))
 def load_pipeline(spark, sf):
-    """JSON lines to clean entries; only the lines that carry messages."""
-    lines = _lines(spark, sf).where(((F.col("line") - 1) % 10).isin(0, 1, 2, 6, 9))
-    out = load.entries_from_records(files.index_records(files.parse_lines(lines)))
+    """JSON lines to clean entries: all records, and the bad lines left out by the reader."""
+    out = load.entries_from_records(files.index_records(files.parse_lines(_lines(spark, sf))))
     return out.select("entry_index", _fingerprint().alias("fingerprint"), F.array_join("tags", ",").alias("tags"))
 
 

@@ -50,11 +50,11 @@ def resolve_aliases(spark, sf):
 
 
 @query("canonicalize_aliases", sql(
-    "SELECT e AS entry_index, string_agg(t, ',' ORDER BY pos) AS tags, sum(w)::BIGINT AS rewrite_count FROM (SELECT t.e, t.pos, CASE WHEN r.kind = 'alias_mapped' THEN r.resolved ELSE t.tag END AS t, "
-    "CASE WHEN r.kind = 'alias_mapped' THEN 1 ELSE 0 END AS w FROM tagrows t JOIN resolved r ON r.tag = t.tag) GROUP BY e", "resolved"))
+    "SELECT i.e AS entry_index, coalesce(string_agg(CASE WHEN r.kind = 'alias_mapped' THEN r.resolved ELSE t.tag END, ',' ORDER BY t.pos), '') AS tags, "
+    "count(*) FILTER (r.kind = 'alias_mapped') AS rewrite_count FROM ids i LEFT JOIN tagrows t ON t.e = i.e LEFT JOIN resolved r ON r.tag = t.tag GROUP BY i.e", "ids", "resolved"))
 def canonicalize_aliases(spark, sf):
     out = tg.canonicalize_aliases(ad.entries_tagged(spark, sf), _resolved(spark, sf))
-    return out.where(F.size("tags") > 0).select("entry_index", F.array_join("tags", ",").alias("tags"), "rewrite_count")
+    return out.select("entry_index", F.array_join("tags", ",").alias("tags"), "rewrite_count")
 
 
 @query("save_repaired", sql(

@@ -170,7 +170,7 @@ def read_dataset(spark: SparkSession, path: str, *, layout: str = "auto") -> Dat
     if layout == "lines":
         return parse_lines(read_lines(spark, path))
     if layout == "documents":
-        return _read_whole(whole_documents(spark, path))
+        return parse_whole(whole_documents(spark, path))
     found = cut_lineage(survey_files(spark, path))  # one row a file
     refused = found.where(F.col("error").isNotNull()).select(
         "source", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("record"), "error"
@@ -179,10 +179,11 @@ def read_dataset(spark: SparkSession, path: str, *, layout: str = "auto") -> Dat
     lines = read_lines(spark, path).join(fine.where(~F.col("whole")).select("source"), "source", "left_semi")
     out = parse_lines(lines).unionByName(refused)
     names = [unquote(r["source"]) for r in fine.where("whole").select("source").collect()]  # a list of files, as a listing is
-    return out.unionByName(_read_whole(whole_documents(spark, names))) if names else out
+    return out.unionByName(parse_whole(whole_documents(spark, names))) if names else out
 
 
-def _read_whole(docs: DataFrame) -> DataFrame:
+def parse_whole(docs: DataFrame) -> DataFrame:
+    """``(source, line, record, error)`` of files read whole, of any kind."""
     by_line = docs.where(document_kind(F.col("source"), F.col("value")) == "lines").select(
         "source", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "value")
     ).select("source", (F.col("pos") + 1).cast("long").alias("line"), "value")
