@@ -68,9 +68,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark, tasks = tuple(now), 1 + now[0] // ROWS_A_TASK
         few = lambda df: df.coalesce(tasks)  # noqa: B023, E731
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = few(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        # the smaller neighbours of a node are what its own links name; a root has none
+        low = few(links.groupBy("u").agg(F.min("v").alias("m"))).withColumnRenamed("u", "v")
+        large = few(links.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         least = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("x"), F.least("v", "m").alias("y")).where("x > y")
         links = cut_lineage(few(small.union(least.select("u", "m")).toDF("u", "v").distinct()))
