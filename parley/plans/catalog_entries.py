@@ -375,14 +375,13 @@ def page(spark, sf):
 
 
 @query("entry_order", sql(
-    "SELECT e AS conv_id, row_number() OVER (ORDER BY e) - 1 AS entry_index FROM ids WHERE e IN (SELECT doc_id FROM labels)", "ids"))
+    "SELECT e AS conv_id, row_number() OVER (ORDER BY n, e) - 1 AS entry_index FROM (SELECT e, count(*) AS n FROM raw GROUP BY e)", "raw"))
 def entry_order(spark, sf):
-    """Dense positions of the conversations that carry a label."""
+    """Dense positions of all conversations by their number of turns."""
     from ..operators.ordering import dense_index
 
-    labels = ad.table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"))
-    ids = ad.table(spark, sf, "conversations").select("conv_id").distinct().join(labels, "conv_id", "left_semi")
-    return dense_index(ids, "conv_id").select("conv_id", "entry_index")
+    sizes = ad.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return dense_index(sizes, "n", ("conv_id",)).select("conv_id", "entry_index")
 
 
 @query("shuffle_entries", sql("SELECT e AS entry_index FROM ids", "ids"))

@@ -158,14 +158,14 @@ def rename_check(spark, sf):
 
 
 @query("rename_tags", sql(
-    f"SELECT e AS entry_index, string_agg(CASE WHEN r.slug IS NOT NULL THEN s || '_x' ELSE s END, ',' ORDER BY pos) AS tags FROM (SELECT e, pos, {slug('tag')} AS s FROM tagrows) t "
-    "LEFT JOIN reg r ON r.slug = t.s AND r.status = 'active' GROUP BY e", "tagrows", "reg"))
+    f"SELECT i.e AS entry_index, coalesce(string_agg(CASE WHEN r.slug IS NOT NULL THEN s || '_x' ELSE s END, ',' ORDER BY pos), '') AS tags "
+    f"FROM ids i LEFT JOIN (SELECT e, pos, {slug('tag')} AS s FROM tagrows) t ON t.e = i.e LEFT JOIN reg r ON r.slug = t.s AND r.status = 'active' GROUP BY i.e", "ids", "tagrows", "reg"))
 def rename_tags(spark, sf):
     tags, cats, life = _registry(spark, sf)
     checked = tg.rename_check(tags, cats, life, _requests(spark, sf))
     rows = no.normalize_tags(ad.entries_tagged(spark, sf)).select(*en.ENTRY_COLUMNS)
     out, _, _ = tg.rename_tags(rows, tags, life, checked)
-    return out.where(F.size("tags") > 0).select("entry_index", F.array_join("tags", ",").alias("tags"))
+    return out.select("entry_index", F.array_join("tags", ",").alias("tags"))
 
 
 @query("delete_tags", sql(
