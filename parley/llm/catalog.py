@@ -132,7 +132,33 @@ def op5_sharding(spark, sf_dir):
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op6_ngram_join")
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+), b AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), r(d, z) AS (
+  SELECT DISTINCT x, x FROM b UNION SELECT r.d, b.y FROM r JOIN b ON b.x = r.z
+), m AS (
+  SELECT d, min(z) AS low FROM r GROUP BY d
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.low, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.d = w.doc_id
+"""
+
+
+@query("op6_ngram_join", OP6_SQL)
 def op6_ngram_join(spark, sf_dir):
     """Classes of all documents whose 4-word shingles agree by 85 in 100."""
     return trie_join.similar_documents(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
