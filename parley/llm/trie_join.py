@@ -46,7 +46,8 @@ BLOCK = 1500  # sets whose trie one task builds
 PIVOTS = 8  # sets that all parts of a large block share
 WALKERS = 256  # sets that walk a trie together
 FLUSH = 1_500_000  # n-grams a task gathers before it packs them
-LOW48 = np.uint64((1 << 48) - 1)
+LOW40 = np.uint64((1 << 40) - 1)
+RUN = 65535  # n-grams a packed header counts
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
@@ -85,11 +86,13 @@ def _cells(key: np.ndarray, sid: np.ndarray, n: np.ndarray, h: np.ndarray, extra
     new = np.ones(len(h), bool)
     new[1:] = (sid[1:] != sid[:-1]) | (key[1:] != key[:-1])
     head = np.flatnonzero(new)
-    cnt = np.diff(np.append(head, len(h))).astype(np.uint32)
+    since = np.arange(len(h)) - np.repeat(head, np.diff(np.append(head, len(h))))
+    head = np.flatnonzero(since % RUN == 0)  # a long run has several headers
+    cnt = np.diff(np.append(head, len(h))).astype(np.uint16)
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(h) else np.zeros(0, np.int64)
     stop = np.append(cut[1:], len(h))
     at, to = np.searchsorted(head, cut), np.searchsorted(head, stop)
-    lo, hi = h.astype(np.uint32), ((h & LOW48) >> np.uint64(32)).astype(np.uint16)
+    lo, hi = h.astype(np.uint32), ((h & LOW40) >> np.uint64(32)).astype(np.uint8)
     hsid, hn = sid[head], n[head].astype(np.uint32)
     more = {c: v[order] for c, v in (extra or {}).items()}
     return [
@@ -100,10 +103,10 @@ def _cells(key: np.ndarray, sid: np.ndarray, n: np.ndarray, h: np.ndarray, extra
 
 
 def _open(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set id, set size and 48-bit n-gram of every element."""
+    """Set id, set size and 40-bit n-gram of every element."""
     get = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
-    cnt = get("cnt", np.uint32)
-    h = get("lo", np.uint32).astype(np.uint64) | (get("hi", np.uint16).astype(np.uint64) << np.uint64(32))
+    cnt = get("cnt", np.uint16)
+    h = get("lo", np.uint32).astype(np.uint64) | (get("hi", np.uint8).astype(np.uint64) << np.uint64(32))
     return np.repeat(get("sid", np.uint64), cnt), np.repeat(get("n", np.uint32), cnt), h
 
 

@@ -71,12 +71,30 @@ def test_large_blocks_in_parts(documents, monkeypatch):
     monkeypatch.setattr(trie_join, "BLOCK", 6)
     monkeypatch.setattr(trie_join, "PIVOTS", 2)
     monkeypatch.setattr(trie_join, "WALKERS", 5)
+    monkeypatch.setattr(trie_join, "RUN", 3)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(90)]
     texts = _family(rng, base, 60, 6) + _family(rng, base[:50] + [f"v{i}" for i in range(40)], 20, 2)
     _check(documents, texts, 4, 85, 100)
 
 
+def test_long_runs_are_packed_and_opened(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    sid = np.repeat(rng.integers(1, 2**63, 9).astype(np.uint64), 50)
+    h = rng.integers(0, 2**40, 450).astype(np.uint64)
+    key = rng.integers(0, 4, 450).astype(np.uint16)
+    monkeypatch.setattr(trie_join, "RUN", 5)
+    rows = trie_join._cells(key, sid, np.full(450, 50), h)
+    got = set()
+    for r in rows:
+        s, n, g = trie_join._open(pd.DataFrame([r[1:]], columns=trie_join._NAMES))
+        assert (n == 50).all()
+        got |= {(r[0], a, b) for a, b in zip(s.tolist(), g.tolist())}
+    assert got == set(zip(key.tolist(), sid.tolist(), h.tolist()))
+
+
 def test_trie_links_connect_what_all_pairs_connect():
     rng = random.Random(11)
     for trial in range(30):
