@@ -1,17 +1,21 @@
 """Log-bilinear language model with noise-contrastive training; token probabilities.
 
-Tokens are words, and one end token a text. Outcomes of the network are
-``CLASSES`` classes: the most frequent words and the end token alone, all other
-words by a hash of their last two bytes. A word's probability is its class's
-times its share of the class, from add-one counts with one unknown word a class:
-all outcomes sum to 1.
-
-A context of ``CONTEXT`` classes predicts ``q = sum C_i r_i`` (one table of
-vectors a position), a class scores ``q . v + b``. Training is one pass over all
-training texts: each task descends on its own rows from the same start, with
-noise drawn from class frequencies and shared by a batch, and the tasks' tables
-are averaged by tokens, row by row, in Spark. Scoring is a matrix product and a
-softmax over all classes for each token.
+Tokens are words, and one end token a text. A word is reached in three steps,
+each a softmax given the context. First one of ``CLASSES`` classes: the most
+frequent words and the end token alone, all other words by a hash of their last
+two bytes. Then a group inside the class: its words in the table of frequent
+words, cut by frequency into groups of ``GROUP``, and one group of all others.
+Then the word inside the group. Words of the last group share its probability by
+add-one counts with one unknown word a class: all outcomes sum to 1.
+
+A context predicts ``q = sum (C_i c_i + d_i * r_i)``: a vector for the class of
+each of ``CONTEXT`` words (one table a position) and one for the word itself,
+weighed by position. An outcome scores ``q . v + b``; classes, groups and words of
+the table have their own ``v`` and ``b``. Training is one pass over all training
+texts: each task descends on its own rows from the same start, on classes with
+noise drawn from class frequencies and shared by a batch, on groups and words with
+the exact gradient of their small softmaxes. The tasks' tables are averaged in
+Spark, row by row: classes by tokens, words by the tokens that moved them.
 
 Counts cover every training token. Words occur too often in a kind to be sent
 anywhere whole, so: a table of the most frequent words (``FREQUENT`` slots at
@@ -49,6 +53,11 @@ RATE = 0.15
 FREQUENT = 1 << 17
 SLOTS = 1 << 20
 GATHER = 3_000_000
+GROUP = 16  # words of a class that share a softmax
+CHUNK = 1 << 17  # tokens between two updates of word vectors
+STEP = 1024  # tokens of one softmax between two updates
+FEW = 12  # tokens of one softmax at most that are taken together with those of others
+BLOCK = 256  # table rows sent together
 END_HASH = mix(np.array([0xE0D], np.uint64))[0]
 
 
@@ -114,23 +123,37 @@ class Vocabulary:
         mass[END] = (ends[0] if len(ends) else 0) + 1
         slot = (h >> np.uint64(44)).astype(np.int64)
         _, one = np.unique(slot, return_index=True)  # the most frequent of each slot
-        own = mass[cls]
-        within = np.where(cls > END, np.log10(c + 1) - np.log10(own), 0.0)
         self.key = np.zeros(SLOTS, np.uint64)
         self.cls = np.full(SLOTS, -1, np.int16)
-        self.count, self.within = np.zeros(SLOTS), np.zeros(SLOTS)
+        self.count = np.zeros(SLOTS)
         self.key[slot[one]], self.cls[slot[one]] = h[one], cls[one]
-        self.count[slot[one]], self.within[slot[one]] = np.log10(c[one] + 1), within[one]
-        self.mass, self.log_mass = mass, np.log10(np.maximum(mass, 1))
+        self.count[slot[one]] = np.log10(c[one] + 1)
+        self.mass = mass
+        own = np.sort(one[cls[one] > END])
+        own = own[np.argsort(cls[own], kind="stable")]  # by class, the frequent first
+        kind = cls[own].astype(np.int64) - END - 1
+        each = np.bincount(kind, minlength=TAILS)
+        self.first_group = np.append(0, np.cumsum(-(-each // GROUP) + 1))
+        place = np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
+        self.group = self.first_group[kind] + place // GROUP
+        self.groups = int(self.first_group[-1])
+        self.first_word = np.searchsorted(self.group, np.arange(self.groups + 1))
+        self.word = np.full(SLOTS, len(own), np.int32)  # beyond the last: none
+        self.word[slot[own]] = np.arange(len(own))
+        self.word_mass = (c[own] + 1).astype(float)
+        self.rest = np.maximum(mass[END + 1 :] - np.bincount(kind, self.word_mass, TAILS), 1)
+        self.group_mass = np.bincount(self.group, self.word_mass, self.groups)
+        self.group_mass[self.first_group[1:] - 1] = self.rest
         self.total, self.kinds = total, kinds
         self.end_count = ends[0] if len(ends) else 0
 
     def classes(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot, hit, class) of every word."""
+        """(hit, class, row of the word in the table of vectors) of every word."""
         slot = (w.hash >> np.uint64(44)).astype(np.int64)
         hit = self.key[slot] == w.hash
         hit &= self.cls[slot] >= 0
-        return slot, hit, np.where(hit, self.cls[slot], HEADS + 1 + _tail(w, w.start, w.end)).astype(np.int64)
+        cls = np.where(hit, self.cls[slot], HEADS + 1 + _tail(w, w.start, w.end)).astype(np.int64)
+        return hit, cls, np.where(hit, self.word[slot], len(self.group)).astype(np.int64)
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -156,7 +179,11 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 class Model:
-    """Tables of context vectors, class vectors and biases, as one matrix."""
+    """Context vectors, class vectors and biases as one matrix, those of words and groups as another.
+
+    Rows of ``x`` are the words, the groups, one weight vector a position and an
+    empty row for no word; its columns the input vector, the output vector and the bias.
+    """
 
     ROWS = (CONTEXT + 1) * (CLASSES + 1)  # the last class of a context table is the text's start
 
@@ -167,6 +194,12 @@ class Model:
         p = np.maximum(vocab.mass, 0.5)
         self.noise = p / p.sum()
         self.w[CONTEXT * (CLASSES + 1) :][:CLASSES, DIM] = np.log(self.noise)
+        n = len(vocab.group)
+        self.words, self.positions, self.none = n, n + vocab.groups, n + vocab.groups + CONTEXT
+        self.x = np.zeros((self.none + 1, 2 * DIM + 1), np.float32)
+        self.x[:n, -1] = np.log(vocab.word_mass)
+        self.x[n : self.positions, -1] = np.log(vocab.group_mass)
+        self.x[self.positions : self.none, :DIM] = 1
 
     @property
     def out(self) -> np.ndarray:
@@ -178,29 +211,47 @@ class Model:
             q = q + self.w[ctx[:, i], :DIM]
         return q
 
+    def inputs(self, past: np.ndarray) -> np.ndarray:
+        """What the words of a context add to ``predict``."""
+        q = np.zeros((len(past), DIM), np.float32)
+        for i in range(CONTEXT):
+            known = np.flatnonzero(past[:, i] < self.words)
+            q[known] += self.x[past[known, i], :DIM] * self.x[self.positions + i, :DIM]
+        return q
 
-def _stream(w, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts as table rows, targets) of all tokens, the end tokens included."""
-    target = np.insert(cls, w.first[1:], END)
+
+def _stream(w, cls: np.ndarray, word: np.ndarray, none: int):
+    """(contexts as table rows, targets, context words, target words) of all tokens, the end tokens included."""
+    target, own = np.insert(cls, w.first[1:], END), np.insert(word, w.first[1:], none)
     begin = w.first[:-1] + np.arange(len(w.first) - 1)
     since = np.arange(len(target)) - np.repeat(begin, np.diff(np.append(begin, len(target))))
-    ctx = np.empty((len(target), CONTEXT), np.int64)
+    ctx, read = np.empty((2, len(target), CONTEXT), np.int64)
     for i in range(CONTEXT):
         past = np.full(len(target), CLASSES)
         past[i + 1 :] = target[: len(target) - i - 1]
         past[since <= i] = CLASSES
         ctx[:, i] = past + i * (CLASSES + 1)
-    return ctx, target
+        before = np.full(len(target), none)
+        before[i + 1 :] = own[: len(target) - i - 1]
+        before[since <= i] = none
+        read[:, i] = before
+    return ctx, target, read, own
+
 
+def descend(model: Model, ctx: np.ndarray, target: np.ndarray, squares: np.ndarray, rng, extra: np.ndarray | None = None) -> np.ndarray:
+    """One pass of noise-contrastive estimation, in place, with adaptive rates.
 
-def descend(model: Model, ctx: np.ndarray, target: np.ndarray, squares: np.ndarray, rng) -> None:
-    """One pass of noise-contrastive estimation, in place, with adaptive rates."""
+    ``extra`` is added to the predictions; the result is the gradient of these.
+    """
+    moves = np.empty((len(target), DIM), np.float32)
     base = CONTEXT * (CLASSES + 1)
     w, ln_kp = model.w, np.log(NOISE * model.noise).astype(np.float32)
     cum = np.cumsum(model.noise)
     for s in range(0, len(target), BATCH):
         c, t = ctx[s : s + BATCH], target[s : s + BATCH]
         q = model.predict(c)
+        if extra is not None:
+            q = q + extra[s : s + BATCH]
         noise = np.minimum(np.searchsorted(cum, rng.random(NOISE)), CLASSES - 1)
         vt, vn = w[base + t], w[base + noise]
         pos = (q * vt[:, :DIM]).sum(1) + vt[:, DIM] - ln_kp[t]
@@ -208,6 +259,7 @@ def descend(model: Model, ctx: np.ndarray, target: np.ndarray, squares: np.ndarr
         gp = 1 / (1 + np.exp(np.clip(pos, -30, 30)))  # towards the data
         gn = -1 / (1 + np.exp(np.clip(-neg, -30, 30)))  # away from the noise
         dq = gp[:, None] * vt[:, :DIM] + gn @ vn[:, :DIM]
+        moves[s : s + BATCH] = dq
         q1 = np.concatenate([q, np.ones((len(q), 1), np.float32)], 1)
         grad = np.zeros_like(w)
         dv = gp[:, None] * q1
@@ -225,68 +277,225 @@ def descend(model: Model, ctx: np.ndarray, target: np.ndarray, squares: np.ndarr
         w += RATE * grad / (np.sqrt(squares) + 1e-4)
 
 
-WEIGHTS = "row int, w binary, n long"
+    return moves
+
+
+class Gains:
+    """Sums of squared gradients of ``x``, and how many tokens moved the inputs and outputs of its rows."""
+
+    def __init__(self, model: Model):
+        self.squares = np.ones_like(model.x)
+        self.moved = np.zeros((len(model.x), 2), np.float32)
+
+
+def _choose(model: Model, q, first, last, pick, gains: Gains | None):
+    """Log-probability of row ``pick`` among the rows from ``first`` to ``last``, and the gradient of ``q``.
+
+    Tokens that choose among the same rows are taken together; with ``gains`` the rows move.
+    """
+    lp, dq = np.zeros(len(pick)), np.zeros_like(q)
+    order = np.argsort(first, kind="stable")
+    order = order[(last - first)[order] > 1]
+    head = np.diff(first[order], prepend=-1) != 0
+    if gains is not None:
+        since = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+        head |= since % STEP == 0
+    cuts = np.append(np.flatnonzero(head), len(order))
+    q1 = np.concatenate([q[order], np.ones((len(order), 1), np.float32)], 1)
+    pick = pick[order]
+    won, slope = np.zeros(len(order)), np.zeros((len(order), DIM), np.float32)
+    sizes, starts, ends = np.diff(cuts), first[order[cuts[:-1]]], last[order[cuts[:-1]]]
+    few = (sizes <= FEW) & (ends - starts <= GROUP)
+    if gains is not None:  # one update a row at a time
+        few &= (np.diff(starts, prepend=-1) != 0) & (np.diff(starts, append=-1) != 0)
+    small = np.flatnonzero(few)
+    for s in range(0, len(small), 512):
+        at = small[s : s + 512]
+        n = sizes[at]
+        heads = np.cumsum(n) - n
+        each = np.repeat(np.arange(len(at)), n)
+        token = np.arange(len(each)) + np.repeat(cuts[at] - heads, n)
+        cell = starts[at][:, None] + np.arange(GROUP)
+        cell = np.where(cell < ends[at][:, None], cell, model.none)
+        rows = model.x[cell, DIM:]
+        own, q = rows[each], q1[token]
+        z = np.matmul(own, q[:, :, None])[:, :, 0]
+        z[(cell == model.none)[each]] = -np.inf
+        z -= z.max(1, keepdims=True)
+        chosen = np.arange(len(each)), pick[token] - starts[at][each]
+        top = z[chosen]
+        np.exp(z, out=z)
+        total = z.sum(1, keepdims=True)
+        won[token] = top - np.log(total[:, 0])
+        if gains is not None:
+            z /= -total
+            z[chosen] += 1
+            slope[token] = np.matmul(z[:, None], own[:, :, :DIM])[:, 0]
+            grad = np.add.reduceat(z[:, :, None] * q[:, None], heads)
+            squares = gains.squares[cell, DIM:] + grad * grad
+            gains.squares[cell, DIM:] = squares
+            model.x[cell, DIM:] = rows + RATE * grad / np.sqrt(squares)
+            gains.moved[cell, 1] += n[:, None]
+            gains.moved[model.none] = 0
+    for k in np.flatnonzero(~few):
+        i, j, a, b = cuts[k], cuts[k + 1], starts[k], ends[k]
+        rows = model.x[a:b, DIM:]
+        z = q1[i:j] @ rows.T
+        z -= z.max(1, keepdims=True)
+        cell = np.arange(j - i), pick[i:j] - a
+        own = z[cell]
+        np.exp(z, out=z)
+        total = z.sum(1, keepdims=True)
+        won[i:j] = own - np.log(total[:, 0])
+        if gains is not None:
+            z /= -total
+            z[cell] += 1
+            slope[i:j] = z @ rows[:, :DIM]
+            grad = z.T @ q1[i:j]
+            squares = gains.squares[a:b, DIM:]
+            squares += grad * grad
+            grad *= RATE
+            grad /= np.sqrt(squares)
+            rows += grad
+            gains.moved[a:b, 1] += j - i
+    lp[order], dq[order] = won, slope
+    return lp, dq
+
+
+def lower(model: Model, vocab: Vocabulary, q, target, own, gains: Gains | None = None):
+    """Log-probabilities of all tokens' groups and words given their classes, and the gradient of ``q``."""
+    lp, dq = np.zeros(len(target)), np.zeros_like(q)
+    tail = np.flatnonzero(target > END)
+    kind, word, q = target[tail] - END - 1, own[tail], q[tail]
+    known = np.flatnonzero(word < model.words)
+    group = vocab.first_group[kind + 1] - 1
+    group[known] = vocab.group[word[known]]
+    lp[tail], dq[tail] = _choose(model, q, model.words + vocab.first_group[kind], model.words + vocab.first_group[kind + 1], model.words + group, gains)
+    more, dmore = _choose(model, q[known], vocab.first_word[group[known]], vocab.first_word[group[known] + 1], word[known], gains)
+    lp[tail[known]] += more
+    dq[tail[known]] += dmore
+    return lp, dq
+
+
+def learn(model: Model, vocab: Vocabulary, ctx, target, read, own, squares: np.ndarray, gains: Gains, rng) -> None:
+    """One pass over the tokens, in place: classes, groups and words, then the words of the contexts."""
+    for s in range(0, len(target), CHUNK):
+        c, t, r, o = ctx[s : s + CHUNK], target[s : s + CHUNK], read[s : s + CHUNK], own[s : s + CHUNK]
+        extra = model.inputs(r)
+        _, dq = lower(model, vocab, model.predict(c) + extra, t, o, gains)
+        dq += descend(model, c, t, squares, rng, extra)
+        place = model.x[model.positions : model.none, :DIM]
+        flat = r.T.ravel()
+        seen = np.flatnonzero(flat < model.words)
+        if not len(seen):
+            continue
+        order = seen[np.argsort(flat[seen], kind="stable")]
+        rows, token, i = flat[order], order % len(t), order // len(t)
+        head = np.flatnonzero(np.diff(rows, prepend=-1))
+        grad = np.add.reduceat(dq[token] * place[i], head)
+        turn = np.zeros((CONTEXT, DIM), np.float32)
+        for k in range(CONTEXT):
+            known = np.flatnonzero(r[:, k] < model.words)
+            turn[k] = np.einsum("nd,nd->d", dq[known], model.x[r[known, k], :DIM])
+        ids = rows[head]
+        for where, g in ((ids, grad), (np.arange(model.positions, model.none), turn)):
+            sq = gains.squares[where, :DIM] + g * g
+            gains.squares[where, :DIM] = sq
+            model.x[where, :DIM] += RATE * g / np.sqrt(sq)
+        gains.moved[ids, 0] += np.diff(np.append(head, len(rows)))
+        gains.moved[model.positions : model.none, 0] += len(t)
+
+
+WEIGHTS = "block int, ids binary, moved binary, w binary"
+
+
+def _packed(rows: np.ndarray, moved: np.ndarray, sign: int):
+    """The rows that moved, by blocks; those of classes have negative numbers."""
+    ids = np.flatnonzero(moved.any(1)).astype(np.int32)
+    for at in np.split(ids, np.flatnonzero(np.diff(ids // BLOCK)) + 1) if len(ids) else ():
+        n = int(at[0]) // BLOCK
+        yield n if sign > 0 else -1 - n, at.tobytes(), moved[at].tobytes(), rows[at].tobytes()
 
 
 def _train(batches, vocab: Vocabulary):
     model, n = Model(vocab), 0
-    squares = np.zeros_like(model.w)
+    squares, gains = np.zeros_like(model.w), Gains(model)
     rng = np.random.Generator(np.random.PCG64(7))
     for b in slices(batches, "text"):
         w = words(b.column("text"))
-        ctx, target = _stream(w, vocab.classes(w)[2])
-        descend(model, ctx, target, squares, rng)
+        _, cls, word = vocab.classes(w)
+        ctx, target, read, own = _stream(w, cls, np.where(word < model.words, word, model.none), model.none)
+        learn(model, vocab, ctx, target, read, own, squares, gains, rng)
         n += len(target)
     if n:
-        rows = [pa.array(np.arange(Model.ROWS, dtype=np.int32)), pa.array([r.tobytes() for r in model.w], pa.binary()), pa.array(np.full(Model.ROWS, n))]
-        yield pa.RecordBatch.from_arrays(rows, ["row", "w", "n"])
+        rows = [*_packed(model.w, np.full((Model.ROWS, 2), n, np.float32), -1), *_packed(model.x, gains.moved, 1)]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "ids", "moved", "w"])
 
 
 def _average(frame):
-    n = frame["n"].to_numpy(float)
-    rows = np.frombuffer(b"".join(frame["w"]), np.float32).reshape(len(n), -1)
+    block = int(frame["block"].iloc[0])
+    width = DIM + 1 if block < 0 else 2 * DIM + 1
+    ids = np.frombuffer(b"".join(frame["ids"]), np.int32)
+    moved = np.frombuffer(b"".join(frame["moved"]), np.float32).reshape(-1, 2).astype(float)
+    rows = np.frombuffer(b"".join(frame["w"]), np.float32).reshape(-1, width)
+    value, back = np.unique(ids, return_inverse=True)
+    total, out = np.zeros((len(value), 2)), np.zeros((len(value), width))
+    np.add.at(total, back, moved)
+    np.add.at(out[:, :DIM], back, rows[:, :DIM] * moved[:, :1])
+    np.add.at(out[:, DIM:], back, rows[:, DIM:] * moved[:, 1:])
+    out[:, :DIM] /= np.maximum(total[:, :1], 1)
+    out[:, DIM:] /= np.maximum(total[:, 1:], 1)
     frame = frame.iloc[:1].copy()
-    frame["w"] = [(n @ rows / n.sum()).astype(np.float32).tobytes()]
+    for name, x in (("ids", value.astype(np.int32)), ("moved", total.astype(np.float32)), ("w", out.astype(np.float32))):
+        frame[name] = [x.tobytes()]
     return frame
 
 
-def train_model(docs: DataFrame, vocab) -> np.ndarray:
-    """The averaged tables, ``Model.ROWS`` rows whatever the corpus. ``vocab`` is a broadcast variable."""
+def train_model(docs: DataFrame, vocab) -> tuple[np.ndarray, np.ndarray]:
+    """The averaged tables: of classes, the same size whatever the corpus, and of words. ``vocab`` is a broadcast variable."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(lambda b: _train(b, vocab.value), WEIGHTS).groupBy("row").applyInPandas(_average, WEIGHTS).collect()
-    w = Model(vocab.value).w
+    rows = texts.mapInArrow(lambda b: _train(b, vocab.value), WEIGHTS).groupBy("block").applyInPandas(_average, WEIGHTS).collect()
+    model = Model(vocab.value)
     for r in rows:
-        w[r["row"]] = np.frombuffer(r["w"], np.float32)
-    return w
+        table = model.w if r["block"] < 0 else model.x
+        ids = np.frombuffer(r["ids"], np.int32)
+        moved = np.frombuffer(r["moved"], np.float32).reshape(-1, 2) > 0
+        w = np.frombuffer(r["w"], np.float32).reshape(len(ids), -1)
+        table[ids, :DIM] = np.where(moved[:, :1], w[:, :DIM], table[ids, :DIM])
+        table[ids, DIM:] = np.where(moved[:, 1:], w[:, DIM:], table[ids, DIM:])
+    return model.w, model.x
 
 
 SCORED = "_row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, times array<long>"
 
 
-def _score(batches, vocab: Vocabulary, weights: np.ndarray):
+def _score(batches, vocab: Vocabulary, weights: tuple[np.ndarray, np.ndarray]):
     model = Model(vocab)
-    model.w = weights
+    model.w, model.x = weights
     vectors, bias = np.ascontiguousarray(model.out[:, :DIM].T), model.out[:, DIM]
     unit = np.log10(vocab.total + vocab.kinds + 1)
     for b in slices(batches, "text"):
         w = words(b.column("text"))
-        slot, hit, cls = vocab.classes(w)
+        hit, cls, word = vocab.classes(w)
         docs = b.num_rows
         doc = np.repeat(np.arange(docs), np.diff(w.first))
-        ctx, target = _stream(w, cls)
+        ctx, target, read, own = _stream(w, cls, np.where(word < model.words, word, model.none), model.none)
+        q = model.predict(ctx) + model.inputs(read)
         lp = np.empty(len(target))
         for s in range(0, len(target), BATCH):
-            z = model.predict(ctx[s : s + BATCH]) @ vectors + bias
+            z = q[s : s + BATCH] @ vectors + bias
             top = z.max(1)
             z -= top[:, None]
-            own = z[np.arange(len(z)), target[s : s + BATCH]].astype(float)
+            at = z[np.arange(len(z)), target[s : s + BATCH]].astype(float)
             np.exp(z, out=z)
-            lp[s : s + BATCH] = own - np.log(z.sum(1, dtype=np.float64))
+            lp[s : s + BATCH] = at - np.log(z.sum(1, dtype=np.float64))
+        lp += lower(model, vocab, q, target, own)[0]
         whose = np.repeat(np.arange(docs), np.diff(w.first) + 1)
         n = np.diff(w.first) + 1
-        score = np.bincount(whose, lp / np.log(10), docs) + np.bincount(doc[hit], vocab.within[slot[hit]], docs)
-        score -= np.bincount(doc[~hit], vocab.log_mass[cls[~hit]], docs)
-        base = np.bincount(doc[hit], vocab.count[slot[hit]], docs) + np.log10(vocab.end_count + 1) - n * unit
+        score = np.bincount(whose, lp / np.log(10), docs)
+        score -= np.bincount(doc[~hit], np.log10(vocab.rest)[cls[~hit] - END - 1], docs)
+        base = np.bincount(doc[hit], vocab.count[(w.hash[hit] >> np.uint64(44)).astype(np.int64)], docs) + np.log10(vocab.end_count + 1) - n * unit
         known = np.bincount(doc[hit], minlength=docs) + (vocab.end_count > 0)
         d, h = doc[~hit], w.hash[~hit]
         order = np.lexsort((h, d))

@@ -76,3 +76,35 @@ def test_training_lifts_the_likelihood_of_a_pattern():
 def test_edges(messy, nothing):
     _check([(r["doc_id"], r["text"]) for r in messy.collect()], lm.score_by_id(messy).collect())
     assert lm.score_by_id(nothing).count() == 0
+
+
+def test_words_outside_the_classes_learn_from_their_contexts(documents):
+    """Two pairs of words with one ending, in a fixed order; the ends traded, counts and classes stay the same."""
+    rng = np.random.default_rng(3)
+    filler = [f"f{i:03d}" for i in range(lm.HEADS + 20)]
+    pairs = [("wardzz", "stepzz"), ("bellzz", "sandzz")]
+    train = []
+    for i in range(2000):
+        ws = list(rng.choice(filler, 24))
+        ws[5:7], ws[15:17] = pairs[i % 2], pairs[(i + 1) % 2]
+        train.append((i, " ".join(ws)))
+    probes = [(10_000 + i, " ".join([*filler[:9], a, b, *filler[9:12]])) for i, (a, b) in enumerate([*pairs, ("wardzz", "sandzz"), ("bellzz", "stepzz")])]
+    docs = documents(train + probes)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, docs["doc_id"] >= 10_000).where("held_out").collect()}
+    right, wrong = got[10_000] + got[10_001], got[10_002] + got[10_003]
+    assert right - wrong > 0.5  # 0 when a word is its class and its count
+
+
+def test_groups_and_words_sum_to_one():
+    rng = np.random.default_rng(4)
+    h = rng.integers(1, 2**63, 3000).astype(np.uint64)
+    h[0] = lm.END_HASH
+    tail, c = rng.integers(0, lm.TAILS, 3000), rng.integers(1, 500, 3000)
+    v = lm.Vocabulary(h, tail, c, np.bincount(tail[1:], c[1:] + 1, lm.TAILS), int(c.sum()), 3000)
+    model = lm.Model(v)
+    model.x += rng.normal(0, 0.3, model.x.shape).astype(np.float32)
+    own = np.append(np.arange(model.words), np.full(lm.TAILS, model.none))
+    kind = np.append([np.searchsorted(v.first_group, v.group[i], "right") - 1 for i in range(model.words)], np.arange(lm.TAILS))
+    q = np.tile(rng.normal(0, 1, lm.DIM).astype(np.float32), (len(own), 1))
+    lp, _ = lm.lower(model, v, q, (lm.END + 1 + kind).astype(np.int64), own)
+    assert model.words > 2500 and np.allclose(np.bincount(kind.astype(int), np.exp(lp), lm.TAILS), 1, atol=1e-5)
