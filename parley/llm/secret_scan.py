@@ -3,8 +3,9 @@
 Native: DataFrame expressions, joins and windows only.
 
 Patterns find assigned values, access keys and hexadecimal runs. Any other run
-of at least ``RUN`` key characters is a candidate, judged by the log-likelihood
-ratio of two first-order Markov chains over characters: one of random strings,
+of at least ``RUN`` key characters is a candidate, cut at the patterns' spans.
+Its pieces of ``RUN`` or more characters are judged by their best-scoring stretch
+under the log-likelihood ratio of two first-order Markov chains over characters: one of random strings,
 one of ordinary identifiers. Both are trained on labelled samples: the values
 the patterns found, and all runs of the corpus that neither mix letters with
 digits nor cases inside a part. Runs that do are judged, not learned from. The
@@ -15,7 +16,7 @@ a text is also split at the same pattern; running sums of the lengths of gaps
 and matches are the places. Only rows that hold a match leave the scan.
 
 Defined cases: a null text is empty and has no spans; spans of one kind never
-overlap; a candidate that meets a pattern's span is dropped; without samples of
+overlap; a piece is reported whole when a stretch of it is; without samples of
 a class its chain is uniform; repeated rows are scanned each; an empty table
 gives an empty result; columns named like the results are replaced.
 """
@@ -81,13 +82,25 @@ def locate(docs: DataFrame, text_col: str = "text", keep=("doc_id",)) -> tuple[D
     end = F.sum(F.col("before") + size).over(upto)
     spans = spans.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - size)
     spans = spans.where((F.col("rank") != 0) | (F.length("value") >= ASSIGN_CHARS))
-    base = F.col("rank") < 3
-    line = Window.partitionBy("_row").orderBy("start", "rank")
-    before = F.max(F.when(base, F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(base, F.col("start"))).over(line.rowsBetween(1, Window.unboundedFollowing))
-    clear = F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True))
-    spans = spans.withColumn("_clear", clear).where(base | F.col("_clear"))
-    return rows.drop("_found"), cut_lineage(spans.select("_row", "rank", "start", "end", "value"))
+    spans = spans.select("_row", "rank", "start", "end", "value")
+    # a candidate goes from the furthest end of the base spans so far to the next one that starts:
+    # base spans cut it into pieces, each opened by the candidate itself or by a base span inside it
+    base, order = F.col("rank") < 3, ["at", "close", "rank"]
+    ends = F.array(
+        F.struct(F.col("start").alias("at"), F.lit(0).alias("close")), F.struct(F.col("end").alias("at"), F.lit(1).alias("close"))
+    )
+    marks = spans.select("*", F.inline(ends))
+    line = Window.partitionBy("_row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("close") == 0, 1).otherwise(-1)
+    within = F.last(F.when(F.col("rank") == 3, F.struct("start", "end", "value", "close")), ignorenulls=True).over(line)
+    marks = marks.withColumn("_deep", F.sum(F.when(base, step).otherwise(0)).over(line)).withColumn("_in", within)
+    marks = marks.withColumn("_to", F.lead("at").over(Window.partitionBy("_row").orderBy(*order)))
+    open_ = (F.col("_deep") == 0) & (F.col("_in.close") == 0)
+    pieces = marks.where(open_ & (F.col("_to") - F.col("at") >= RUN)).select(
+        "_row", F.lit(3).alias("rank"), F.col("at").alias("start"), F.col("_to").alias("end"),
+        F.substring(F.col("_in.value"), (F.col("at") - F.col("_in.start") + 1).cast("int"), (F.col("_to") - F.col("at")).cast("int")).alias("value"),
+    )
+    return rows.drop("_found"), cut_lineage(spans.where(base).unionByName(pieces))
 
 
 def _pairs(value: Column) -> Column:
@@ -123,6 +136,35 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(_pairs(value), F.lit(0.0), lambda acc, c: acc + F.get(table, c))
 
 
+def stands_out(value: Column, model: list[float]) -> Column:
+    """Whether a stretch of at least ``RUN`` characters reaches ``MIN_RATIO`` and ``MIN_RATE`` a character.
+
+    A stretch has the rate when its ratios less the rate sum to 0 or more. The best
+    one that ends at a character is the best before it, or the last ``RUN``, and the
+    character; both sums of it, less the rate and in all, are carried. From
+    ``MIN_RATIO / MIN_RATE`` characters on the rate implies the ratio, so those
+    stretches are also followed alone, and the whole string is judged too.
+    """
+    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    gains = F.transform(_pairs(value), lambda c: F.get(table, c))
+    sums = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    start = F.struct(F.lit(-math.inf).alias("over"), F.lit(0.0).alias("all"), F.lit(False).alias("found"))
+
+    def step(n, acc, i):
+        fresh = sums(F.slice(gains, i - n + 1, n))
+        over, longer = fresh - MIN_RATE * n, acc["over"] + F.get(gains, i - 1) - MIN_RATE
+        grow = longer >= over
+        best, all_ = F.greatest(over, longer), F.when(grow, acc["all"] + F.get(gains, i - 1)).otherwise(fresh)
+        return F.struct(best.alias("over"), all_.alias("all"), (acc["found"] | ((best >= 0) & (all_ >= MIN_RATIO))).alias("found"))
+
+    def best(n):
+        found = F.aggregate(F.sequence(F.lit(n), F.greatest(F.size(gains), F.lit(n))), start, lambda acc, i: step(n, acc, i))["found"]
+        return (F.size(gains) >= n) & found
+
+    whole = ratio(value, model) >= F.greatest(F.lit(MIN_RATIO), MIN_RATE * F.length(value))
+    return whole | best(RUN) | best(math.ceil(MIN_RATIO / MIN_RATE))
+
+
 def find_spans(docs: DataFrame, text_col: str = "text", keep=("doc_id",), model: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) with spans ``_row, kind, rank, start, end``.
 
@@ -133,9 +175,7 @@ def find_spans(docs: DataFrame, text_col: str = "text", keep=("doc_id",), model:
     if model is None:
         random = F.col("rank") < 3
         model = train(spans.where(random | ~F.col("value").rlike(MIXED)).select("value", random.alias("random")))
-    score = F.when(F.col("rank") < 3, F.lit(math.inf)).otherwise(ratio(F.col("value"), model))
-    chosen = F.col("score") >= F.greatest(F.lit(MIN_RATIO), MIN_RATE * F.length("value"))
-    spans = spans.withColumn("score", score).where(chosen)
+    spans = spans.where(F.when(F.col("rank") < 3, True).otherwise(stands_out(F.col("value"), model)))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
     return rows, spans.select("_row", kind.alias("kind"), "rank", "start", "end")
 
