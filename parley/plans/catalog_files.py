@@ -1,5 +1,6 @@
 """Queries: files, load, sidecar, registry exchange, export, streaming."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import entries as en
@@ -16,6 +17,7 @@ from . import load
 from .base import CTES, NEEDS, lit, query, slug, sql, std_role, strip
 from .catalog_entries import NORMAL_ROLE, _fingerprint
 
+PER_DOCUMENT = 1000  # entries of one array document at most
 KINDS = "SELECT e, e % 10 AS k, count(*) AS n FROM tsys GROUP BY e"
 CTES["kinds"] = KINDS
 NEEDS["kinds"] = ("tsys",)
@@ -29,7 +31,7 @@ def _lines(spark, sf):
 def _written_lines(spark, sf):
     """The record lines as text files in the shared folder."""
     path = scratch_path(spark, "lines")
-    rows = ad.records(spark, sf).repartitionByRange(4, "entry_index").sortWithinPartitions("entry_index")
+    rows = ad.records(spark, sf).repartitionByRange("entry_index").sortWithinPartitions("entry_index")
     rows.select("record").write.text(path)
     return path
 
@@ -95,24 +97,30 @@ def read_files(spark, sf):
     )
 
 
-@query("read_json_array", sql(
-    "SELECT e % 4 AS doc, row_number() OVER (PARTITION BY e % 4 ORDER BY e) AS line, (SELECT count(*) FROM tsys t WHERE t.e = kinds.e) AS n_messages FROM kinds", "kinds", "tsys"))
-def read_json_array(spark, sf):
-    """Four array documents made of the entries."""
-    rows = ad.entries_sys(spark, sf).select("entry_index", en.entry_json().alias("j"))
-    docs = rows.groupBy((F.col("entry_index") % 4).alias("doc")).agg(
+def _array_documents(rows):
+    """``doc, part, first, value``: array documents of bounded size, ``first`` entries of the same ``doc`` before each."""
+    docs = rows.groupBy((F.col("entry_index") % 4).alias("doc"), F.floor(F.col("entry_index") / (4 * PER_DOCUMENT)).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"),
         F.concat(
             F.lit(" ["),
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_index", "j"))), lambda x: x["j"]), ", "),
             F.lit("]\n"),
-        ).alias("value")
+        ).alias("value"),
     )
-    parsed = files.parse_documents(docs.select(F.concat("doc", F.lit(".jsonl")).alias("source"), "value"))
+    line = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = docs.select("doc", "part", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("first"))  # numbers alone
+    return docs.drop("n").join(first, ["doc", "part"])
+
+
+@query("read_json_array", sql(
+    "SELECT e % 4 AS doc, row_number() OVER (PARTITION BY e % 4 ORDER BY e) AS line, (SELECT count(*) FROM tsys t WHERE t.e = kinds.e) AS n_messages FROM kinds", "kinds", "tsys"))
+def read_json_array(spark, sf):
+    """The entries of each residue of four as array documents, their lines numbered on from one to the next."""
+    docs = _array_documents(ad.entries_sys(spark, sf).select("entry_index", en.entry_json().alias("j")))
+    parsed = files.parse_documents(docs.select(F.concat_ws(".", "doc", "part", "first").alias("source"), "value"))
     out = en.parse_entries(parsed.select(F.col("line").alias("entry_index"), "source", "record"))
-    return out.select(
-        F.split_part("source", F.lit("."), F.lit(1)).cast("long").alias("doc"), F.col("entry_index").alias("line"),
-        F.size("messages").alias("n_messages"),
-    )
+    name = lambda i: F.split_part("source", F.lit("."), F.lit(i)).cast("long")
+    return out.select(name(1).alias("doc"), (F.col("entry_index") + name(3)).alias("line"), F.size("messages").alias("n_messages"))
 
 
 @query("read_json_object", sql(
