@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 
-from . import fingerprint, lm, mixing, packing, quality_model, rollup, secret_scan, shards, trie_join, vptree
+from . import fingerprint, lm, mixing, packing, quality_model, rollup, runs, secret_scan, shards, trie_join, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,9 @@ def op9_vantage_points(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     """Quality scores of all documents."""
     return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of repeated words of all documents."""
+    return runs.digests(runs.collapse_runs(table(spark, sf_dir, "documents"), runs.plant_repeats))
