@@ -36,6 +36,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,21 +240,20 @@ def _collapse(batches, reread, least: int):
         doc = order[owner]
         by = np.lexsort((runs[:, 2], runs[:, 0], doc))
         doc, runs = doc[by], runs[by]
-        text = [_joined(line[a : b - 1][stays[a : b - 1]], names) for a, b in zip(begin[:-1], begin[1:])]
+        stays[begin[1:] - 1] = False
+        kept = np.concatenate([[0], np.cumsum(stays)])[begin]
+        lists = pa.LargeListArray.from_arrays(pa.array(kept), names.take(pa.array(line[stays])))
+        text = pc.binary_join(lists, pa.scalar(b" ", names.type))
         at = np.searchsorted(doc, np.arange(len(order) + 1)).astype(np.int32)
         rows = pa.StructArray.from_arrays([pa.array(runs[:, i]) for i in range(3)], ["start", "length", "period"])
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(count, pa.int64()), pa.ListArray.from_arrays(at, rows, type=kind), pa.array([text[i] for i in back], pa.string())],
+            [batch.column("doc_id"), pa.array(count, pa.int64()), pa.ListArray.from_arrays(at, rows, type=kind), text.take(pa.array(back)).cast(pa.large_string()).cast(pa.string())],
             ["doc_id", "n_words", "runs", "collapsed"],
         )
 
 
-def _joined(ids: np.ndarray, names: pa.Array) -> str:
-    return b" ".join(names.take(pa.array(ids)).to_pylist()).decode("utf-8")
-
-
 def collapse_runs(docs: DataFrame, reread=None, least: int = LEAST) -> DataFrame:
     """``doc_id, n_words, runs, collapsed``: the runs of at least ``least`` words of every text, by start and period.
 
