@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 
-from . import fingerprint, lm, mixing, packing, quality_model, rollup, runs, secret_scan, shards, trie_join, vptree
+from . import fingerprint, lm, mixing, multi_index, packing, quality_model, rollup, runs, secret_scan, shards, spellings, trie_join, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,3 +207,37 @@ def op10_quality(spark, sf_dir):
 def op11_periodic_runs(spark, sf_dir):
     """Runs of repeated words of all documents."""
     return runs.digests(runs.collapse_runs(table(spark, sf_dir, "documents"), runs.plant_repeats))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    """Spelling variants among the words of all documents."""
+    return spellings.group_variants(spellings.count_words(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), v AS (
+  SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM t
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.r AS x, b.r AS y FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.95
+), reach(x, z) AS (
+  SELECT DISTINCT x, x FROM p UNION SELECT reach.x, p.y FROM reach JOIN p ON p.x = reach.z
+), n AS (
+  SELECT x, count(*) AS n_links FROM p GROUP BY x
+), c AS (
+  SELECT reach.x, min(t.vec_id) AS low FROM reach JOIN t ON t.r = reach.z GROUP BY reach.x
+)
+SELECT t.vec_id, coalesce(n.n_links, 0) AS n_links, CASE WHEN n.x IS NULL THEN t.vec_id ELSE c.low END AS component_id,
+  t.vec_id IS NOT DISTINCT FROM CASE WHEN n.x IS NULL THEN t.vec_id ELSE c.low END AS kept
+FROM t LEFT JOIN n ON n.x = t.r LEFT JOIN c ON c.x = t.r
+"""
+
+
+@query("op13_near_vectors", OP13_SQL)
+def op13_near_vectors(spark, sf_dir):
+    """Classes of all vectors whose cosine is 0.95 or more."""
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
