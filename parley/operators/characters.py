@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..functions.roles import standard_role
 from . import entries as en
 from .formats import custom_role_pattern, custom_role_turns
+from .multisearch import find_needles
 from .normalize import ensure_entry_uuid, tag_display_name
 
 TRAINING_ROLES = ("user", "assistant")
@@ -260,10 +261,8 @@ def surviving_mappings(mappings: DataFrame, entries: DataFrame):
 def inactive_references(entries: DataFrame, characters: DataFrame) -> DataFrame:
     """Entries whose first message names an inactive character.
 
-    A substring test has no join key. A name's first letters, up to three, occur
-    in any message that contains it, so positions and letters are joined with the
-    names; the messages themselves are fetched for those candidates only, and
-    tested. No text travels with the letters.
+    The names become an automaton that reads each first message once; what leaves
+    the scan is one row per entry and name.
     """
     names = (
         characters.where(~F.col("is_active"))
@@ -272,21 +271,11 @@ def inactive_references(entries: DataFrame, characters: DataFrame) -> DataFrame:
     )
     first = F.get("messages", F.lit(0))
     text = F.when(first["is_obj"], tx.casefold(first["content"]))
-    rows = en.once(entries, _text=text).select("source", "entry_index", en.entry_uuid().alias("entry_uuid"), "_text").where(
+    rows = en.once(entries, _text=text).select("entry_index", en.entry_uuid().alias("entry_uuid"), "_text").where(
         F.col("entry_uuid").isNotNull() & F.col("_text").isNotNull()
     )
-    size = F.length("_text")
-    grams = lambda k: F.when(
-        size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr("_text", i, F.lit(k)))
-    ).otherwise(en.empty_strings())
-    keyed = rows.select(
-        F.col("entry_uuid").alias("_id"), F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram")
-    )
-    asked = keyed.join(names.withColumn("gram", F.left("needle", F.lit(3))), "gram").drop("gram").distinct()
-    found = (
-        rows.join(asked, F.col("entry_uuid") == F.col("_id"))
-        .where(F.contains("_text", F.col("needle")))
-        .select("entry_index", "entry_uuid", F.col("display_name").alias("character"))
+    found = find_needles(rows, names, text="_text").join(names, "needle").select(
+        "entry_index", "entry_uuid", F.col("display_name").alias("character")
     )
     return found.withColumn("code", F.lit("character.inactive_reference_in_prompt"))
 

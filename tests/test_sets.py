@@ -14,6 +14,7 @@ from parley.operators import mutate as mu
 from parley.operators import neardup as nd
 from parley.operators import quality as qu
 from parley.operators import tags as tg
+from parley.operators.multisearch import find_needles
 from parley.plans import load
 from parley.sources import sidecar
 
@@ -173,6 +174,18 @@ def test_inactive_references(spark):
     assert {(r["entry_index"], r["character"]) for r in got.collect()} == want
 
 
+def test_inactive_references_in_long_messages(spark):
+    """A message of a megabyte, many names and parts of them: the work follows the text."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 7))).strip() or "a" for _ in range(300)})
+    rows = spark.createDataFrame([(n,) for n in names], "needle string")
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (0, 3, 50, 1_000_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(i, n) for i, t in enumerate(texts) for n in names if n in t}
+    for part in (50_000, 40):
+        assert {tuple(r) for r in find_needles(df, rows, part=part).collect()} == want
+
+
 def test_aliases_do_not_leak_between_sources(spark):
     """Entries of several sources may share a position; each is rewritten by its own tags."""
     one = entries(spark, [chat("a", "b", tags=["old", "x"])])
