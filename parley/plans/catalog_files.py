@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import characters as ch
 from ..operators import entries as en
 from ..operators import mutate as mu
 from ..operators import normalize as no
@@ -10,6 +11,7 @@ from ..operators import registry as rg
 from ..operators import tags as tg
 from ..session import scratch_path
 from ..sources import files, sidecar
+from ..streaming import batches as sb
 from ..streaming import entries as se
 from . import adapters as ad
 from . import catalog_mutate, catalog_tags, catalog_validate  # noqa: F401  (shared SQL)
@@ -379,3 +381,43 @@ def stream_clean(spark, sf):
     se.write_clean(stream, out, scratch_path(spark, "stream-state"))
     done = spark.read.parquet(out)
     return done.agg(F.count(F.lit(1)).alias("entries"), F.count("diagnostics").alias("objects_and_values"))
+
+
+def _streamed(spark, source, step, files_per_batch=2):
+    """What ``step`` makes of the files of a folder, in several micro-batches."""
+    out = scratch_path(spark, "stream")
+    sb.run_stream(spark, source, out, scratch_path(spark, "stream-state"), step, files_per_batch=files_per_batch)
+    return sb.results(spark, out)
+
+
+@query("stream_load", sql(
+    f"SELECT CASE WHEN k IN (0, 1, 2, 6, 9) THEN md5(string_agg({NORMAL_ROLE} || chr(1) || {strip('c')}, chr(2) ORDER BY i)) END AS fingerprint, "
+    "max(CASE WHEN k IN (0, 1, 3, 6) THEN '' WHEN k = 2 THEN 'a,b' WHEN k = 4 THEN 'a' WHEN k = 7 THEN 's' WHEN k = 9 THEN coalesce(g.tags, '') END) AS tags "
+    f"FROM dirty d JOIN kinds USING (e) LEFT JOIN (SELECT e, string_agg({slug('tag')}, ',' ORDER BY pos) AS tags FROM tagrows GROUP BY e) g ON g.e = d.e "
+    "WHERE k <> 8 GROUP BY d.e, k", "dirty", "kinds", "tagrows"))
+def stream_load(spark, sf):
+    """All written lines through conversion and normalization, a few files a micro-batch."""
+    out = _streamed(spark, _written_lines(spark, sf), load.entries_from_records)
+    return out.select(_fingerprint().alias("fingerprint"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("stream_registry", sql(
+    "SELECT d.roles, coalesce(t.tags, '') AS tags, coalesce(t.n, 0) AS rewrite_count FROM "
+    "(SELECT e, string_agg(CASE WHEN r = 'Emma' THEN 'assistant' ELSE r END, ',' ORDER BY i) AS roles FROM dirty GROUP BY e) d LEFT JOIN "
+    "(SELECT t.e, string_agg(CASE WHEN r.kind = 'alias_mapped' THEN r.resolved ELSE t.tag END, ',' ORDER BY t.pos) AS tags, "
+    "count(*) FILTER (r.kind = 'alias_mapped') AS n FROM tagrows t JOIN resolved r ON r.tag = t.tag GROUP BY t.e) t ON t.e = d.e", "dirty", "resolved"))
+def stream_registry(spark, sf):
+    """Alias rewriting and character names on a stream of the dirty entries."""
+    path = scratch_path(spark, "lines")
+    files.write_jsonl(ad.with_part_tags(ad.entries_dirty(spark, sf), spark, sf), path)
+    kept = registry(spark, sf)
+
+    def step(records):
+        rows = en.parse_entries(records)
+        resolved = tg.resolve_tags(tg.raw_tags(rows), kept["tags"], kept["categories"], kept["lifecycle"])
+        rows = tg.canonicalize_aliases(rows, resolved)
+        named, _ = ch.normalize_known_characters(rows, kept["characters"], kept["mappings"])
+        return named
+
+    out = _streamed(spark, path, step)
+    return out.select(F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.array_join("tags", ",").alias("tags"), "rewrite_count")

@@ -1,7 +1,5 @@
 """Dataset files in and out: JSON lines, JSON arrays, single objects, text."""
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +7,16 @@ from ..functions import text as tx
 from ..functions.constants import DATASET_EXTENSIONS, TRAINING_OBJECT_KEYS
 from ..operators.entries import entry_json, once
 from ..session import cut_lineage
+from .json_stream import read_documents
 
 
 def survey_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, error, whole)`` per file: whether it can be read, and how.
+    """``(source, error, whole, maybe_whole)`` per file: whether it can be read, and how.
 
     The error tells of a wrong extension or bytes that are not UTF-8, else NULL.
     ``whole`` marks files that hold one JSON array or object instead of lines, by
     their first line: an array opens, or a ``.json`` object that does not end on
-    it. Lines are tested where they are read; only flags leave the scan.
+    it; ``maybe_whole`` also those objects that do. Lines are tested where they are read; only flags leave the scan.
     """
     name = F.col("_metadata.file_path").alias("source")
     listed = spark.read.format("binaryFile").load(path).select(name)  # names only, no content
@@ -40,6 +39,7 @@ def survey_files(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("bad"), "Not valid UTF-8")
         .alias("error"),
         F.coalesce((F.col("opens") == ord("[")) | one, F.lit(False)).alias("whole"),
+        F.coalesce((F.col("opens") == ord("[")) | (F.col("opens") == ord("{")) & (ext == ".json"), F.lit(False)).alias("maybe_whole"),
     )
 
 
@@ -63,6 +63,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("mid"),
         "value",
     )
+    return number_lines(raw)
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """``source, line, value`` of scanned lines ``source, block, mid, value``; ``mid`` counts up inside a split."""
     blocks = raw.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
     # one row per split goes through the window, none of the text
     upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,6 +77,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def is_one_value(text: Column) -> Column:
+    """Whether a text is a single JSON value. The parser stops after a first value,
+    so the text is tried as the only item of a list."""
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return boxed.isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull() & (text != "")
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``(source, line, record, error)`` for every non-blank line.
 
@@ -81,7 +93,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     rows = lines.select("source", "line", text.alias("text")).where(F.col("text") != "")
     ok = F.col("ok")
     return (
-        once(rows, ok=F.try_parse_json(F.col("text")).isNotNull())
+        once(rows, ok=is_one_value(F.col("text")))
         .select(
             "source", "line",
             F.when(ok, F.col("text")).alias("record"),
@@ -163,23 +175,27 @@ def read_dataset(spark: SparkSession, path: str, *, layout: str = "auto") -> Dat
     """Parsed rows ``(source, line, record, error)`` of one or many files.
 
     ``"auto"`` looks at each file first: refused files give one error row, files
-    of lines are split, arrays and single objects are read whole. ``"lines"``
-    and ``"documents"`` take that choice for all files; the latter falls back to
-    lines per file.
+    of lines are split at lines, arrays and single objects at their records.
+    ``"lines"`` and ``"documents"`` take that choice for all files; the latter
+    falls back to lines per file.
     """
     if layout == "lines":
         return parse_lines(read_lines(spark, path))
-    if layout == "documents":
-        return parse_whole(whole_documents(spark, path))
     found = cut_lineage(survey_files(spark, path))  # one row a file
     refused = found.where(F.col("error").isNotNull()).select(
         "source", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("record"), "error"
     )
-    fine = found.where(F.col("error").isNull())
-    lines = read_lines(spark, path).join(fine.where(~F.col("whole")).select("source"), "source", "left_semi")
-    out = parse_lines(lines).unionByName(refused)
-    names = [unquote(r["source"]) for r in fine.where("whole").select("source").collect()]  # a list of files, as a listing is
-    return out.unionByName(parse_whole(whole_documents(spark, names))) if names else out
+    fine = found if layout == "documents" else found.where(F.col("error").isNull())
+    whole = F.col("maybe_whole" if layout == "documents" else "whole")
+    by_line, out = fine.where(~whole).select("source"), None
+    chosen = fine.where(whole).select("source")
+    if not chosen.isEmpty():
+        docs = cut_lineage(read_documents(spark, path, chosen))
+        by_line = by_line.unionByName(docs.where("as_lines").select("source"))
+        out = docs.where("not as_lines").select("source", "line", "record", "error")
+    lines = parse_lines(read_lines(spark, path).join(by_line, "source", "left_semi"))
+    out = lines if out is None else lines.unionByName(out)
+    return out if layout == "documents" else out.unionByName(refused)
 
 
 def parse_whole(docs: DataFrame) -> DataFrame:
