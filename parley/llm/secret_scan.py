@@ -65,7 +65,7 @@ def _hits(text: Column, kind: int, pattern: str, value_group: int) -> Column:
 
 
 def locate(docs: DataFrame, text_col: str = "text", keep=("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): ``_row`` and the columns ``kept`` as a struct, and all matches with their places."""
+    """(rows, spans): ``_row``, whether it holds ``_any`` match and the columns ``kept`` as a struct, and all matches with their places."""
     text = text_of(text_col)
     found = F.flatten(F.array(
         _hits(F.col("_t"), 0, ASSIGN, 2), _hits(F.col("_t"), 1, ACCESS, 0),
@@ -100,7 +100,7 @@ def locate(docs: DataFrame, text_col: str = "text", keep=("doc_id",)) -> tuple[D
         "_row", F.lit(3).alias("rank"), F.col("at").alias("start"), F.col("_to").alias("end"),
         F.substring(F.col("_in.value"), (F.col("at") - F.col("_in.start") + 1).cast("int"), (F.col("_to") - F.col("at")).cast("int")).alias("value"),
     )
-    return rows.drop("_found"), cut_lineage(spans.where(base).unionByName(pieces))
+    return rows.withColumn("_any", F.size("_found") > 0).drop("_found"), cut_lineage(spans.where(base).unionByName(pieces))
 
 
 def _pairs(value: Column) -> Column:
@@ -130,39 +130,42 @@ def train(samples: DataFrame) -> list[float]:
     return [p - q for a, b in zip(random, ordinary) for p, q in zip(a, b)]
 
 
-def ratio(value: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a string; above 0 speaks for a random one."""
-    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    return F.aggregate(_pairs(value), F.lit(0.0), lambda acc, c: acc + F.get(table, c))
+def stands_out(spans: DataFrame, model: list[float]) -> DataFrame:
+    """The rows of which a stretch of at least ``RUN`` characters of ``value`` reaches ``MIN_RATIO`` and ``MIN_RATE`` a character.
 
-
-def stands_out(value: Column, model: list[float]) -> Column:
-    """Whether a stretch of at least ``RUN`` characters reaches ``MIN_RATIO`` and ``MIN_RATE`` a character.
-
-    A stretch has the rate when its ratios less the rate sum to 0 or more. The best
-    one that ends at a character is the best before it, or the last ``RUN``, and the
-    character; both sums of it, less the rate and in all, are carried. From
-    ``MIN_RATIO / MIN_RATE`` characters on the rate implies the ratio, so those
-    stretches are also followed alone, and the whole string is judged too.
+    The table joins the narrow rows as a single one, and a row's ratios are made once.
+    A stretch has the rate when its ratios less the rate sum to 0 or more. The best one
+    that ends at a character starts at the least sum of ratios less the rate so far,
+    ``RUN`` characters back or more: two running sums, one of them ``RUN`` behind, and
+    that least sum are carried along, one step a character. From ``MIN_RATIO /
+    MIN_RATE`` characters on the rate implies the ratio, so those stretches are also
+    followed alone, and the whole string is judged too.
     """
-    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    gains = F.transform(_pairs(value), lambda c: F.get(table, c))
-    sums = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    start = F.struct(F.lit(-math.inf).alias("over"), F.lit(0.0).alias("all"), F.lit(False).alias("found"))
+    table = spans.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(model)), "array<double>").alias("_table"))
+    rows = spans.crossJoin(F.broadcast(table))  # WIDTH squared numbers
+    gains = F.transform(_pairs(F.col("value")), lambda c: F.get("_table", c))
+    rows = rows.select(*spans.columns, F.inline(F.array(F.struct(gains.alias("_gains")))))
+    size, get = F.size("_gains"), lambda i: F.get("_gains", i)
+    start = F.struct(
+        F.lit(0.0).alias("sum"), F.lit(0.0).alias("late"), F.lit(math.inf).alias("least"), F.lit(0.0).alias("at"), F.lit(False).alias("found")
+    )
 
     def step(n, acc, i):
-        fresh = sums(F.slice(gains, i - n + 1, n))
-        over, longer = fresh - MIN_RATE * n, acc["over"] + F.get(gains, i - 1) - MIN_RATE
-        grow = longer >= over
-        best, all_ = F.greatest(over, longer), F.when(grow, acc["all"] + F.get(gains, i - 1)).otherwise(fresh)
-        return F.struct(best.alias("over"), all_.alias("all"), (acc["found"] | ((best >= 0) & (all_ >= MIN_RATIO))).alias("found"))
+        """Character ``i``, from 0; stretches that end with it start at ``i + 1 - n`` or before."""
+        total = acc["sum"] + get(i)
+        late = acc["late"] + F.when(i >= n, get(i - n)).otherwise(0.0)
+        low = late - MIN_RATE * (i + 1 - n)
+        open_ = i + 1 >= n
+        lower = open_ & (low < acc["least"])
+        least, at = F.when(lower, low).otherwise(acc["least"]), F.when(lower, late).otherwise(acc["at"])
+        hit = open_ & (total - MIN_RATE * (i + 1) - least >= 0) & (total - at >= MIN_RATIO)
+        return F.struct(total.alias("sum"), late.alias("late"), least.alias("least"), at.alias("at"), (acc["found"] | hit).alias("found"))
 
     def best(n):
-        found = F.aggregate(F.sequence(F.lit(n), F.greatest(F.size(gains), F.lit(n))), start, lambda acc, i: step(n, acc, i))["found"]
-        return (F.size(gains) >= n) & found
+        return F.aggregate(F.sequence(F.lit(0), size - 1), start, lambda acc, i: step(n, acc, i))["found"]
 
-    whole = ratio(value, model) >= F.greatest(F.lit(MIN_RATIO), MIN_RATE * F.length(value))
-    return whole | best(RUN) | best(math.ceil(MIN_RATIO / MIN_RATE))
+    whole = F.aggregate("_gains", F.lit(0.0), lambda a, x: a + x) >= F.greatest(F.lit(MIN_RATIO), MIN_RATE * size)
+    return rows.where((size > 0) & (whole | best(RUN) | best(math.ceil(MIN_RATIO / MIN_RATE)))).select(*spans.columns)
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", keep=("doc_id",), model: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +178,7 @@ def find_spans(docs: DataFrame, text_col: str = "text", keep=("doc_id",), model:
     if model is None:
         random = F.col("rank") < 3
         model = train(spans.where(random | ~F.col("value").rlike(MIXED)).select("value", random.alias("random")))
-    spans = spans.where(F.when(F.col("rank") < 3, True).otherwise(stands_out(F.col("value"), model)))
+    spans = spans.where("rank < 3").unionByName(stands_out(spans.where("rank = 3"), model))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
     return rows, spans.select("_row", kind.alias("kind"), "rank", "start", "end")
 
@@ -214,5 +217,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", mode
     starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length(text).cast("long")))
     kept = F.zip_with(ends, starts, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     new = F.when(F.col("_spans").isNotNull(), F.array_join(kept, mark)).otherwise(text)
-    out = rows.join(by_row, "_row", "left").withColumn("_new", new)
+    # texts without a match are not moved
+    out = rows.where("_any").join(by_row, "_row", "left").withColumn("_new", new)
+    out = out.select("kept", "_new").unionByName(rows.where("not _any").select("kept", text.alias("_new")))
     return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

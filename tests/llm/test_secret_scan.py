@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from parley.llm import secret_scan as ss
 
@@ -102,3 +103,46 @@ def test_rest_of_a_run_beside_a_pattern_is_scored(documents):
     assert not any(key in t for t in got) and got[3:] == [path, "#-" + "Q" * 10]
     spans = [r["spans"] for r in ss.scan(documents(list(enumerate(texts))), model=model).orderBy("doc_id").collect()]
     assert spans[1] == "model:0:41,hex:41:57,model:57:98"
+
+
+def _stands_out(gains):
+    """Every stretch of ``RUN`` characters or more, one by one."""
+    n = len(gains)
+    best = any(
+        sum(gains[i:j]) >= max(ss.MIN_RATIO, ss.MIN_RATE * (j - i))
+        and all(sum(gains[k:j]) - ss.MIN_RATE * (j - k) <= sum(gains[i:j]) - ss.MIN_RATE * (j - i) + 1e-9 for k in range(j - m + 1))
+        for m in (ss.RUN, 24) for j in range(m, n + 1) for i in range(j - m + 1)
+    )
+    return best or sum(gains) >= max(ss.MIN_RATIO, ss.MIN_RATE * n)
+
+
+def test_best_stretch_is_brute_force(spark):
+    rng = random.Random(8)
+    model = [0.0] * ss.WIDTH**2
+    gain = {c: rng.choice([-1.1, -0.37, 0.41, 0.77, 1.3]) for c in ss.ALPHABET[:20]}
+    for i in range(ss.WIDTH**2):
+        model[i] = gain.get(ss.ALPHABET[i % ss.WIDTH - 1], 0.0) if i % ss.WIDTH else 0.0
+    values = ["".join(rng.choice(ss.ALPHABET[:20]) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, value string")
+    got = {r["id"] for r in ss.stands_out(df, model).collect()}
+    want = {i for i, v in enumerate(values) if _stands_out([gain[c] for c in v])}
+    assert got == want and 20 < len(want) < 280
+
+
+def test_a_long_run_takes_one_pass(spark, documents):
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choice(ss.ALPHABET[:62]) for _ in range(n))
+    model = [0.6] * ss.WIDTH**2
+    df = spark.createDataFrame([(0, run(1000))], "id long, value string")
+    ss.stands_out(df, model).count()  # compiled
+    start = time.time()
+    assert ss.stands_out(spark.createDataFrame([(0, run(100_000))], "id long, value string"), [0.1] * ss.WIDTH**2).count() == 0
+    assert time.time() - start < 5
+    long = "words and " + run(100_000) + " end"
+    assert [r["spans"] for r in ss.scan(documents([(1, long)]), model=model).collect()] == ["model:10:100010"]
+    assert [r["text"] for r in ss.redact(documents([(1, long)]), "#", model=model).collect()] == ["words and # end"]
+
+
+def test_the_table_is_in_the_plan_once(documents):
+    plan = ss.redact(documents([(1, "x")]), model=[0.125] * ss.WIDTH**2)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 1
