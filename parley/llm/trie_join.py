@@ -47,7 +47,9 @@ PIVOTS = 8  # sets that all parts of a large block share
 WALKERS = 256  # sets that walk a trie together
 FLUSH = 1_500_000  # n-grams a task gathers before it packs them
 LOW40 = np.uint64((1 << 40) - 1)
-RUN = 65535  # n-grams a packed header counts
+RUN = 255  # n-grams a packed header counts
+SIZES = -1  # in place of a bucket: sizes of sets
+CELLS = 1 << 26  # walkers times distinct n-grams of a block that are held at once
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
@@ -75,39 +77,39 @@ def _members(batches, k: int):
         )
 
 
-PACKED = "bucket int, sid binary, n binary, cnt binary, lo binary, hi binary"
-_NAMES = ["sid", "n", "cnt", "lo", "hi"]
+PACKED = "bucket int, sid binary, cnt binary, lo binary, hi binary"
+_NAMES = ["sid", "cnt", "lo", "hi"]
 
 
-def _cells(key: np.ndarray, sid: np.ndarray, n: np.ndarray, h: np.ndarray, extra: dict | None = None) -> list[list]:
-    """Rows of packed n-grams by ``key``; elements of one set are neighbours."""
+def _cells(key: np.ndarray, sid: np.ndarray, h: np.ndarray, extra: dict | None = None) -> list[list]:
+    """Rows of packed n-grams by ``key``; elements of one set are neighbours and share a header of 9 bytes."""
     order = np.argsort(key, kind="stable")
-    key, sid, n, h = key[order], sid[order], n[order], h[order]
+    key, sid, h = key[order], sid[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (sid[1:] != sid[:-1]) | (key[1:] != key[:-1])
     head = np.flatnonzero(new)
     since = np.arange(len(h)) - np.repeat(head, np.diff(np.append(head, len(h))))
     head = np.flatnonzero(since % RUN == 0)  # a long run has several headers
-    cnt = np.diff(np.append(head, len(h))).astype(np.uint16)
+    cnt = np.diff(np.append(head, len(h))).astype(np.uint8)
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(h) else np.zeros(0, np.int64)
     stop = np.append(cut[1:], len(h))
     at, to = np.searchsorted(head, cut), np.searchsorted(head, stop)
     lo, hi = h.astype(np.uint32), ((h & LOW40) >> np.uint64(32)).astype(np.uint8)
-    hsid, hn = sid[head], n[head].astype(np.uint32)
+    hsid = sid[head]
     more = {c: v[order] for c, v in (extra or {}).items()}
     return [
-        [int(key[a]), hsid[u:v].tobytes(), hn[u:v].tobytes(), cnt[u:v].tobytes(), lo[a:b].tobytes(), hi[a:b].tobytes(),
+        [int(key[a]), hsid[u:v].tobytes(), cnt[u:v].tobytes(), lo[a:b].tobytes(), hi[a:b].tobytes(),
          *[v2[a:b].tobytes() for v2 in more.values()]]
         for a, b, u, v in zip(cut, stop, at, to)
     ]
 
 
-def _open(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set id, set size and 40-bit n-gram of every element."""
+def _open(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Set id and 40-bit n-gram of every element."""
     get = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
-    cnt = get("cnt", np.uint16)
+    cnt = get("cnt", np.uint8)
     h = get("lo", np.uint32).astype(np.uint64) | (get("hi", np.uint8).astype(np.uint64) << np.uint64(32))
-    return np.repeat(get("sid", np.uint64), cnt), np.repeat(get("n", np.uint32), cnt), h
+    return np.repeat(get("sid", np.uint64), cnt), h
 
 
 def _pack(batches, k: int, buckets: int):
@@ -116,10 +118,10 @@ def _pack(batches, k: int, buckets: int):
     total = 0
 
     def flush():
-        sid, n, h = (np.concatenate(x) for x in zip(*held))
+        sid, h = (np.concatenate(x) for x in zip(*held))
         key = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16)
-        rows = _cells(key, sid, n, h)
-        kinds = [pa.int32(), *[pa.binary()] * 5]
+        rows = _cells(key, sid, h)
+        kinds = [pa.int32(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", *_NAMES])
 
     for _, sid, size, h, _ in _sets(batches, k):
@@ -130,7 +132,7 @@ def _pack(batches, k: int, buckets: int):
         new &= once
         seen.update(sid[new].tolist())
         keep = np.repeat(new, size)
-        held.append((np.repeat(sid, size)[keep], np.repeat(size, size)[keep].astype(np.uint32), h[keep]))
+        held.append((np.repeat(sid, size)[keep], h[keep]))
         total += int(keep.sum())
         if total >= FLUSH:
             yield flush()
@@ -140,32 +142,50 @@ def _pack(batches, k: int, buckets: int):
         yield flush()
 
 
-SHARED = "dest int, bucket int, sid binary, n binary, cnt binary, lo binary, hi binary, df binary"
+SHARED = "dest int, bucket int, sid binary, cnt binary, lo binary, hi binary, df binary"
+
+
+def _dest(sid: np.ndarray, dests: int) -> np.ndarray:
+    return (sid >> np.uint64(32)) % np.uint64(dests)
+
+
+def _sizes(batches, dests: int):
+    """Sizes of the sets, dealt as their shared n-grams are; a set may come several times."""
+    for batch in batches:
+        sid = batch.column("set_id").to_numpy(zero_copy_only=False).view(np.uint64)
+        n = batch.column("n_shingles").to_numpy(zero_copy_only=False).astype(np.uint32)
+        _, one = np.unique(sid, return_index=True)
+        sid, n = sid[one], n[one]
+        dest = _dest(sid, dests)
+        rows = [(int(d), SIZES, sid[dest == d].tobytes(), b"", n[dest == d].tobytes(), b"", b"") for d in np.unique(dest)]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["dest", "bucket", *_NAMES, "df"])
 
 
 def _shared(frame: pd.DataFrame, dests: int) -> pd.DataFrame:
     """N-grams of one bucket that at least two sets hold, dealt by set."""
-    sid, n, h = _open(frame)
+    sid, h = _open(frame)
     order = np.argsort(h, kind="stable")
-    sid, n, h = sid[order], n[order], h[order]
+    sid, h = sid[order], h[order]
     near = np.zeros(len(h), bool)
     same = h[1:] == h[:-1]
     near[1:] |= same
     near[:-1] |= same
-    sid, n, h = sid[near], n[near], h[near]
+    sid, h = sid[near], h[near]
     order = np.lexsort((sid, h))
-    sid, n, h = sid[order], n[order], h[order]
+    sid, h = sid[order], h[order]
     new = np.ones(len(h), bool)  # a set that several tasks sent counts once
     new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-    sid, n, h = sid[new], n[new], h[new]
+    sid, h = sid[new], h[new]
     head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     runs = np.diff(np.append(head, len(h)))
     df = np.repeat(runs, runs)
     keep = df > 1
-    sid, n, h, df = sid[keep], n[keep], h[keep], np.minimum(df[keep], 65535).astype(np.uint16)
+    sid, h, df = sid[keep], h[keep], np.minimum(df[keep], 65535).astype(np.uint16)
     order = np.argsort(sid, kind="stable")
-    sid, n, h, df = sid[order], n[order], h[order], df[order]
-    rows = _cells((sid >> np.uint64(32)) % np.uint64(dests), sid, n, h, {"df": df})
+    sid, h, df = sid[order], h[order], df[order]
+    rows = _cells(_dest(sid, dests), sid, h, {"df": df})
     out = pd.DataFrame(rows, columns=["dest", *_NAMES, "df"])
     out.insert(1, "bucket", int(frame["bucket"].iloc[0]))
     return out
@@ -176,13 +196,19 @@ SETS = "set_id long, n int, grams binary, prefix array<long>"
 
 def _survivors(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Sets whose shared n-grams reach the threshold, in global order."""
-    sid, n, h = _open(frame)
+    known = frame[frame["bucket"] == SIZES]
+    size_of = np.frombuffer(b"".join(known["sid"]), np.uint64), np.frombuffer(b"".join(known["lo"]), np.uint32)
+    by_id = np.argsort(size_of[0], kind="stable")
+    ids, sizes = size_of[0][by_id], size_of[1][by_id].astype(np.int64)
+    frame = frame[frame["bucket"] != SIZES]
+    sid, h = _open(frame)
     per_row = [len(x) // 4 for x in frame["lo"]]
     bucket = np.repeat(frame["bucket"].to_numpy(np.uint64), per_row)
     df = np.frombuffer(b"".join(frame["df"]), np.uint16)
     gram = h | (bucket << np.uint64(48))
     order = np.lexsort((gram, df, sid))
-    sid, n, gram = sid[order], n[order].astype(np.int64), gram[order]
+    sid, gram = sid[order], gram[order]
+    n = sizes[np.searchsorted(ids, sid)]
     head = np.flatnonzero(np.append(True, sid[1:] != sid[:-1])) if len(sid) else np.zeros(0, np.int64)
     rows = []
     for a, b in zip(head, np.append(head[1:], len(sid))):
@@ -228,8 +254,9 @@ def trie_links(
     walkers = np.arange(m) if walking is None else np.flatnonzero(np.asarray(walking)[order])
     links: list[tuple[int, int]] = []
     width = len(count)
-    for w0 in range(0, len(walkers), WALKERS):
-        who = walkers[w0 : w0 + WALKERS]
+    together = int(max(1, min(WALKERS, CELLS // max(width, 1))))
+    for w0 in range(0, len(walkers), together):
+        who = walkers[w0 : w0 + together]
         has = np.zeros((len(who), width), bool)
         for j, x in enumerate(who):
             has[j, paths[order[x]]] = True
@@ -292,13 +319,14 @@ def set_components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFra
     """(members, classes): ``doc_id, n_shingles, set_id`` and ``set_id, class`` of linked sets."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = min(2 * n, 65535)
+    buckets = min(max(1, n // 2), 65535)  # few, so that a set's n-grams share headers
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = dict(texts.dtypes)["doc_id"]
-    members = texts.mapInArrow(lambda b: _members(b, k), f"doc_id {id_type}, n_shingles long, set_id long")
+    members = cut_lineage(texts.mapInArrow(lambda b: _members(b, k), f"doc_id {id_type}, n_shingles long, set_id long"))
     packed = texts.mapInArrow(lambda b: _pack(b, k, buckets), PACKED)
     shared = packed.groupBy("bucket").applyInPandas(lambda f: _shared(f, buckets), SHARED)
-    sets = cut_lineage(shared.groupBy("dest").applyInPandas(lambda f: _survivors(f, num, den), SETS))
+    sizes = members.where("set_id is not null").select("set_id", "n_shingles").mapInArrow(lambda b: _sizes(b, buckets), SHARED)
+    sets = cut_lineage(shared.union(sizes).groupBy("dest").applyInPandas(lambda f: _survivors(f, num, den), SETS))
 
     grams = sets.select("set_id", F.explode("prefix").alias("g"))
     hubs = grams.groupBy("g").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -343,7 +371,6 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -
     where nothing links.
     """
     members, classes = set_components(docs, k, num, den)
-    members = cut_lineage(members)
     by_set = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"))
     by_set = by_set.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
     lowest = by_set.groupBy("class").agg(F.min("low").alias("component_id"))
