@@ -51,7 +51,8 @@ def subscore_status(score: Column) -> Column:
 def extreme_ratio() -> Column:
     """User/assistant word ratio outside 0.1..5, or one side without words."""
     u, a = F.col("user_words"), F.col("asst_words")
-    return (u == 0) | (a == 0) | (u / a < 0.1) | (u / a > 5.0)
+    ratio = F.try_divide(u, a)  # also where the optimizer takes it first
+    return (u == 0) | (a == 0) | F.coalesce((ratio < 0.1) | (ratio > 5.0), F.lit(False))
 
 
 def response_quality(features: DataFrame, answer_words: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TAXONOMY
 from .normalize import tag_display_name
-from .tags import archive_state
+from .tags import archive_state, state_rows
 
 REPORT = ("kind", "subject", "outcome", "reason")
 
@@ -172,6 +172,21 @@ def merge_mappings(mappings: DataFrame, incoming: DataFrame, characters: DataFra
     return kept.unionByName(good), reduce(DataFrame.unionByName, reports)
 
 
+def imported_states(incoming: DataFrame, report: DataFrame) -> DataFrame:
+    """``(slug, action, metadata_json)`` of the tags that an import created or promoted, by their status there."""
+    taken = report.where((F.col("kind") == "tag") & F.col("outcome").isin("created", "promoted")).select(F.col("subject").alias("slug"))
+    text = F.coalesce("metadata_json", F.lit("{}")) if "metadata_json" in incoming.columns else F.lit("{}")
+    rows = incoming.select("slug", "status", text.alias("metadata_json")).dropDuplicates(["slug"]).join(taken, "slug", "left_semi")
+    origin = F.coalesce(F.get_json_object("metadata_json", "$.archive_origin"), F.lit("imported"))
+    action = (
+        F.when(F.col("status") == "active", "assign_category")
+        .when(F.col("status") == "hidden", "hide")
+        .when((F.col("status") == "archived") & (origin == "imported"), "import_archived")
+        .when(F.col("status") == "archived", "archive")
+    )
+    return rows.select("slug", action.alias("action"), "metadata_json").where(F.col("action").isNotNull())
+
+
 def import_registry(registry: dict, sidecar: dict, *, entries_uuid: DataFrame | None = None,
                     entry_uuids: DataFrame | None = None):
     """Merge one sidecar's frames into the registry frames.
@@ -193,8 +208,9 @@ def import_registry(registry: dict, sidecar: dict, *, entries_uuid: DataFrame |
     reports.append(r)
     out["tags"], r = merge_tags(registry["tags"], side["tags"], registry["lifecycle"])
     reports.append(r)
-    out["lifecycle"], r = merge_aliases(registry["lifecycle"], side["aliases"], out["tags"])
-    reports.append(r)
+    out["lifecycle"], aliases = merge_aliases(registry["lifecycle"], side["aliases"], out["tags"])
+    out["lifecycle"] = state_rows(out["lifecycle"], imported_states(side["tags"], r))
+    reports.append(aliases)
     out["characters"], r = merge_keyed(registry["characters"], side["characters"], "character", warn=False)
     reports.append(r)
     out["system_prompts"], r = merge_keyed(registry["system_prompts"], side["system_prompts"], "system_prompt", warn=True)

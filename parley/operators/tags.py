@@ -252,16 +252,33 @@ def registry_snapshot(tags: DataFrame, categories: DataFrame, lifecycle: DataFra
     return active, archive_state(tags, lifecycle)
 
 
-def pending_tag_trust(entries: DataFrame, tags: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """Imported archived tags still in use: uses and number of entries."""
-    imported = archive_state(tags, lifecycle).where(F.col("archive_origin") == "imported")
-    uses = (
-        entries.select("entry_index", F.explode(en.clean_tags()).alias("tag"))
-        .select("entry_index", tx.slug(F.col("tag")).alias("slug"))
-        .groupBy("slug")
-        .agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("entry_index").alias("entries"))
+def pending_tag_positions(entries: DataFrame, tags: DataFrame, lifecycle: DataFrame) -> DataFrame:
+    """``(slug, name, entry_index)``: every use of an imported archived tag that is still in an entry."""
+    imported = archive_state(tags, lifecycle).where(F.col("archive_origin") == "imported").select("slug", "name")
+    uses = entries.select("entry_index", F.explode(en.clean_tags()).alias("tag"))
+    return uses.select("entry_index", tx.slug(F.col("tag")).alias("slug")).join(imported, "slug").select("slug", "name", "entry_index")
+
+
+def pending_tag_trust(entries: DataFrame, tags: DataFrame, lifecycle: DataFrame, sidecar: dict | None = None) -> DataFrame:
+    """Imported archived tags still in use: uses, number of entries, and the sidecar's hint.
+
+    The positions are rows of ``pending_tag_positions``, not a list in a cell. With
+    ``sidecar`` frames (tags, categories) a tag that it knows has its status and
+    category there, and ``resolution`` is ``sidecar_hint``, else ``no_hint``.
+    """
+    uses = pending_tag_positions(entries, tags, lifecycle).groupBy("slug", "name").agg(
+        F.count(F.lit(1)).alias("uses"), F.count_distinct("entry_index").alias("entries")
+    )
+    if sidecar is None:
+        return uses
+    cats = sidecar["categories"].select(F.col("slug").alias("sidecar_category_slug"), F.col("name").alias("sidecar_category_name")).dropDuplicates(["sidecar_category_slug"])
+    hints = sidecar["tags"].select(
+        "slug", F.col("category_slug").alias("sidecar_category_slug"), F.col("status").alias("sidecar_status"), F.lit(True).alias("_hint")
+    ).dropDuplicates(["slug"])
+    return uses.join(hints, "slug", "left").join(cats, "sidecar_category_slug", "left").select(
+        "slug", "name", "uses", "entries", "sidecar_category_slug", "sidecar_category_name", "sidecar_status",
+        F.when(F.col("_hint"), "sidecar_hint").otherwise("no_hint").alias("resolution"),
     )
-    return uses.join(imported.select("slug", "name"), "slug").select("slug", "name", "uses", "entries")
 
 
 def tag_usage_counts(entries: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -397,6 +414,30 @@ def assign_archived_tags(tags: DataFrame, categories: DataFrame, lifecycle: Data
     return out, errors
 
 
+def state_rows(lifecycle: DataFrame, changed: DataFrame) -> DataFrame:
+    """``lifecycle`` with a current-state row for each of ``changed(slug, action, metadata_json)``.
+
+    Ids only have to be unique and newer than the present ones.
+    """
+    top = lifecycle.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    rows = changed.crossJoin(F.broadcast(top)).select(
+        (F.col("_top") + 1 + F.monotonically_increasing_id()).alias("id"), "action", F.col("slug").alias("old_slug"),
+        F.col("slug").alias("new_slug"), "metadata_json",
+    )
+    return lifecycle.unionByName(rows, allowMissingColumns=True)
+
+
+def assigned_rows(before: DataFrame, after: DataFrame, lifecycle: DataFrame) -> DataFrame:
+    """``lifecycle`` with a row for each tag that became active or changed its category between two states of the tags."""
+    old = before.select("slug", F.col("status").alias("_status"), F.col("category_slug").alias("_category"))
+    moved = after.where("status = 'active'").join(old, "slug").where(
+        (F.col("_status") != "active") | ~F.col("_category").eqNullSafe(F.col("category_slug"))
+    )
+    return state_rows(lifecycle, moved.select(
+        "slug", F.lit("assign_category").alias("action"), F.to_json(F.struct(F.col("category_slug").alias("assigned_category_slug"))).alias("metadata_json")
+    ))
+
+
 def default_taxonomy(spark) -> DataFrame:
     """The built-in categories and tags, in order."""
     rows = [

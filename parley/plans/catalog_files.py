@@ -357,18 +357,74 @@ def import_registry(spark, sf):
 @query("import_registry_rows", sql(
     "SELECT 'categories' AS part, count(*) AS rows FROM (SELECT 'kind' AS s UNION SELECT 'brand' UNION SELECT category_slug FROM reg WHERE category_slug IS NOT NULL AND slug IN (SELECT slug FROM used)) UNION ALL "
     "SELECT 'tags', (SELECT count(*) FROM mine) + (SELECT count(*) FROM judged WHERE outcome = 'created') UNION ALL "
-    "SELECT 'characters', count(DISTINCT slug) FROM people UNION ALL SELECT 'mappings', count(*) FROM maps", "judged", "mine", "people", "maps", "resolved", used=USED))
+    "SELECT 'characters', count(DISTINCT slug) FROM people UNION ALL SELECT 'mappings', count(*) FROM maps UNION ALL "
+    "SELECT 'aliases', count(*) FROM alias UNION ALL SELECT 'system_prompts', count(DISTINCT c) FROM tsys WHERE i = 0", "judged", "mine", "people", "maps", "resolved", "alias", "tsys", used=USED))
 def import_registry_rows(spark, sf):
     side = _written_sidecar(spark, sf)
     same = ad.table(spark, sf, "conversations").agg(F.lit("dataset-1").alias("dataset_uuid"))
     out, _ = rg.import_registry(_other_registry(spark, sf), side, entries_uuid=same, entry_uuids=_uuids(spark, sf))
     rows = None
-    for name in ("categories", "tags", "characters", "mappings"):
+    out["aliases"] = out["lifecycle"].where(F.col("action").isin("rename", "merge"))
+    for name in ("categories", "tags", "aliases", "characters", "system_prompts", "mappings"):
         one = out[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
+# --- finalization of a load -----------------------------------------------------------------------------
+
+
+def _finalized(spark, sf):
+    """The dirty, tagged and identified entries, finalized with the sidecar of their own dataset."""
+    rows = ad.with_uuids(ad.with_part_tags(ad.entries_dirty(spark, sf), spark, sf))
+    return load.finalize_load(rows, registry(spark, sf), _written_sidecar(spark, sf))
+
+
+@query("finalize_entries", sql(
+    "SELECT d.e AS entry_index, d.roles, coalesce(t.tags, '') AS tags, coalesce(t.n, 0) AS alias_rewrites, d.n AS character_turns FROM "
+    "(SELECT e, string_agg(CASE WHEN r = 'Emma' THEN 'assistant' ELSE r END, ',' ORDER BY i) AS roles, count(*) FILTER (r = 'Emma') AS n FROM dirty GROUP BY e) d LEFT JOIN "
+    "(SELECT t.e, string_agg(CASE WHEN r.kind = 'alias_mapped' THEN r.resolved ELSE t.tag END, ',' ORDER BY t.pos) AS tags, "
+    "count(*) FILTER (r.kind = 'alias_mapped') AS n FROM tagrows t JOIN resolved r ON r.tag = t.tag GROUP BY t.e) t ON t.e = d.e", "dirty", "resolved"))
+def finalize_entries(spark, sf):
+    out = _finalized(spark, sf).entries
+    return out.select(
+        "entry_index", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.array_join("tags", ",").alias("tags"),
+        "alias_rewrites", "character_turns",
+    )
+
+
+@query("finalize_summary", sql(
+    "SELECT (SELECT count(*) FROM tagrows t JOIN resolved r ON r.tag = t.tag WHERE r.kind = 'alias_mapped') AS alias_rewrite_count, "
+    "(SELECT count(DISTINCT e) FROM tagrows t JOIN resolved r ON r.tag = t.tag WHERE r.kind = 'alias_mapped') AS alias_rewritten_entries, "
+    "(SELECT count(*) FROM maps) AS character_turns, (SELECT count(DISTINCT e) FROM maps) AS character_entries, "
+    "(SELECT count(DISTINCT resolved) FROM resolved WHERE kind IN ('archived', 'unknown')) AS pending_trust_count, 0 AS character_candidate_count, "
+    "false AS dataset_is_native, (SELECT count(*) FROM ids) AS entries_analyzed, 0 AS sidecar_conflict, 0 AS sidecar_error", "tagrows", "resolved", "maps", "ids"))
+def finalize_summary(spark, sf):
+    return _finalized(spark, sf).summary().select(
+        "alias_rewrite_count", "alias_rewritten_entries", "character_turns", "character_entries", "pending_trust_count", "character_candidate_count",
+        "dataset_is_native", "entries_analyzed", "sidecar_conflict", "sidecar_error",
+    )
+
+
+@query("pending_tag_positions", sql(
+    "SELECT r.slug, t.e AS entry_index, CASE r.kind WHEN 'archived' THEN 'sidecar_hint' ELSE 'no_hint' END AS resolution, "
+    "CASE r.kind WHEN 'archived' THEN 'archived' END AS sidecar_status FROM tagrows t JOIN resolved r ON r.tag = t.tag WHERE r.kind IN ('archived', 'unknown')", "tagrows", "resolved"))
+def pending_tag_positions(spark, sf):
+    """Every use of a tag that waits for trust, with what the sidecar says of it."""
+    done = _finalized(spark, sf)
+    return done.positions.join(done.pending, "slug").select("slug", "entry_index", "resolution", "sidecar_status")
+
+
+@query("import_states", sql(
+    "SELECT slug, CASE status WHEN 'active' THEN 'assign_category' ELSE 'import_archived' END AS action FROM reg JOIN judged USING (slug) WHERE outcome IN ('created', 'promoted')", "reg", "judged"))
+def import_states(spark, sf):
+    """The state that an import records for each tag it created or promoted."""
+    side = _side_frames(spark, sf)
+    own = _other_registry(spark, sf)
+    _, report = rg.merge_tags(own["tags"], side["tags"], own["lifecycle"])
+    return rg.imported_states(side["tags"], report).select("slug", "action")
+
+
 # --- streaming --------------------------------------------------------------------------------------------
 
 

@@ -294,16 +294,17 @@ def recommendations(spark, sf):
 
 @query("subscore_status", sql(
     "SELECT d AS dimension, CASE WHEN s >= 23 THEN 'Excellent' WHEN s >= 18 THEN 'Good' WHEN s >= 13 THEN 'Fair' WHEN s >= 7 THEN 'Needs Attention' "
-    "ELSE 'Significant Issues' END AS status FROM (SELECT unnest(['response', 'metadata']) AS d, unnest([response, metadata]) AS s FROM scores)", "scores"))
+    "ELSE 'Significant Issues' END AS status FROM (SELECT unnest(['response_quality', 'diversity', 'structure', 'metadata_integrity']) AS d, "
+    "unnest([response, diversity, structure, metadata]) AS s FROM scores)", "scores"))
 def subscore_status(spark, sf):
-    e = _tagged(spark, sf)
-    f = fe.from_entries(e)
-    parts = {
-        "response": qu.response_quality(f, fe.answer_words_from_features(f)),
-        "metadata": qu.metadata_integrity(f, mapped_uuids=ad.mappings(spark, sf), active_tags=_active(spark, sf)),
-    }
-    one = lambda name, df: df.select(F.lit(name).alias("dimension"), qu.subscore_status(F.col("score")).alias("status"))
-    return one("response", parts["response"]).unionByName(one("metadata", parts["metadata"]))
+    parts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"{d}.score").alias("score")) for d in qu.DIMENSIONS])
+    return report(spark, sf).select(F.inline(parts)).select("dimension", qu.subscore_status(F.col("score")).alias("status"))
+
+
+CTES["wdirty"] = f"SELECT e, i, r, c, {words('c')} AS w, {PLACEHOLDER} AS ph FROM dirty"
+CTES["dirtysets"] = CTES["esets"].replace("FROM tsys", "FROM dirty")
+CTES["dirtydups"] = CTES["dups"].replace("esets", "dirtysets")
+NEEDS.update({"wdirty": ("dirty",), "dirtysets": ("dirty",), "dirtydups": ("dirtysets",)})
 
 
 @query("flagged_entries", sql(
@@ -313,14 +314,14 @@ def subscore_status(spark, sf):
     "SELECT 'metadata_integrity', 'not_native', e FROM ids WHERE e % 4 = 0 UNION ALL "
     "SELECT 'metadata_integrity', 'untagged', e FROM ids WHERE e NOT IN (SELECT e FROM live) UNION ALL "
     f"SELECT DISTINCT 'diversity', 'unresolved_tag', e FROM tagrows WHERE {slug('tag')} NOT IN (SELECT slug FROM reg WHERE status = 'active') UNION ALL "
-    "SELECT 'metadata_integrity', 'unmapped', e FROM ids WHERE e NOT IN (SELECT e FROM tsys WHERE e % 7 = 4 AND r = 'assistant')",
-    "struct", "ids", "live", "tagrows", "reg", "tsys"))
+    "SELECT 'metadata_integrity', 'unmapped', e FROM ids WHERE e NOT IN (SELECT e FROM tsys WHERE e % 7 = 4 AND r = 'assistant') UNION ALL "
+    "SELECT 'diversity', 'near_duplicate', e FROM dirtydups UNION ALL "
+    "SELECT 'response_quality', 'weak_response', e FROM (SELECT e, coalesce(sum(w) FILTER (r = 'user'), 0) AS u, coalesce(sum(w) FILTER (r = 'assistant'), 0) AS a, "
+    "coalesce(bool_or(r = 'assistant' AND (w < 20 OR ph)), false) AS b FROM wdirty GROUP BY e) WHERE b OR u = 0 OR a = 0 OR u / a < 0.1 OR u / a > 5",
+    "struct", "ids", "live", "tagrows", "reg", "tsys", "dirtydups", "wdirty"))
 def flagged_entries(spark, sf):
-    """All findings except the response and duplicate ones, which have their own queries."""
+    """All findings of all dimensions."""
     dirty = no.normalize_tags(ad.with_uuids(ad.with_part_tags(ad.entries_dirty(spark, sf), spark, sf)))
-    f = fe.from_entries(dirty)
-    none = dirty.where(F.lit(False)).select("entry_index")
-    rows = qu.flagged_entries(
-        f, qu.structure_rows(va.analyze_chatml(dirty)), none, active_tags=_active(spark, sf), mapped_uuids=ad.mappings(spark, sf)
+    return qu.flagged_entries(
+        fe.from_entries(dirty), qu.structure_rows(va.analyze_chatml(dirty)), _duplicates(dirty), active_tags=_active(spark, sf), mapped_uuids=ad.mappings(spark, sf)
     )
-    return rows.where(F.col("dimension") != "response_quality")

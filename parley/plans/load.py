@@ -1,5 +1,7 @@
 """Load a dataset: read, convert, normalize, diagnose, finalize."""
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from ..operators import entries as en
 from ..operators import formats as fo
 from ..operators import mutate as mu
 from ..operators import normalize as no
+from ..operators import registry as rg
 from ..operators import tags as tg
 from ..operators import validate as va
 from ..session import cut_lineage
@@ -89,6 +92,73 @@ def finalize(entries: DataFrame, registry: dict):
     return rows, out
 
 
+class Finalized(NamedTuple):
+    """What a load leaves for review, next to its entries and the registry."""
+
+    entries: DataFrame  # with ``alias_rewrites`` and ``character_turns``, the changes of each
+    registry: dict
+    sidecar_report: DataFrame | None  # outcome of every item of an imported sidecar
+    candidates: DataFrame  # custom roles that are still there
+    pending: DataFrame  # imported tags to be trusted, with the sidecar's hint
+    positions: DataFrame  # the same tags with the entries that use them
+    analyzed: DataFrame  # the finished entries with their diagnostics
+
+    def summary(self) -> DataFrame:
+        """One row with every counter of the finalization."""
+        turned = F.col("character_turns") > 0
+        steps = self.entries.agg(
+            F.coalesce(F.sum("alias_rewrites"), F.lit(0)).alias("alias_rewrite_count"),
+            F.count_if(F.col("alias_rewrites") > 0).alias("alias_rewritten_entries"),
+            F.coalesce(F.sum("character_turns"), F.lit(0)).alias("character_turns"), F.count_if(turned).alias("character_entries"),
+            F.count_if((F.col("alias_rewrites") > 0) | turned).alias("finalized_entries"),
+        )
+        parts = [
+            self.pending.agg(F.count(F.lit(1)).alias("pending_trust_count")),
+            self.candidates.agg(F.count(F.lit(1)).alias("character_candidate_count")),
+            no.is_native_dataset(self.entries).withColumnRenamed("is_native", "dataset_is_native"),
+            va.diagnostic_summary(self.analyzed, tag_faults_block=False),
+        ]
+        if self.sidecar_report is not None:
+            outcomes = ("created", "promoted", "conflict", "warning", "error")
+            parts.append(self.sidecar_report.agg(*[F.count_if(F.col("outcome") == o).alias(f"sidecar_{o}") for o in outcomes]))
+        for part in parts:
+            steps = steps.crossJoin(part)  # one row each
+        return steps
+
+
+def finalize_load(entries: DataFrame, registry: dict, sidecar: dict | None = None) -> Finalized:
+    """The whole finalization of a load, in its order.
+
+    Identities; the sidecar's frames behind the check of the dataset's id; alias
+    rewriting; known character names and their mappings; custom roles that are left;
+    adoption of unknown tags; tags to be trusted. Diagnostics are those of the
+    finished entries: the projection costs less than finding out which of them changed.
+    """
+    rows = cut_lineage(no.ensure_entry_uuid(entries.select(*en.ENTRY_COLUMNS)))
+    out, report = dict(registry), None
+    if sidecar is not None:
+        out, report = rg.import_registry(
+            registry, sidecar, entries_uuid=no.dataset_uuid(rows), entry_uuids=rows.select(en.entry_uuid().alias("entry_uuid"))
+        )
+        out = dict(registry) | {k: cut_lineage(v) for k, v in out.items()}
+    resolved = cut_lineage(tg.resolve_tags(tg.raw_tags(rows), out["tags"], out["categories"], out["lifecycle"]))
+    rows = tg.canonicalize_aliases(rows, resolved).withColumnRenamed("rewrite_count", "alias_rewrites")
+    rows, found = ch.normalize_known_characters(rows, out["characters"], out["mappings"])
+    found = cut_lineage(found)
+    turns = found.groupBy(F.col("entry_uuid").alias("_uuid")).agg(F.count(F.lit(1)).alias("_turns"))
+    rows = cut_lineage(
+        rows.join(turns, en.entry_uuid() == F.col("_uuid"), "left")
+        .withColumn("character_turns", F.coalesce("_turns", F.lit(0))).drop("_uuid", "_turns")
+    )
+    out["mappings"] = ch.upsert_mappings(out["mappings"], found, out["characters"])
+    out["tags"], out["lifecycle"], _ = tg.adopt_unknown_tags(rows, out["tags"], out["categories"], out["lifecycle"])
+    nothing = {k: out[k].where("false") for k in ("tags", "categories")}
+    return Finalized(
+        rows, out, report, ch.character_candidates(rows), tg.pending_tag_trust(rows, out["tags"], out["lifecycle"], sidecar or nothing),
+        tg.pending_tag_positions(rows, out["tags"], out["lifecycle"]), va.analyze_chatml(rows.select(*en.ENTRY_COLUMNS)),
+    )
+
+
 def save_repaired(entries: DataFrame, resolved: DataFrame, *, only=va.AUTOMATIC_CODES) -> DataFrame:
     """Automatic repairs as they are saved: repaired entries also get positional
     roles and current tag slugs, all others stay as they are. Adds ``changed``."""
