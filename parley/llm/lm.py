@@ -121,15 +121,20 @@ class Vocabulary:
         mass[: len(head)] = c[head] + 1
         ends = c[h == END_HASH]
         mass[END] = (ends[0] if len(ends) else 0) + 1
-        slot = (h >> np.uint64(44)).astype(np.int64)
-        _, one = np.unique(slot, return_index=True)  # the most frequent of each slot
         self.key = np.zeros(SLOTS, np.uint64)
         self.cls = np.full(SLOTS, -1, np.int16)
         self.count = np.zeros(SLOTS)
-        self.key[slot[one]], self.cls[slot[one]] = h[one], cls[one]
-        self.count[slot[one]] = np.log10(c[one] + 1)
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):  # words of one slot take the next free ones
+            _, one = np.unique(slot[left], return_index=True)
+            put = left[one][self.cls[slot[left[one]]] < 0]
+            self.key[slot[put]], self.cls[slot[put]] = h[put], cls[put]
+            left = np.setdiff1d(left, put)
+            slot[left] = (slot[left] + 1) % SLOTS
+        self.count[slot] = np.log10(c + 1)
         self.mass = mass
-        own = np.sort(one[cls[one] > END])
+        own = np.flatnonzero(cls > END)
         own = own[np.argsort(cls[own], kind="stable")]  # by class, the frequent first
         kind = cls[own].astype(np.int64) - END - 1
         each = np.bincount(kind, minlength=TAILS)
@@ -147,13 +152,22 @@ class Vocabulary:
         self.total, self.kinds = total, kinds
         self.end_count = ends[0] if len(ends) else 0
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of every word, or -1."""
+        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        open_ = np.flatnonzero(self.key[slot] != hashes)
+        while len(open_):
+            open_ = open_[self.cls[slot[open_]] >= 0]  # a free slot ends the search
+            slot[open_] = (slot[open_] + 1) % SLOTS
+            open_ = open_[self.key[slot[open_]] != hashes[open_]]
+        return np.where((self.cls[slot] >= 0) & (self.key[slot] == hashes), slot, -1)
+
     def classes(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hit, class, row of the word in the table of vectors) of every word."""
-        slot = (w.hash >> np.uint64(44)).astype(np.int64)
-        hit = self.key[slot] == w.hash
-        hit &= self.cls[slot] >= 0
+        """(slot or -1, class, row of the word in the table of vectors) of every word."""
+        slot = self.find(w.hash)
+        hit = slot >= 0
         cls = np.where(hit, self.cls[slot], HEADS + 1 + _tail(w, w.start, w.end)).astype(np.int64)
-        return hit, cls, np.where(hit, self.word[slot], len(self.group)).astype(np.int64)
+        return slot, cls, np.where(hit, self.word[slot], len(self.group)).astype(np.int64)
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -477,7 +491,8 @@ def _score(batches, vocab: Vocabulary, weights: tuple[np.ndarray, np.ndarray]):
     unit = np.log10(vocab.total + vocab.kinds + 1)
     for b in slices(batches, "text"):
         w = words(b.column("text"))
-        hit, cls, word = vocab.classes(w)
+        slot, cls, word = vocab.classes(w)
+        hit = slot >= 0
         docs = b.num_rows
         doc = np.repeat(np.arange(docs), np.diff(w.first))
         ctx, target, read, own = _stream(w, cls, np.where(word < model.words, word, model.none), model.none)
@@ -495,7 +510,7 @@ def _score(batches, vocab: Vocabulary, weights: tuple[np.ndarray, np.ndarray]):
         n = np.diff(w.first) + 1
         score = np.bincount(whose, lp / np.log(10), docs)
         score -= np.bincount(doc[~hit], np.log10(vocab.rest)[cls[~hit] - END - 1], docs)
-        base = np.bincount(doc[hit], vocab.count[(w.hash[hit] >> np.uint64(44)).astype(np.int64)], docs) + np.log10(vocab.end_count + 1) - n * unit
+        base = np.bincount(doc[hit], vocab.count[slot[hit]], docs) + np.log10(vocab.end_count + 1) - n * unit
         known = np.bincount(doc[hit], minlength=docs) + (vocab.end_count > 0)
         d, h = doc[~hit], w.hash[~hit]
         order = np.lexsort((h, d))

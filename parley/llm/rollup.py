@@ -5,7 +5,9 @@ takes it back, ``revise`` replaces the old count by a new one. Events become
 signed sums a key before anything is written, so a hot source is a few rows a
 task. A commit writes a batch once, under its name; a name that is already there
 is left alone, so that a batch may be sent again after a failure. Totals are sums
-over committed batches, in any order; compaction folds them into one.
+over committed batches, in any order; compaction folds them into one and keeps
+their names, so that a batch that is sent again later still counts once. A name has
+one writer at a time; the folder's marker does not keep two apart.
 
 Defined cases: null sources, languages and versions are keys of their own; a null
 count is 0; an unknown or null action raises no error and counts nothing; keys
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
 MEASURES = ("docs", "tokens")
+BASE, NAMES = "compacted", "compacted-names"  # folders that no batch is named after
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -49,7 +52,7 @@ class Rollup:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
-        found = [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()]
+        found = [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() != NAMES]
         return sorted(x for x in found if self._done(x))
 
     def _done(self, path: str) -> bool:
@@ -59,7 +62,7 @@ class Rollup:
     def commit(self, name: str, events: DataFrame) -> bool:
         """Write a batch unless it is there; whether it was written."""
         path = f"{self.path}/{name}"
-        if self._done(path):
+        if self._done(path) or self.folded().where(F.col("name") == name).limit(1).count():
             return False
         deltas(events).write.mode("overwrite").parquet(path)
         return True
@@ -71,7 +74,21 @@ class Rollup:
         rows = self.spark.read.schema(SCHEMA).parquet(*paths)
         return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
+    def folded(self) -> DataFrame:
+        """Names of the batches that compactions have folded."""
+        if self._done(f"{self.path}/{NAMES}"):
+            return self.spark.read.schema("name string").parquet(f"{self.path}/{NAMES}")
+        return self.spark.createDataFrame([], "name string")
+
     def compact(self, path: str) -> "Rollup":
-        """The totals as a new rollup; names of old batches are not known there."""
-        self.totals().write.parquet(f"{path.rstrip('/')}/base")
+        """The totals as a new rollup that still knows the names of all batches in it.
+
+        The names are written before the totals: a rollup that a failure left without
+        totals is empty, but takes no batch twice.
+        """
+        path = path.rstrip("/")
+        own = [p.rsplit("/", 1)[1] for p in self.batches()]
+        names = self.folded().union(self.spark.createDataFrame([(n,) for n in own], "name string")).distinct()
+        names.write.mode("overwrite").parquet(f"{path}/{NAMES}")
+        self.totals().write.mode("overwrite").parquet(f"{path}/{BASE}")
         return Rollup(self.spark, path)

@@ -108,3 +108,16 @@ def test_groups_and_words_sum_to_one():
     q = np.tile(rng.normal(0, 1, lm.DIM).astype(np.float32), (len(own), 1))
     lp, _ = lm.lower(model, v, q, (lm.END + 1 + kind).astype(np.int64), own)
     assert model.words > 2500 and np.allclose(np.bincount(kind.astype(int), np.exp(lp), lm.TAILS), 1, atol=1e-5)
+
+
+def test_words_of_one_slot_keep_their_vectors():
+    rng = np.random.default_rng(6)
+    h = np.unique(rng.integers(1, 2**63, 5000).astype(np.uint64) & np.uint64((1 << 44) - 1) | (rng.integers(0, 40, 5000).astype(np.uint64) << np.uint64(44)))
+    h[-1] |= np.uint64(0xFFFFF) << np.uint64(44)  # the last slot, and one after it
+    h = np.append(np.append(h, h[-1] ^ np.uint64(1)), lm.END_HASH)
+    c = rng.integers(1, 500, len(h))
+    v = lm.Vocabulary(h, np.zeros(len(h), np.int64), c, np.zeros(lm.TAILS), int(c.sum()), len(h))
+    slot = v.find(h)
+    assert (slot >= 0).all() and len(set(slot.tolist())) == len(h) and (v.key[slot] == h).all()
+    assert np.allclose(v.count[slot], np.log10(c + 1)) and len(v.group) == len(h) - 1 - lm.HEADS
+    assert (v.find(rng.integers(1, 2**63, 20_000).astype(np.uint64) & np.uint64((1 << 50) - 1)) < 0).mean() > 0.99

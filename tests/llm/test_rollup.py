@@ -54,6 +54,18 @@ def test_compaction_and_empty_batches(spark):
     assert _totals(small) == {("a", "en", "v1"): (3, 15)}
 
 
+def test_a_batch_sent_again_after_compactions_counts_once(spark):
+    store = Rollup(spark, scratch_path(spark, "rollup"))
+    first = spark.createDataFrame([("insert", "a", "en", "v1", 5, None)], EVENTS)
+    second = spark.createDataFrame([("insert", "a", "en", "v1", 7, None)], EVENTS)
+    store.commit("b1", first)
+    store = store.compact(scratch_path(spark, "rollup"))
+    assert not store.commit("b1", first) and store.commit("b2", second)
+    store = store.compact(scratch_path(spark, "rollup"))
+    assert not store.commit("b1", first) and not store.commit("b2", second)
+    assert _totals(store) == {("a", "en", "v1"): (2, 12)}
+
+
 def test_insert_and_delete_of_everything_leaves_zeros(spark):
     store = Rollup(spark, scratch_path(spark, "rollup"))
     rows = [(f"s{i % 2}", "en", "v1", i) for i in range(20)]
