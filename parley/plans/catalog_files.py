@@ -268,17 +268,14 @@ def _side_frames(spark, sf) -> dict:
     return frames
 
 
-def _document(spark, sf):
+def _written_sidecar(spark, sf):
+    """The document written as one file to the shared folder and read back."""
     dataset = ad.table(spark, sf, "conversations").agg(F.count_distinct("conv_id").alias("entry_count")).select(
         F.lit("dataset-1").alias("dataset_uuid"), F.lit("data.jsonl").alias("filename"), "entry_count"
     )
-    return sidecar.build_sidecar(dataset, _side_frames(spark, sf), _usage(spark, sf), exported_at="2024-01-01T00:00:00Z")
-
-
-def _written_sidecar(spark, sf):
-    """The document written to the shared folder and read back."""
     path = scratch_path(spark, "sidecar")
-    _document(spark, sf).write.text(path)
+    lines = sidecar.sidecar_lines(dataset, _side_frames(spark, sf), _usage(spark, sf), exported_at="2024-01-01T00:00:00Z")
+    sidecar.write_sidecar(lines, path)
     return sidecar.sidecar_frames(sidecar.read_sidecars(spark, path))
 
 

@@ -1,5 +1,7 @@
 """The registry sidecar: one JSON document per dataset."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,58 +166,77 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return parse_sidecars(docs)
 
 
-def build_sidecar(dataset: DataFrame, frames: dict, usage: DataFrame, *, exported_at: str,
-                  turns_per_document: int = 100_000) -> DataFrame:
-    """Sidecar documents as JSON text in ``value``.
+LINES = "section int, key string, value string"
+USAGE, FIRST_LIST = 1, 3
 
-    ``dataset`` is one row (dataset_uuid, filename, entry_count). Registries are
-    small and go into the first document. Turn mappings grow with the entries,
-    so they are counted and spread over as many documents as keep each one to
-    about ``turns_per_document`` turns; the reader unites the documents.
-    """
-    def listed(df, cols, order):
-        return df.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*cols).alias("item")))).alias("l")).select(
-            F.transform("l", lambda s: s["item"]).alias("l")
-        )
 
-    documents = max(1, -(-frames["mappings"].count() // turns_per_document))
-    registries = usage.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("slug", "entries")))).alias("u")
-    )
-    for name, (required, nullable, optional) in ITEM_RULES.items():
-        cols = [*required, *nullable, *optional]
-        registries = registries.crossJoin(listed(frames[name], cols, [required[0]]).withColumnRenamed("l", name))
-    turns = frames["mappings"].groupBy("entry_uuid").agg(
-        F.sort_array(
-            F.collect_list(F.struct("turn_index", "character_slug", "training_role", "source_role_label"))
-        ).alias("turns")
-    )
-    part = F.pmod(F.xxhash64("entry_uuid"), F.lit(documents)).cast("int")
-    mapped = turns.groupBy(part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("entry_uuid", "turns"))).alias("entry_character_mappings")
-    )
-    parts = dataset.sparkSession.range(documents).select(F.col("id").cast("int").alias("part"))
-    header = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(KIND).alias("kind"), F.lit(exported_at).alias("exported_at")
-    )
-    lead = F.col("part") == 0
-    only_first = lambda name: F.when(lead, F.col(name)).otherwise(F.slice(name, 1, 0)).alias(name)
-    no_mappings = F.expr(
-        "cast(array() as array<struct<entry_uuid:string,turns:array<struct<turn_index:int,character_slug:string,"
-        "training_role:string,source_role_label:string>>>>)"
+def sidecar_lines(dataset: DataFrame, frames: dict, usage: DataFrame, *, exported_at: str) -> DataFrame:
+    """The document as text lines ``section, key, value``, in this order.
+
+    ``dataset`` is one row (dataset_uuid, filename, entry_count). Each registry item
+    and each entry's turn mappings are a line of their own, so that no cell and no
+    task holds a whole list. Lines that are equal are one.
+    """
+    spark = dataset.sparkSession
+    names = [*ITEM_RULES, "entry_character_mappings"]
+    null = {"ignoreNullFields": "false"}
+    head = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(KIND).alias("kind"), F.lit(exported_at).alias("exported_at"))
+    about = F.to_json(F.struct("dataset_uuid", "filename", "entry_count"), null)
+    fixed = dataset.select(
+        F.lit(0).alias("section"), F.lit("").alias("key"),
+        F.concat(F.lit('{"metadata":'), F.to_json(head), F.lit(',"dataset":'), F.regexp_replace(about, r"\}$", ',"tag_usage_counts":{')).alias("value"),
     )
-    doc = F.struct(
-        header.alias("metadata"),
-        F.struct(
-            "d.dataset_uuid", "d.filename", "d.entry_count",
-            F.when(lead, F.col("u")).otherwise(F.map_filter("u", lambda k, v: F.lit(False))).alias("tag_usage_counts"),
-        ).alias("dataset"),
-        *[only_first(name) for name in ITEM_RULES],
-        F.coalesce("entry_character_mappings", no_mappings).alias("entry_character_mappings"),
+    closes = [(USAGE + 1, "", f'}}}},"{names[0]}":[')]
+    closes += [(FIRST_LIST + 2 * i + 1, "", f'],"{n}":[') for i, n in enumerate(names[1:])]
+    closes.append((FIRST_LIST + 2 * len(names) - 1, "", "]}"))
+    items = usage.where(F.col("slug").isNotNull()).select(
+        F.lit(USAGE).alias("section"), F.col("slug").alias("key"),
+        F.regexp_replace(F.to_json(F.create_map("slug", "entries")), r"^\{|\}$", "").alias("value"),
     )
-    return (
-        parts.crossJoin(dataset.select(F.struct("dataset_uuid", "filename", "entry_count").alias("d")))
-        .crossJoin(registries)
-        .join(mapped, "part", "left")
-        .select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))
+    for i, (name, (required, nullable, optional)) in enumerate(ITEM_RULES.items()):
+        item = F.to_json(F.struct(*required, *nullable, *optional), null)
+        items = items.unionByName(frames[name].select(F.lit(FIRST_LIST + 2 * i).alias("section"), F.col(required[0]).alias("key"), item.alias("value")))
+    turns = F.sort_array(F.collect_list(F.struct("turn_index", "character_slug", "training_role", "source_role_label"))).alias("turns")
+    mapped = frames["mappings"].groupBy("entry_uuid").agg(turns).select(
+        F.lit(FIRST_LIST + 2 * len(ITEM_RULES)).alias("section"), F.col("entry_uuid").alias("key"), F.to_json(F.struct("entry_uuid", "turns"), null).alias("value")
     )
+    items = items.unionByName(mapped).withColumn("key", F.coalesce("key", F.lit(""))).dropDuplicates(["section", "key", "value"])
+    # all but the first of a list follow a comma
+    first = items.groupBy("section").agg(F.min(F.struct("key", "value")).alias("_first"))
+    marked = items.join(F.broadcast(first), "section")  # one row a list
+    comma = F.when(F.struct("key", "value") == F.col("_first"), "").otherwise(",")
+    rows = marked.select("section", "key", F.concat(comma, "value").alias("value"))
+    return fixed.unionByName(rows).unionByName(spark.createDataFrame(closes, LINES))
+
+
+def write_sidecar(lines: DataFrame, path: str, *, partitions: int | None = None) -> None:
+    """The lines as one JSON document, a single file at ``path``.
+
+    Ranges of the order are written as parts by parallel tasks. At the commit their
+    bytes are appended to one file, which then takes its name; a file that is there
+    is replaced, and a failure before leaves it as it was.
+    """
+    spark = lines.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    order = ["section", "key", "value"]
+    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to_path = jvm.org.apache.hadoop.fs.Path
+    fs = to_path(path).getFileSystem(conf)
+    names = sorted(s.getPath().toString() for s in fs.listStatus(to_path(parts)) if s.getPath().getName().startswith("part-"))
+    whole = to_path(f"{parts}/whole")
+    out = fs.create(whole, True)
+    try:
+        for name in names:  # bytes alone, through a small buffer
+            source = fs.open(to_path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    if fs.exists(to_path(path)):
+        fs.delete(to_path(path), False)
+    fs.rename(whole, to_path(path))
+    fs.delete(to_path(parts), True)

@@ -220,7 +220,7 @@ def test_near_duplicates_over_several_sources(spark):
     assert sets.count() == sets.select("set_id").distinct().count() == 4
 
 
-def test_sidecar_in_several_documents(spark):
+def test_sidecar_is_one_document(spark, tmp_path):
     maps = spark.createDataFrame(
         [(f"u{i}", t, "emma", "assistant", None) for i in range(40) for t in (2, 4)],
         "entry_uuid string, turn_index int, character_slug string, training_role string, source_role_label string",
@@ -235,13 +235,21 @@ def test_sidecar_in_several_documents(spark):
     }
     dataset = spark.createDataFrame([("d1", "f.jsonl", 40)], "dataset_uuid string, filename string, entry_count long")
     usage = spark.createDataFrame([("t", 3)], "slug string, entries long")
-    docs = sidecar.build_sidecar(dataset, frames, usage, exported_at="now", turns_per_document=20)
-    assert docs.count() == 4
-    parsed = sidecar.parse_sidecars(docs.select(F.lit("s").alias("source"), "value"))
-    assert parsed.where(F.size("errors") > 0).count() == 0
-    back = sidecar.sidecar_frames(parsed)
-    assert back["mappings"].count() == 80
-    assert [back[n].count() for n in ("tags", "categories", "aliases", "characters", "system_prompts")] == [1] * 5
+    for partitions, path in ((1, tmp_path / "one.json"), (7, tmp_path / "many.json")):
+        for _ in range(2):  # the second replaces the first
+            sidecar.write_sidecar(sidecar.sidecar_lines(dataset, frames, usage, exported_at="now"), str(path), partitions=partitions)
+        text = json.loads(path.read_text())
+        assert text["dataset"]["tag_usage_counts"] == {"t": 3} and len(text["entry_character_mappings"]) == len({m["entry_uuid"] for m in text["entry_character_mappings"]})
+        parsed = sidecar.read_sidecars(spark, str(path))
+        assert parsed.count() == 1 and parsed.where(F.size("errors") > 0).count() == 0
+        back = sidecar.sidecar_frames(parsed)
+        assert back["mappings"].count() == 80
+        assert [back[n].count() for n in ("tags", "categories", "aliases", "characters", "system_prompts")] == [1] * 5
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["many.json", "one.json"]
+    # nothing to list
+    empty = {k: v.where("false") for k, v in frames.items()}
+    sidecar.write_sidecar(sidecar.sidecar_lines(dataset, empty, usage.where("false"), exported_at="now"), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["tags"] == []
 
 
 def test_finalize_a_load(spark):
