@@ -2,12 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import characters as ch
 from ..operators import entries as en
 from ..operators import mutate as mu
-from ..operators import normalize as no
-from ..operators import tags as tg
 from . import adapters as ad
+from . import load
 from .base import CTES, NEEDS, query, slug, sql
 from .catalog_entries import _fingerprint
 
@@ -81,17 +79,17 @@ def merge_counts(spark, sf):
 
 
 @query("save_merged", sql(
-    f"SELECT count(DISTINCT k) AS entries, 1 AS dataset_ids, (SELECT count(*) FROM tsys WHERE e % 7 = 4 AND r = 'assistant') AS kept_mappings, "
-    "0 AS dropped_entries FROM copies", "copies", "tsys"))
+    "SELECT count(*) AS entries, 1 AS dataset_ids, (SELECT count(*) FROM tsys WHERE e % 7 = 4 AND r = 'assistant' AND e IN (SELECT e FROM firsts)) AS kept_mappings, "
+    "(SELECT count(DISTINCT e) FROM tsys WHERE e % 7 = 4 AND r = 'assistant' AND e NOT IN (SELECT e FROM firsts)) AS dropped_entries FROM firsts",
+    "copies", "tsys", firsts="SELECT k, first(e ORDER BY f, e) AS e FROM copies GROUP BY k"))
 def save_merged(spark, sf):
-    """Merge, normalize, rewrite aliases, keep surviving mappings, stamp."""
-    merged = mu.renumber(mu.merge_dedupe(_merge_input(spark, sf))).select(*en.ENTRY_COLUMNS)
-    rows = no.normalize_entries(ad.with_uuids(merged)).select(*en.ENTRY_COLUMNS)
-    resolved = tg.resolve_tags(tg.raw_tags(rows), ad.tags(spark, sf), ad.categories(spark, sf), ad.lifecycle(spark, sf))
-    stamped = no.stamp_entries(tg.canonicalize_aliases(rows, resolved).drop("rewrite_count"), dataset="merged-1")
-    kept, dropped = ch.surviving_mappings(ad.mappings(spark, sf), stamped)
+    """Two datasets saved as one: merged, normalized, current tags, surviving mappings, stamped."""
+    stacked = ad.with_uuids(_merge_input(spark, sf))
+    frames = [stacked.where(f"file_order = {n}").select(*en.ENTRY_COLUMNS) for n in (0, 1)]
+    kept = {n: getattr(ad, n)(spark, sf) for n in ("tags", "categories", "lifecycle", "mappings")}
+    stamped, maps, dropped = load.save_merged(frames, kept, "merged-1")
     counts = stamped.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("meta.dataset_uuid").alias("dataset_ids"))
-    return counts.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept_mappings"))).crossJoin(
+    return counts.crossJoin(maps.agg(F.count(F.lit(1)).alias("kept_mappings"))).crossJoin(
         dropped.agg(F.count(F.lit(1)).alias("dropped_entries"))
     )
 

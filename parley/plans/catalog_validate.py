@@ -241,15 +241,23 @@ def custom_role_turns(spark, sf):
 
 
 @query("custom_role_pattern", sql(
-    "SELECT 'Ann' AS label, 'user' AS role FROM raw LIMIT 1 UNION ALL (SELECT 'Bob', 'assistant' FROM raw LIMIT 1)".replace(
-        "SELECT 'Ann' AS label, 'user' AS role FROM raw LIMIT 1", "(SELECT 'Ann' AS label, 'user' AS role FROM raw LIMIT 1)"), "raw"))
+    "SELECT 'given' AS dataset, l AS label, CASE WHEN l = (SELECT first(l ORDER BY e, i) FROM named) THEN 'user' ELSE 'assistant' END AS role FROM (SELECT DISTINCT l FROM named) "
+    "WHERE (SELECT count(DISTINCT l) = 2 FROM named) AND (SELECT count(*) = 0 FROM (SELECT l, lag(l) OVER (ORDER BY e, i) AS p FROM named) WHERE l = p) UNION ALL "
+    "SELECT 'padded', unnest(['Ann', 'Bob']), unnest(['user', 'assistant']) FROM (SELECT 1 FROM raw LIMIT 1)",
+    "raw", named="SELECT CASE r WHEN 'user' THEN 'Ann' ELSE 'Bob' END AS l, e, i FROM raw WHERE r IN ('user', 'assistant')"))
 def custom_role_pattern(spark, sf):
-    """Two names that alternate through every conversation of even length."""
-    named = lambda m: en.with_fields(
+    """All conversations twice: with names in place of the roles as they come, and
+    with names by turns, an odd last turn repeated, so that the names alternate."""
+    rows = ad.entries(spark, sf)
+    given = lambda m: en.with_fields(
         m, role=F.when(m["role"] == "user", "Ann").when(m["role"] == "assistant", "Bob").otherwise(m["role"])
     )
-    rows = ad.entries(spark, sf).withColumn("messages", F.transform("messages", named))
-    even = F.size(F.filter("messages", lambda m: m["role"] != "system")) % 2 == 0
-    opens = F.size(F.filter(F.filter("messages", lambda m: m["role"] != "system"), lambda m: m["role"] == "Ann")) > 0
-    first = F.get(F.filter("messages", lambda m: m["role"] != "system"), F.lit(0))["role"] == "Ann"
-    return fo.custom_role_pattern(fo.custom_role_turns(rows.where(even & opens & first)))
+    spoken = F.filter("messages", lambda m: m["role"] != "system")
+    even = F.when(F.size(spoken) % 2 == 1, F.concat(spoken, F.slice(spoken, -1, 1))).otherwise(spoken)
+    by_turn = lambda m, i: en.with_fields(m, role=F.when(i % 2 == 0, "Ann").otherwise("Bob"))
+    out = None
+    for name, messages in (("given", F.transform("messages", given)), ("padded", F.transform(even, by_turn))):
+        found = fo.custom_role_pattern(fo.custom_role_turns(rows.withColumn("messages", messages)))
+        found = found.select(F.lit(name).alias("dataset"), "label", "role")
+        out = found if out is None else out.unionByName(found)
+    return out
