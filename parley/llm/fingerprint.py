@@ -9,7 +9,9 @@ sides hold estimates resemblance; up to ``k`` shingles it is exact.
 
 Defined cases: a null text is empty and has an empty sketch; a text of fewer
 words than a shingle gives one shingle; two empty sketches resemble each other
-fully, an empty and another one not at all; equal texts have equal sketches.
+fully, an empty and another one not at all; equal texts have equal sketches;
+repeated rows have a sketch each; rows of one id follow by their texts; a null id comes
+last; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

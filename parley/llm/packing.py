@@ -13,7 +13,7 @@ number of tasks. Nothing but lengths and checksums leaves the first pass.
 
 Defined cases: a null text counts as empty (one piece that holds the end token);
 texts longer than a sequence are cut, whole sequences first; repeated rows are
-packed each; an empty table gives an empty result; other columns are not read.
+packed each, a null id is an id like any other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

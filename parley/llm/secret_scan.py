@@ -17,7 +17,7 @@ and matches are the places. Only rows that hold a match leave the scan.
 
 Defined cases: a null text is empty and has no spans; spans of one kind never
 overlap; a piece is reported whole when a stretch of it is; without samples of
-a class its chain is uniform; repeated rows are scanned each; an empty table
+a class its chain is uniform; long texts and runs take time in proportion; repeated rows are scanned each; an empty table
 gives an empty result; columns named like the results are replaced.
 """
 

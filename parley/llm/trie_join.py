@@ -24,7 +24,8 @@ Step 6 is where a family whose members mostly do not link stays quadratic.
 
 Defined cases: a null or empty text has no n-grams and its own id as component; a
 text of fewer words than an n-gram is one n-gram of all its words; equal texts
-link through their set; repeated rows are kept; an empty table gives an empty
+link through their set; a long text is held whole by its task, with its n-grams;
+repeated rows are kept; an empty table gives an empty
 result; other columns are not read.
 """
 

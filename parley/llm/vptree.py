@@ -14,7 +14,8 @@ one block. Each block's best ``k`` of every shard are reduced to the best ``k``.
 Defined cases: null or zero vectors, and those with null or non-finite
 components, take no part; vectors of other lengths are other spaces; equal
 vectors and repeated ids are separate rows, ties go to the smaller id; only the
-query's own row is left out; an empty table gives an empty result.
+query's own row is left out; rows without an id take no part; long vectors only
+cost their components; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
