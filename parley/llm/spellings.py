@@ -221,6 +221,16 @@ def _entries(batches, heavy: list[np.ndarray]):
             )
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether one edit makes ``b``, as long as ``a`` or one letter longer, of another word ``a``; one pass for long words."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    differs = F.array_position(same, False).cast("int")  # 0: b only goes on
+    at = F.when(differs > 0, differs).otherwise(F.length(b))
+    longer = F.length(b) - F.length(a)
+    rest = F.substring(a, at + 1 - longer, F.length(a)) == F.substring(b, at + 1, F.length(b))
+    return F.when(F.length(a) <= LONG, F.levenshtein(a, b, 1) == 1).otherwise(rest)
+
+
 def near_pairs(words: DataFrame, heavy: list[np.ndarray]) -> DataFrame:
     """``a, na, b, nb``: each pair of ``word, n`` at edit distance one, once."""
     sent = words.sparkSession.sparkContext.broadcast(heavy)
@@ -229,7 +239,7 @@ def near_pairs(words: DataFrame, heavy: list[np.ndarray]) -> DataFrame:
     held = entries.where("not ask").select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
     longer = F.length("b") - F.length("a")
     once = (longer == 1) | ((longer == 0) & (F.col("a") < F.col("b")))
-    pairs = ask.join(held, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
+    pairs = ask.join(held, "key").where(once & one_edit(F.col("a"), F.col("b")))
     return pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"))
 
 
