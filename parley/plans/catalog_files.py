@@ -138,11 +138,18 @@ def read_json_object(spark, sf):
     )
 
 
-@query("read_gate", sql("SELECT count(*) > 0 AS any_files, 0 AS refused FROM kinds", "kinds"))
+@query("read_gate", sql(
+    "SELECT kind, error AS least, error AS most FROM (VALUES ('lines', 'fine'), ('table', 'Unsupported file type: .csv'), ('bytes', 'Not valid UTF-8')) v(kind, error) "
+    "WHERE (SELECT count(*) FROM kinds) > 0", "kinds"))
 def read_gate(spark, sf):
-    """Extension and encoding checks over written files."""
-    g = files.gate(spark, _written_lines(spark, sf))
-    return g.agg((F.count(F.lit(1)) > 0).alias("any_files"), F.count("error").alias("refused"))
+    """All records as files of lines, as files of another type, and with a byte that is no UTF-8."""
+    base = scratch_path(spark, "gate")
+    rows = ad.records(spark, sf).select("record")
+    rows.write.text(f"{base}/lines")
+    rows.write.csv(f"{base}/table")
+    rows.select(F.concat(F.col("record").cast("binary"), F.unhex(F.lit("E9"))).cast("string").alias("record")).write.text(f"{base}/bytes")
+    kind, error = F.regexp_extract("source", "/([a-z]+)/[^/]+$", 1), F.coalesce("error", F.lit("fine"))
+    return files.gate(spark, f"{base}/*").groupBy(kind.alias("kind")).agg(F.min(error).alias("least"), F.max(error).alias("most"))
 
 
 @query("sidecar_path", sql("SELECT '/data/' || e || '.v1.registry.json' AS path FROM ids", "ids"))
@@ -156,7 +163,7 @@ def sidecar_path(spark, sf):
 def write_jsonl(spark, sf):
     """Write the dirty entries as JSON lines and read them back in order."""
     path = scratch_path(spark, "jsonl")
-    files.write_jsonl(ad.entries_dirty(spark, sf), path, partitions=4)
+    files.write_jsonl(ad.entries_dirty(spark, sf), path)
     lines = files.read_lines(spark, path)
     # part files are in order, so is the position over all of them
     parsed = files.index_records(files.parse_lines(lines))
