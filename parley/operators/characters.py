@@ -144,7 +144,12 @@ def _rewrite(entries: DataFrame, rules: DataFrame, fold: bool):
 
 def normalize_known_characters(entries: DataFrame, characters: DataFrame, mappings: DataFrame):
     """Replace role names of known characters. ``(entries, mapping rows)``."""
-    return _rewrite(entries, known_character_roles(characters, mappings), fold=True)
+    return normalize_character_roles(entries, known_character_roles(characters, mappings))
+
+
+def normalize_character_roles(entries: DataFrame, rules: DataFrame):
+    """The same by ``known_character_roles`` that were worked out before, once for a whole stream."""
+    return _rewrite(entries, rules, fold=True)
 
 
 def mapping_counts(rows: DataFrame) -> DataFrame:

@@ -68,14 +68,14 @@ def alias_edges(lifecycle: DataFrame) -> DataFrame:
     )
 
 
-def resolve_aliases(slugs: DataFrame, lifecycle: DataFrame, active: DataFrame) -> DataFrame:
-    """``(slug, target, action)`` for slugs whose alias chain reaches an active tag.
+def alias_targets(lifecycle: DataFrame, active: DataFrame) -> DataFrame:
+    """``(slug, target, action)`` of every alias whose chain reaches an active tag.
 
     The walk runs over the alias table alone, by doubling: each round replaces a
     slug's pointer by the pointer of its target, so a chain of n renames takes
     log2(n) rounds. A pointer that reached an active tag stays; one that leads
     nowhere is dropped. What still moves after as many rounds as the table's size
-    allows is a cycle and never arrives. The used slugs join in at the end.
+    allows is a cycle and never arrives. It needs no entries, so one walk serves a whole stream.
     """
     ends = active.select(F.col("slug").alias("target"), F.lit(True).alias("hit"))
     edges = alias_edges(lifecycle).where(F.col("target") != "").join(ends, "target", "left")
@@ -87,18 +87,28 @@ def resolve_aliases(slugs: DataFrame, lifecycle: DataFrame, active: DataFrame) -
         nxt = at.select(F.col("slug").alias("target"), F.col("target").alias("to"), F.col("action").alias("by"), F.col("done").alias("there"))
         moved = open_.join(nxt, "target").select("slug", F.col("to").alias("target"), F.col("by").alias("action"), F.col("there").alias("done"))
         at = cut_lineage(at.where("done").unionByName(moved))
-    return slugs.select("slug").join(at.where("done").select("slug", "target", "action"), "slug")
+    return at.where("done").select("slug", "target", "action")
+
+
+def resolve_aliases(slugs: DataFrame, lifecycle: DataFrame, active: DataFrame) -> DataFrame:
+    """``(slug, target, action)`` for slugs whose alias chain reaches an active tag."""
+    return slugs.select("slug").join(alias_targets(lifecycle, active), "slug")
 
 
-def resolve_tags(raw_tags: DataFrame, tags: DataFrame, categories: DataFrame, lifecycle: DataFrame) -> DataFrame:
+def resolve_tags(
+    raw_tags: DataFrame, tags: DataFrame, categories: DataFrame, lifecycle: DataFrame, targets: DataFrame | None = None
+) -> DataFrame:
     """Lifecycle resolution of distinct raw tag values (column ``tag``).
 
     Precedence: active, alias_mapped, archived / hidden, retired, unknown.
+    ``targets`` are the registry's ``alias_targets``, walked here when not given.
     """
     used = raw_tags.select("tag").distinct().withColumn("slug", tx.slug(F.col("tag")))
     slugs = used.select("slug").where(F.col("slug") != "").distinct()
     active = active_tags(tags, categories).select("slug")
-    alias = resolve_aliases(slugs, lifecycle, active).select(
+    if targets is None:
+        targets = alias_targets(lifecycle, active)
+    alias = slugs.join(targets, "slug").select(
         "slug", F.col("target").alias("alias_target"), F.col("action").alias("alias_action")
     )
     status = tags.select("slug", F.col("status").alias("tag_status"))

@@ -9,7 +9,7 @@ from ..operators import mutate as mu
 from ..operators import normalize as no
 from ..operators import registry as rg
 from ..operators import tags as tg
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import files, sidecar
 from ..streaming import batches as sb
 from ..streaming import entries as se
@@ -20,6 +20,7 @@ from .base import CTES, NEEDS, lit, query, slug, sql, std_role, strip
 from .catalog_entries import NORMAL_ROLE, _fingerprint
 
 PER_DOCUMENT = 1000  # entries of one array document at most
+BATCHES = 4  # micro-batches of a streamed folder; a batch is then work for all cores, whatever the number of files
 KINDS = "SELECT e, e % 10 AS k, count(*) AS n FROM tsys GROUP BY e"
 CTES["kinds"] = KINDS
 NEEDS["kinds"] = ("tsys",)
@@ -443,9 +444,11 @@ def stream_clean(spark, sf):
     return done.agg(F.count(F.lit(1)).alias("entries"), F.count("diagnostics").alias("objects_and_values"))
 
 
-def _streamed(spark, source, step, files_per_batch=2):
+def _streamed(spark, source, step):
     """What ``step`` makes of the files of a folder, in several micro-batches."""
     out = scratch_path(spark, "stream")
+    found = spark.read.format("binaryFile").load(source).count()  # names only, no content
+    files_per_batch = max(1, -(-found // BATCHES))
     sb.run_stream(spark, source, out, scratch_path(spark, "stream-state"), step, files_per_batch=files_per_batch)
     return sb.results(spark, out)
 
@@ -456,7 +459,7 @@ def _streamed(spark, source, step, files_per_batch=2):
     f"FROM dirty d JOIN kinds USING (e) LEFT JOIN (SELECT e, string_agg({slug('tag')}, ',' ORDER BY pos) AS tags FROM tagrows GROUP BY e) g ON g.e = d.e "
     "WHERE k <> 8 GROUP BY d.e, k", "dirty", "kinds", "tagrows"))
 def stream_load(spark, sf):
-    """All written lines through conversion and normalization, a few files a micro-batch."""
+    """All written lines through conversion and normalization, a share of the files a micro-batch."""
     out = _streamed(spark, _written_lines(spark, sf), load.entries_from_records)
     return out.select(_fingerprint().alias("fingerprint"), F.array_join("tags", ",").alias("tags"))
 
@@ -470,14 +473,16 @@ def stream_registry(spark, sf):
     """Alias rewriting and character names on a stream of the dirty entries."""
     path = scratch_path(spark, "lines")
     files.write_jsonl(ad.with_part_tags(ad.entries_dirty(spark, sf), spark, sf), path)
+    # the registry stands still: read and walked once, not in every micro-batch
     kept = registry(spark, sf)
+    roles = cut_lineage(ch.known_character_roles(kept["characters"], kept["mappings"]))
+    tags, cats, life = (cut_lineage(kept[k]) for k in ("tags", "categories", "lifecycle"))
+    targets = tg.alias_targets(life, tg.active_tags(tags, cats).select("slug"))
 
     def step(records):
         rows = en.parse_entries(records)
-        resolved = tg.resolve_tags(tg.raw_tags(rows), kept["tags"], kept["categories"], kept["lifecycle"])
-        rows = tg.canonicalize_aliases(rows, resolved)
-        named, _ = ch.normalize_known_characters(rows, kept["characters"], kept["mappings"])
-        return named
+        resolved = tg.resolve_tags(tg.raw_tags(rows), tags, cats, life, targets)
+        return ch.normalize_character_roles(tg.canonicalize_aliases(rows, resolved), roles)[0]
 
     out = _streamed(spark, path, step)
     return out.select(F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.array_join("tags", ",").alias("tags"), "rewrite_count")

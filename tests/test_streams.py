@@ -14,6 +14,7 @@ from parley.operators import normalize as no
 from parley.operators import search as se
 from parley.operators import tags as tg
 from parley.operators import validate as va
+from parley.plans import catalog_files as cf
 from parley.plans import load
 from parley.sources import files
 from parley.streaming import batches as sb
@@ -126,3 +127,20 @@ def test_a_batch_sent_again_replaces_itself(spark, folder):
         assert first is None or rows == first
         first = rows
     assert len(first) == 11
+
+
+def test_many_files_are_a_few_batches(spark):
+    source = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    for i in range(13):
+        with open(os.path.join(source, f"part-{i:02}.jsonl"), "w") as f:
+            f.write("".join(json.dumps({"messages": [{"role": "user", "content": f"{i} {k}"}]}) + "\n" for k in range(3)))
+    rows = cf._streamed(spark, source, lambda r: r).collect()
+    assert len({r["record"] for r in rows}) == len({r["entry_index"] for r in rows}) == len(rows) == 39
+    assert 1 < len({r["batch"] for r in rows}) <= cf.BATCHES
+
+
+def test_a_stream_walks_the_registry_once(spark, sf_dir, monkeypatch):
+    walks, walk = [], tg.alias_targets
+    monkeypatch.setattr(tg, "alias_targets", lambda *a: walks.append(1) or walk(*a))
+    cf.stream_registry(spark, sf_dir).collect()
+    assert len(walks) == 1
