@@ -342,6 +342,32 @@ def test_one_hot_set_is_one_row(spark):
     assert tuple(nd.near_duplicate_summary(groups, similar).first()) == (2000 * 1999 // 2, 2000)
 
 
+def test_near_duplicates_read_written_words(spark):
+    """Texts are read once for sets, pairs and entries; only numbers of signatures and words of candidates move."""
+    from pyspark.sql.types import LongType
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    sets = _random_sets(5)
+    made = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets + sets[:7])], "entry_index long, text string")
+    written = nd.written_sets(made.mapInArrow(read, "entry_index long, text string"))
+    groups, similar = nd.near_duplicates(written)
+    flagged = {r[0] for r in nd.near_duplicate_entries(written, groups, similar).collect()}
+    n_pairs = nd.near_duplicate_summary(groups, similar).first()["pair_count"]
+    assert seen.value == len(sets) + 7
+    want = _brute(sets + sets[:7])
+    assert (n_pairs, flagged) == (len(want), {i for p in want for i in p})
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(similar) == pairs(nd.similar_sets(groups, group=5))  # families cut into many groups
+    rows = nd.signature_rows(groups).toPandas()
+    assert (rows.groupby("set_id")["n"].count() == 1).all() and isinstance(groups.schema["copies"].dataType, LongType)
+
+
 def test_entropy_and_grades(spark):
     even = spark.createDataFrame([("a", 2), ("b", 2)], "tag string, uses long")
     one = spark.createDataFrame([("a", 2)], "tag string, uses long")
