@@ -237,10 +237,14 @@ def registry(spark, sf) -> dict:
     }
 
 
-def _usage(spark, sf):
-    resolved = tg.resolve_tags(
-        tg.raw_tags(ad.entries_tagged(spark, sf)), ad.tags(spark, sf), ad.categories(spark, sf), ad.lifecycle(spark, sf)
-    )
+def _written_registry(spark, sf) -> dict:
+    """The same frames written once, for queries that read them many times."""
+    return {k: cut_lineage(v) for k, v in registry(spark, sf).items()}
+
+
+def _usage(spark, sf, kept=None):
+    kept = kept or registry(spark, sf)
+    resolved = tg.resolve_tags(tg.raw_tags(ad.entries_tagged(spark, sf)), kept["tags"], kept["categories"], kept["lifecycle"])
     return tg.tag_usage_counts(ad.entries_tagged(spark, sf), resolved)
 
 
@@ -249,8 +253,9 @@ def _uuids(spark, sf):
     return rows.select(ad.uuid_of(F.col("conv_id")).alias("entry_uuid"))
 
 
-def _exported(spark, sf):
-    return rg.export_registry(registry(spark, sf), _usage(spark, sf), _uuids(spark, sf))
+def _exported(spark, sf, kept=None, usage=None):
+    kept = kept or registry(spark, sf)
+    return rg.export_registry(kept, _usage(spark, sf, kept) if usage is None else usage, _uuids(spark, sf))
 
 
 USED = "SELECT DISTINCT resolved AS slug FROM tagrows t JOIN resolved r ON r.tag = t.tag"
@@ -270,21 +275,23 @@ def export_registry(spark, sf):
     return out
 
 
-def _side_frames(spark, sf) -> dict:
-    frames = dict(_exported(spark, sf))
+def _side_frames(spark, sf, kept=None, usage=None) -> dict:
+    frames = dict(_exported(spark, sf, kept, usage))
     frames["categories"] = frames["categories"].withColumn("is_builtin", F.lit(False))
     return frames
 
 
-def _written_sidecar(spark, sf):
+def _written_sidecar(spark, sf, kept=None):
     """The document written as one file to the shared folder and read back."""
+    kept = kept or _written_registry(spark, sf)
+    usage = cut_lineage(_usage(spark, sf, kept))
     dataset = ad.table(spark, sf, "conversations").agg(F.count_distinct("conv_id").alias("entry_count")).select(
         F.lit("dataset-1").alias("dataset_uuid"), F.lit("data.jsonl").alias("filename"), "entry_count"
     )
     path = scratch_path(spark, "sidecar")
-    lines = sidecar.sidecar_lines(dataset, _side_frames(spark, sf), _usage(spark, sf), exported_at="2024-01-01T00:00:00Z")
+    lines = sidecar.sidecar_lines(dataset, _side_frames(spark, sf, kept, usage), usage, exported_at="2024-01-01T00:00:00Z")
     sidecar.write_sidecar(lines, path)
-    return sidecar.sidecar_frames(sidecar.read_sidecars(spark, path))
+    return sidecar.read_frames(spark, path)
 
 
 @query("sidecar_round_trip", sql(
@@ -325,9 +332,9 @@ def sidecar_faults(spark, sf):
     return parsed.select(F.col("source").cast("long").alias("entry_index"), F.array_join("errors", ",").alias("errors"))
 
 
-def _other_registry(spark, sf) -> dict:
+def _other_registry(spark, sf, kept=None) -> dict:
     """A registry that shares some tags, with other states."""
-    r = registry(spark, sf)
+    r = dict(kept or registry(spark, sf))
     kind = F.length("slug") % 4
     r["tags"] = r["tags"].where(kind != 0).withColumn(
         "category_slug", F.when(kind == 1, F.lit("kind")).when(kind == 2, F.lit(None)).otherwise(F.col("category_slug"))
@@ -365,9 +372,10 @@ def import_registry(spark, sf):
     "SELECT 'characters', count(DISTINCT slug) FROM people UNION ALL SELECT 'mappings', count(*) FROM maps UNION ALL "
     "SELECT 'aliases', count(*) FROM alias UNION ALL SELECT 'system_prompts', count(DISTINCT c) FROM tsys WHERE i = 0", "judged", "mine", "people", "maps", "resolved", "alias", "tsys", used=USED))
 def import_registry_rows(spark, sf):
-    side = _written_sidecar(spark, sf)
+    kept = _written_registry(spark, sf)
+    side = _written_sidecar(spark, sf, kept)
     same = ad.table(spark, sf, "conversations").agg(F.lit("dataset-1").alias("dataset_uuid"))
-    out, _ = rg.import_registry(_other_registry(spark, sf), side, entries_uuid=same, entry_uuids=_uuids(spark, sf))
+    out, _ = rg.import_registry(_other_registry(spark, sf, kept), side, entries_uuid=same, entry_uuids=_uuids(spark, sf))
     rows = None
     out["aliases"] = out["lifecycle"].where(F.col("action").isin("rename", "merge"))
     for name in ("categories", "tags", "aliases", "characters", "system_prompts", "mappings"):

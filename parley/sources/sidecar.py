@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.entries import once
+from ..session import cut_lineage
 
 # --- fixed values: document header ---------------------------------------------
 KIND = "dataset_registry"
@@ -166,6 +167,16 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return parse_sidecars(docs)
 
 
+def read_frames(spark: SparkSession, path: str) -> dict:
+    """``sidecar_frames`` of the documents under a path, each written once as rows.
+
+    A document is one row, so that one task parses and checks it; it does so once,
+    not again for each later use of a frame.
+    """
+    parsed = cut_lineage(read_sidecars(spark, path))
+    return {k: cut_lineage(v) for k, v in sidecar_frames(parsed).items()}
+
+
 LINES = "section int, key string, value string"
 USAGE, FIRST_LIST = 1, 3
 
@@ -201,6 +212,7 @@ def sidecar_lines(dataset: DataFrame, frames: dict, usage: DataFrame, *, exporte
         F.lit(FIRST_LIST + 2 * len(ITEM_RULES)).alias("section"), F.col("entry_uuid").alias("key"), F.to_json(F.struct("entry_uuid", "turns"), null).alias("value")
     )
     items = items.unionByName(mapped).withColumn("key", F.coalesce("key", F.lit(""))).dropDuplicates(["section", "key", "value"])
+    items = cut_lineage(items)  # read twice below
     # all but the first of a list follow a comma
     first = items.groupBy("section").agg(F.min(F.struct("key", "value")).alias("_first"))
     marked = items.join(F.broadcast(first), "section")  # one row a list

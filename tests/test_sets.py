@@ -342,6 +342,21 @@ def test_one_hot_set_is_one_row(spark):
     assert tuple(nd.near_duplicate_summary(groups, similar).first()) == (2000 * 1999 // 2, 2000)
 
 
+def test_a_sidecar_is_parsed_once(spark, sf_dir, monkeypatch):
+    """Later uses of its frames and of the registry read rows, not the document or the table of turns."""
+    from parley.plans import adapters as ad
+    from parley.plans import catalog_files as cf
+
+    reads, table = [], ad.table
+    monkeypatch.setattr(ad, "table", lambda s, d, name: reads.append(name) or table(s, d, name))
+    kept = cf._written_registry(spark, sf_dir)
+    n = len(reads)
+    side = cf._written_sidecar(spark, sf_dir, kept)
+    assert set(reads[n:]) == {"conversations", "part"} and reads[n:].count("part") == 2  # tags of the entries alone
+    for frame in (*side.values(), *kept.values()):
+        assert frame.inputFiles() and all(f.endswith(".parquet") for f in frame.inputFiles())
+
+
 def test_near_duplicates_read_written_words(spark):
     """Texts are read once for sets, pairs and entries; only numbers of signatures and words of candidates move."""
     from pyspark.sql.types import LongType
