@@ -390,7 +390,8 @@ def import_registry_rows(spark, sf):
 def _finalized(spark, sf):
     """The dirty, tagged and identified entries, finalized with the sidecar of their own dataset."""
     rows = ad.with_uuids(ad.with_part_tags(ad.entries_dirty(spark, sf), spark, sf))
-    return load.finalize_load(rows, registry(spark, sf), _written_sidecar(spark, sf))
+    kept = _written_registry(spark, sf)
+    return load.finalize_load(rows, kept, _written_sidecar(spark, sf, kept))
 
 
 @query("finalize_entries", sql(
