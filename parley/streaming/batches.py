@@ -36,8 +36,8 @@ def stream_lines(spark: SparkSession, path: str, *, files_per_batch: int | None
 
 def batch_records(lines: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     """``(records, errors)`` of one micro-batch: ``source, line, entry_index, record`` and ``source, line, error``."""
-    raw = cut_lineage(lines.withColumn("mid", F.monotonically_increasing_id()))
-    parsed = files.parse_lines(files.number_lines(raw))
+    raw = lines.withColumn("mid", F.monotonically_increasing_id())
+    parsed = cut_lineage(files.parse_lines(files.number_lines(raw)))  # parsed once for rows and errors
     records = files.index_records(parsed).withColumn("entry_index", F.col("entry_index") + F.lit(number * PER_BATCH))
     return records, parsed.where(F.col("error").isNotNull()).select("source", "line", "error")
 

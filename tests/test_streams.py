@@ -144,3 +144,11 @@ def test_a_stream_walks_the_registry_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tg, "alias_targets", lambda *a: walks.append(1) or walk(*a))
     cf.stream_registry(spark, sf_dir).collect()
     assert len(walks) == 1
+
+
+def test_a_batch_is_parsed_once(spark, folder):
+    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), "value")
+    records, errors = sb.batch_records(lines, 1)
+    assert (records.count(), errors.count()) == (11, 2)
+    for frame in (records, errors):
+        assert "parse_json" not in frame._jdf.queryExecution().toString()
