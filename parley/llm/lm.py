@@ -41,8 +41,8 @@ from ..session import cut_lineage
 from .common import remainder
 from .words import mix, slices, words
 
-HEADS = 191  # words with a class of their own
-TAILS = 64  # classes of all other words
+HEADS = 31  # words with a class of their own
+TAILS = 32  # classes of all other words
 CLASSES = HEADS + 1 + TAILS
 END = HEADS
 CONTEXT = 3
@@ -53,10 +53,13 @@ RATE = 0.15
 FREQUENT = 1 << 17
 SLOTS = 1 << 20
 GATHER = 3_000_000
-GROUP = 16  # words of a class that share a softmax
+GROUP = 64  # words of a class that share a softmax
 CHUNK = 1 << 17  # tokens between two updates of word vectors
 STEP = 1024  # tokens of one softmax between two updates
-FEW = 12  # tokens of one softmax at most that are taken together with those of others
+FEW = 256  # tokens of one softmax at most that are taken together with those of others
+STACK = 4096  # tokens that are taken together
+SAFE = 60  # scores up to this, and chosen ones down to minus this, need no shift before exp
+WIDE = 512  # tokens scored at once over all classes
 BLOCK = 256  # table rows sent together
 END_HASH = mix(np.array([0xE0D], np.uint64))[0]
 
@@ -71,13 +74,20 @@ def _tail(w, start, end) -> np.ndarray:
 COUNTS = "h long, tail int, c long"
 
 
+def _alike(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, and where each begins in it."""
+    order = np.argsort(h)
+    value = h[order]
+    return order, np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(h) else np.zeros(0, np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]):
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def reduce():
         h, t, c = (np.concatenate(x) for x in zip(*held))
-        value, first, back = np.unique(h, return_index=True, return_inverse=True)
-        return value, t[first], np.bincount(back, c).astype(np.int64)
+        order, head = _alike(h)
+        return h[order[head]], t[order[head]], np.add.reduceat(c[order], head)
 
     def batch(h, t, c):
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.astype(np.int32)), pa.array(c)], ["h", "tail", "c"])
@@ -85,7 +95,9 @@ def _count(batches: Iterator[pa.RecordBatch]):
     size = 0
     for b in slices(batches, "text"):
         w = words(b.column("text"))
-        value, first, times = np.unique(w.hash, return_index=True, return_counts=True)
+        order, head = _alike(w.hash)
+        first, times = order[head], np.diff(np.append(head, len(order)))
+        value = w.hash[first]
         held.append((value, _tail(w, w.start[first], w.end[first]), times))
         held.append((np.array([END_HASH]), np.zeros(1, np.int64), np.array([b.num_rows])))
         size += len(value)
@@ -219,79 +231,87 @@ class Model:
     def out(self) -> np.ndarray:
         return self.w[CONTEXT * (CLASSES + 1) :][:CLASSES]
 
-    def predict(self, ctx: np.ndarray) -> np.ndarray:
-        q = self.w[ctx[:, 0], :DIM]
+    def classes(self, ctx: np.ndarray) -> np.ndarray:
+        """What the classes of the contexts predict, and a zero for the bias."""
+        q = np.take(self.w, ctx[:, 0], axis=0)
         for i in range(1, CONTEXT):
-            q = q + self.w[ctx[:, i], :DIM]
+            q += np.take(self.w, ctx[:, i], axis=0)
         return q
 
-    def inputs(self, past: np.ndarray) -> np.ndarray:
-        """What the words of a context add to ``predict``."""
-        q = np.zeros((len(past), DIM), np.float32)
-        for i in range(CONTEXT):
-            known = np.flatnonzero(past[:, i] < self.words)
-            q[known] += self.x[past[known, i], :DIM] * self.x[self.positions + i, :DIM]
+    def predict(self, ctx: np.ndarray) -> np.ndarray:
+        return self.classes(ctx)[:, :DIM]
+
+    def inputs(self, own: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """What the words before each token add to ``predict``; each word's vector is read once."""
+        q = np.zeros((len(own), DIM), np.float32)
+        for s in range(0, len(own), BATCH):
+            a, e = max(0, s - CONTEXT), min(s + BATCH, len(own))
+            each = self.x[own[a:e], :DIM]
+            for i in range(CONTEXT):
+                b = max(s, i + 1)
+                past = each[b - i - 1 - a : e - i - 1 - a] * self.x[self.positions + i, :DIM]
+                past[since[b:e] <= i] = 0  # of another text
+                q[b:e] += past
         return q
 
 
 def _stream(w, cls: np.ndarray, word: np.ndarray, none: int):
-    """(contexts as table rows, targets, context words, target words) of all tokens, the end tokens included."""
+    """(contexts as table rows, targets, words, places in the text) of all tokens, the end tokens included."""
     target, own = np.insert(cls, w.first[1:], END), np.insert(word, w.first[1:], none)
     begin = w.first[:-1] + np.arange(len(w.first) - 1)
     since = np.arange(len(target)) - np.repeat(begin, np.diff(np.append(begin, len(target))))
-    ctx, read = np.empty((2, len(target), CONTEXT), np.int64)
+    ctx = np.empty((len(target), CONTEXT), np.int64)
     for i in range(CONTEXT):
         past = np.full(len(target), CLASSES)
         past[i + 1 :] = target[: len(target) - i - 1]
         past[since <= i] = CLASSES
         ctx[:, i] = past + i * (CLASSES + 1)
-        before = np.full(len(target), none)
-        before[i + 1 :] = own[: len(target) - i - 1]
-        before[since <= i] = none
-        read[:, i] = before
-    return ctx, target, read, own
+    return ctx, target, own, since
 
 
-def descend(model: Model, ctx: np.ndarray, target: np.ndarray, squares: np.ndarray, rng, extra: np.ndarray | None = None) -> np.ndarray:
+def descend(
+    model: Model, ctx: np.ndarray, target: np.ndarray, squares: np.ndarray, rng, extra: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """One pass of noise-contrastive estimation, in place, with adaptive rates.
 
-    ``extra`` is added to the predictions; the result is the gradient of these.
+    ``extra`` is added to the predictions; the result is these and their gradient.
     """
-    moves = np.empty((len(target), DIM), np.float32)
+    asked, moves = np.empty((2, len(target), DIM), np.float32)
     base = CONTEXT * (CLASSES + 1)
     w, ln_kp = model.w, np.log(NOISE * model.noise).astype(np.float32)
     cum = np.cumsum(model.noise)
+    cells = np.arange(DIM + 1)
     for s in range(0, len(target), BATCH):
         c, t = ctx[s : s + BATCH], target[s : s + BATCH]
-        q = model.predict(c)
+        q1 = model.classes(c)
         if extra is not None:
-            q = q + extra[s : s + BATCH]
+            q1[:, :DIM] += extra[s : s + BATCH]
+        q1[:, DIM] = 1
+        asked[s : s + BATCH] = q1[:, :DIM]
         noise = np.minimum(np.searchsorted(cum, rng.random(NOISE)), CLASSES - 1)
-        vt, vn = w[base + t], w[base + noise]
-        pos = (q * vt[:, :DIM]).sum(1) + vt[:, DIM] - ln_kp[t]
-        neg = q @ vn[:, :DIM].T + vn[:, DIM] - ln_kp[noise]
+        vt, vn = np.take(w, base + t, axis=0), w[base + noise]
+        pos = np.einsum("nd,nd->n", q1, vt) - ln_kp[t]
+        gn = q1 @ vn.T
+        gn -= ln_kp[noise]
         gp = 1 / (1 + np.exp(np.clip(pos, -30, 30)))  # towards the data
-        gn = -1 / (1 + np.exp(np.clip(-neg, -30, 30)))  # away from the noise
-        dq = gp[:, None] * vt[:, :DIM] + gn @ vn[:, :DIM]
-        moves[s : s + BATCH] = dq
-        q1 = np.concatenate([q, np.ones((len(q), 1), np.float32)], 1)
+        np.exp(np.clip(np.negative(gn, out=gn), -30, 30, out=gn), out=gn)
+        gn += 1
+        np.divide(-1, gn, out=gn)  # away from the noise
+        dq = gn @ vn
+        dq += gp[:, None] * vt
+        dq[:, DIM] = 0
+        moves[s : s + BATCH] = dq[:, :DIM]
         grad = np.zeros_like(w)
-        dv = gp[:, None] * q1
-        cells = np.arange(DIM + 1)
-        out = np.bincount((t[:, None] * (DIM + 1) + cells).ravel(), dv.ravel(), CLASSES * (DIM + 1))
-        grad[base : base + CLASSES] = out.reshape(CLASSES, DIM + 1)
         np.add.at(grad, base + noise, gn.T @ q1)
-        cells = np.arange(DIM)
+        q1 *= gp[:, None]
+        flat = grad.reshape(-1)
+        np.add.at(flat, ((base + t)[:, None] * (DIM + 1) + cells).ravel(), q1.ravel())
         for i in range(CONTEXT):
-            own = c[:, i] - i * (CLASSES + 1)
-            add = np.bincount((own[:, None] * DIM + cells).ravel(), dq.ravel(), (CLASSES + 1) * DIM)
-            grad[i * (CLASSES + 1) : (i + 1) * (CLASSES + 1), :DIM] = add.reshape(CLASSES + 1, DIM)
+            np.add.at(flat, (c[:, i, None] * (DIM + 1) + cells).ravel(), dq.ravel())
         grad /= len(t)
         squares += grad * grad
         w += RATE * grad / (np.sqrt(squares) + 1e-4)
-
-
-    return moves
+    return asked, moves
 
 
 class Gains:
@@ -302,69 +322,87 @@ class Gains:
         self.moved = np.zeros((len(model.x), 2), np.float32)
 
 
-def _choose(model: Model, q, first, last, pick, gains: Gains | None):
-    """Log-probability of row ``pick`` among the rows from ``first`` to ``last``, and the gradient of ``q``.
+def _softmax(z: np.ndarray, own: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """``exp(z)`` in place, its sums along ``axis``, and the log-probabilities of what scores ``own``."""
+    if len(own) and (z.max() > SAFE or own.min() < -SAFE):
+        top = z.max(axis, keepdims=True)
+        z -= top
+        own = own - top.ravel()
+    np.exp(z, out=z)
+    total = z.sum(axis, keepdims=True)
+    return total, own - np.log(total.ravel())
 
-    Tokens that choose among the same rows are taken together; with ``gains`` the rows move.
+
+def _choose(model: Model, q, tokens, key, bounds, pick, gains: Gains | None, lp, dq) -> None:
+    """Adds for ``tokens`` the log-probability of row ``pick`` among those from ``bounds[key]`` to ``bounds[key + 1]``.
+
+    Tokens that choose among the same rows are taken together, few of them with
+    those of others as one stack of products; with ``gains`` the rows move and
+    the gradient of ``q`` is added to ``dq``.
     """
-    lp, dq = np.zeros(len(pick)), np.zeros_like(q)
-    order = np.argsort(first, kind="stable")
-    order = order[(last - first)[order] > 1]
-    head = np.diff(first[order], prepend=-1) != 0
-    if gains is not None:
-        since = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-        head |= since % STEP == 0
-    cuts = np.append(np.flatnonzero(head), len(order))
-    q1 = np.concatenate([q[order], np.ones((len(order), 1), np.float32)], 1)
-    pick = pick[order]
-    won, slope = np.zeros(len(order)), np.zeros((len(order), DIM), np.float32)
-    sizes, starts, ends = np.diff(cuts), first[order[cuts[:-1]]], last[order[cuts[:-1]]]
-    few = (sizes <= FEW) & (ends - starts <= GROUP)
-    if gains is not None:  # one update a row at a time
-        few &= (np.diff(starts, prepend=-1) != 0) & (np.diff(starts, append=-1) != 0)
+    width = np.diff(bounds)
+    order = np.argsort(key.astype(np.min_scalar_type(len(bounds))), kind="stable")
+    each = np.bincount(key, minlength=len(width))
+    if (each[width < 2] > 0).any():  # one row is certain
+        order, each = order[width[key[order]] > 1], np.where(width > 1, each, 0)
+    pieces = -(-each // STEP)
+    kind = np.repeat(np.arange(len(width)), pieces)
+    nth = np.arange(len(kind)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    cuts = np.append((np.cumsum(each) - each)[kind] + nth * STEP, len(order))
+    sizes, starts, ends = np.diff(cuts), bounds[kind], bounds[kind + 1]
+    tokens, pick = tokens[order], pick[order] - np.repeat(starts, sizes)
+    q1 = np.ones((len(order), DIM + 1), np.float32)
+    q1[:, :DIM] = np.take(q, tokens, axis=0)
+    won, slope = np.zeros(len(order)), None if gains is None else np.empty((len(order), DIM), np.float32)
+    few = (sizes <= FEW) & (ends - starts <= GROUP) & (pieces[kind] == 1)  # one update a row at a time
     small = np.flatnonzero(few)
-    for s in range(0, len(small), 512):
-        at = small[s : s + 512]
-        n = sizes[at]
-        heads = np.cumsum(n) - n
-        each = np.repeat(np.arange(len(at)), n)
-        token = np.arange(len(each)) + np.repeat(cuts[at] - heads, n)
+    small = small[np.argsort(sizes[small], kind="stable")]
+    s = 0
+    while s < len(small):  # softmaxes of about as many tokens, the fewer filled up with zeros
+        least = int(sizes[small[s]])
+        same = int(np.searchsorted(sizes[small], least + least // 8, "right"))
+        at = small[s : min(same, s + max(1, min(512, STACK // least)))]
+        s += len(at)
+        place = np.arange(sizes[at[-1]])
+        real = place < sizes[at][:, None]
+        token = np.minimum(cuts[at][:, None] + place, len(order) - 1)
+        mine = np.take(q1, token, axis=0)
+        mine[~real] = 0
         cell = starts[at][:, None] + np.arange(GROUP)
-        cell = np.where(cell < ends[at][:, None], cell, model.none)
+        beyond = cell >= ends[at][:, None]
+        cell[beyond] = model.none
         rows = model.x[cell, DIM:]
-        own, q = rows[each], q1[token]
-        z = np.matmul(own, q[:, :, None])[:, :, 0]
-        z[(cell == model.none)[each]] = -np.inf
-        z -= z.max(1, keepdims=True)
-        chosen = np.arange(len(each)), pick[token] - starts[at][each]
-        top = z[chosen]
-        np.exp(z, out=z)
-        total = z.sum(1, keepdims=True)
-        won[token] = top - np.log(total[:, 0])
+        rows[beyond] = 0
+        rows[beyond, DIM] = -1e30
+        z = np.matmul(mine, rows.transpose(0, 2, 1))
+        flat = z.reshape(-1, GROUP)
+        chosen = np.arange(len(flat)), np.where(real, pick[token], 0).ravel()
+        total, value = _softmax(flat, flat[chosen], 1)
+        real, token = real.ravel(), token.ravel()
+        won[token[real]] = value[real]
         if gains is not None:
-            z /= -total
-            z[chosen] += 1
-            slope[token] = np.matmul(z[:, None], own[:, :, :DIM])[:, 0]
-            grad = np.add.reduceat(z[:, :, None] * q[:, None], heads)
+            flat /= -total
+            flat[chosen] += 1
+            slope[token[real]] = np.matmul(z, rows[:, :, :DIM]).reshape(-1, DIM)[real]
+            grad = np.matmul(z.transpose(0, 2, 1), mine)
             squares = gains.squares[cell, DIM:] + grad * grad
             gains.squares[cell, DIM:] = squares
-            model.x[cell, DIM:] = rows + RATE * grad / np.sqrt(squares)
-            gains.moved[cell, 1] += n[:, None]
-            gains.moved[model.none] = 0
+            grad *= RATE
+            grad /= np.sqrt(squares, out=squares)
+            grad += rows
+            model.x[cell, DIM:] = grad
+            gains.moved[cell, 1] += sizes[at][:, None]
+            model.x[model.none], gains.moved[model.none] = 0, 0
     for k in np.flatnonzero(~few):
         i, j, a, b = cuts[k], cuts[k + 1], starts[k], ends[k]
         rows = model.x[a:b, DIM:]
         z = q1[i:j] @ rows.T
-        z -= z.max(1, keepdims=True)
-        cell = np.arange(j - i), pick[i:j] - a
-        own = z[cell]
-        np.exp(z, out=z)
-        total = z.sum(1, keepdims=True)
-        won[i:j] = own - np.log(total[:, 0])
+        cell = np.arange(j - i), pick[i:j]
+        total, won[i:j] = _softmax(z, z[cell], 1)
         if gains is not None:
             z /= -total
             z[cell] += 1
-            slope[i:j] = z @ rows[:, :DIM]
+            np.matmul(z, rows[:, :DIM], out=slope[i:j])
             grad = z.T @ q1[i:j]
             squares = gains.squares[a:b, DIM:]
             squares += grad * grad
@@ -372,51 +410,59 @@ def _choose(model: Model, q, first, last, pick, gains: Gains | None):
             grad /= np.sqrt(squares)
             rows += grad
             gains.moved[a:b, 1] += j - i
-    lp[order], dq[order] = won, slope
-    return lp, dq
+    lp[tokens] += won
+    if gains is not None:
+        dq[tokens] += slope
 
 
 def lower(model: Model, vocab: Vocabulary, q, target, own, gains: Gains | None = None):
-    """Log-probabilities of all tokens' groups and words given their classes, and the gradient of ``q``."""
-    lp, dq = np.zeros(len(target)), np.zeros_like(q)
+    """Log-probabilities of all tokens' groups and words given their classes; with ``gains`` the gradient of ``q``."""
+    lp, dq = np.zeros(len(target)), None if gains is None else np.zeros_like(q)
     tail = np.flatnonzero(target > END)
-    kind, word, q = target[tail] - END - 1, own[tail], q[tail]
+    kind, word = target[tail] - END - 1, own[tail]
     known = np.flatnonzero(word < model.words)
     group = vocab.first_group[kind + 1] - 1
     group[known] = vocab.group[word[known]]
-    lp[tail], dq[tail] = _choose(model, q, model.words + vocab.first_group[kind], model.words + vocab.first_group[kind + 1], model.words + group, gains)
-    more, dmore = _choose(model, q[known], vocab.first_word[group[known]], vocab.first_word[group[known] + 1], word[known], gains)
-    lp[tail[known]] += more
-    dq[tail[known]] += dmore
+    _choose(model, q, tail, kind, model.words + vocab.first_group, model.words + group, gains, lp, dq)
+    _choose(model, q, tail[known], group[known], vocab.first_word, word[known], gains, lp, dq)
     return lp, dq
 
 
-def learn(model: Model, vocab: Vocabulary, ctx, target, read, own, squares: np.ndarray, gains: Gains, rng) -> None:
+def learn(model: Model, vocab: Vocabulary, ctx, target, own, since, squares: np.ndarray, gains: Gains, rng) -> None:
     """One pass over the tokens, in place: classes, groups and words, then the words of the contexts."""
-    for s in range(0, len(target), CHUNK):
-        c, t, r, o = ctx[s : s + CHUNK], target[s : s + CHUNK], read[s : s + CHUNK], own[s : s + CHUNK]
-        extra = model.inputs(r)
-        _, dq = lower(model, vocab, model.predict(c) + extra, t, o, gains)
-        dq += descend(model, c, t, squares, rng, extra)
-        place = model.x[model.positions : model.none, :DIM]
-        flat = r.T.ravel()
-        seen = np.flatnonzero(flat < model.words)
-        if not len(seen):
+    parts = -(-len(target) // CHUNK)
+    for p in range(parts):
+        s, e = len(target) * p // parts, len(target) * (p + 1) // parts
+        a = max(0, s - CONTEXT)  # words before the part are read too
+        c, t, o = ctx[s:e], target[s:e], own[a:e]
+        extra = model.inputs(o, since[a:e])[s - a :]
+        q, dq = descend(model, c, t, squares, rng, extra)
+        dq += lower(model, vocab, q, t, own[s:e], gains)[1]
+        place, turn = model.x[model.positions : model.none, :DIM], np.zeros((CONTEXT, DIM), np.float32)
+        grad, times = np.zeros((e - a, DIM), np.float32), np.zeros(e - a, np.int64)
+        for b in range(s, e, BATCH):
+            f, z = max(a, b - CONTEXT), min(b + BATCH, e)
+            each = model.x[own[f:z], :DIM]
+            for i in range(CONTEXT):
+                k = max(b, i + 1)
+                read, past = dq[k - s : z - s].copy(), slice(k - i - 1 - a, z - i - 1 - a)
+                apart = since[k:z] <= i
+                read[apart] = 0
+                turn[i] += np.einsum("nd,nd->d", read, each[k - i - 1 - f : z - i - 1 - f])
+                read *= place[i]
+                grad[past] += read
+                times[past] += ~apart
+        known = np.flatnonzero(o < model.words)
+        if not len(known):
             continue
-        order = seen[np.argsort(flat[seen], kind="stable")]
-        rows, token, i = flat[order], order % len(t), order // len(t)
-        head = np.flatnonzero(np.diff(rows, prepend=-1))
-        grad = np.add.reduceat(dq[token] * place[i], head)
-        turn = np.zeros((CONTEXT, DIM), np.float32)
-        for k in range(CONTEXT):
-            known = np.flatnonzero(r[:, k] < model.words)
-            turn[k] = np.einsum("nd,nd->d", dq[known], model.x[r[known, k], :DIM])
-        ids = rows[head]
-        for where, g in ((ids, grad), (np.arange(model.positions, model.none), turn)):
+        order = known[np.argsort(o[known], kind="stable")]
+        head = np.flatnonzero(np.diff(o[order], prepend=-1))
+        ids = o[order[head]]
+        for where, g in ((ids, np.add.reduceat(grad[order], head)), (np.arange(model.positions, model.none), turn)):
             sq = gains.squares[where, :DIM] + g * g
             gains.squares[where, :DIM] = sq
             model.x[where, :DIM] += RATE * g / np.sqrt(sq)
-        gains.moved[ids, 0] += np.diff(np.append(head, len(rows)))
+        gains.moved[ids, 0] += np.add.reduceat(times[order], head)
         gains.moved[model.positions : model.none, 0] += len(t)
 
 
@@ -438,8 +484,8 @@ def _train(batches, vocab: Vocabulary):
     for b in slices(batches, "text"):
         w = words(b.column("text"))
         _, cls, word = vocab.classes(w)
-        ctx, target, read, own = _stream(w, cls, np.where(word < model.words, word, model.none), model.none)
-        learn(model, vocab, ctx, target, read, own, squares, gains, rng)
+        ctx, target, own, since = _stream(w, cls, np.where(word < model.words, word, model.none), model.none)
+        learn(model, vocab, ctx, target, own, since, squares, gains, rng)
         n += len(target)
     if n:
         rows = [*_packed(model.w, np.full((Model.ROWS, 2), n, np.float32), -1), *_packed(model.x, gains.moved, 1)]
@@ -487,7 +533,7 @@ SCORED = "_row long, doc_id {}, held_out boolean, n_tokens long, known long, bas
 def _score(batches, vocab: Vocabulary, weights: tuple[np.ndarray, np.ndarray]):
     model = Model(vocab)
     model.w, model.x = weights
-    vectors, bias = np.ascontiguousarray(model.out[:, :DIM].T), model.out[:, DIM]
+    vectors, bias = np.ascontiguousarray(model.out[:, :DIM]), model.out[:, DIM:].copy()
     unit = np.log10(vocab.total + vocab.kinds + 1)
     for b in slices(batches, "text"):
         w = words(b.column("text"))
@@ -495,16 +541,13 @@ def _score(batches, vocab: Vocabulary, weights: tuple[np.ndarray, np.ndarray]):
         hit = slot >= 0
         docs = b.num_rows
         doc = np.repeat(np.arange(docs), np.diff(w.first))
-        ctx, target, read, own = _stream(w, cls, np.where(word < model.words, word, model.none), model.none)
-        q = model.predict(ctx) + model.inputs(read)
+        ctx, target, own, since = _stream(w, cls, np.where(word < model.words, word, model.none), model.none)
+        q = model.predict(ctx) + model.inputs(own, since)
         lp = np.empty(len(target))
-        for s in range(0, len(target), BATCH):
-            z = q[s : s + BATCH] @ vectors + bias
-            top = z.max(1)
-            z -= top[:, None]
-            at = z[np.arange(len(z)), target[s : s + BATCH]].astype(float)
-            np.exp(z, out=z)
-            lp[s : s + BATCH] = at - np.log(z.sum(1, dtype=np.float64))
+        for s in range(0, len(target), WIDE):  # a class a row: sums run over tokens side by side
+            z = vectors @ q[s : s + WIDE].T
+            z += bias
+            lp[s : s + WIDE] = _softmax(z, z[target[s : s + WIDE], np.arange(z.shape[1])], 0)[1]
         lp += lower(model, vocab, q, target, own)[0]
         whose = np.repeat(np.arange(docs), np.diff(w.first) + 1)
         n = np.diff(w.first) + 1

@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -121,3 +122,98 @@ def test_words_of_one_slot_keep_their_vectors():
     assert (slot >= 0).all() and len(set(slot.tolist())) == len(h) and (v.key[slot] == h).all()
     assert np.allclose(v.count[slot], np.log10(c + 1)) and len(v.group) == len(h) - 1 - lm.HEADS
     assert (v.find(rng.integers(1, 2**63, 20_000).astype(np.uint64) & np.uint64((1 << 50) - 1)) < 0).mean() > 0.99
+
+
+def _tree(seed, words=3000):
+    """A vocabulary without texts, its model with vectors of some size, and the kind of every word's class."""
+    rng = np.random.default_rng(seed)
+    h = np.append(rng.integers(1, 2**63, words).astype(np.uint64), lm.END_HASH)
+    tail, c = rng.integers(0, lm.TAILS, words + 1), rng.integers(1, 500, words + 1)
+    v = lm.Vocabulary(h, tail, c, np.bincount(tail[:-1], c[:-1] + 1, lm.TAILS), int(c.sum()), words + 1)
+    model = lm.Model(v)
+    model.x[: model.none] += rng.normal(0, 0.3, model.x[: model.none].shape).astype(np.float32)
+    return rng, v, model, np.searchsorted(v.first_group, v.group, "right") - 1
+
+
+def test_words_of_many_groups_are_taken_together():
+    """50,000 tokens over 20,000 words: what is called follows the tokens, not the groups they fall into."""
+    rng, v, model, kind = _tree(7, 20_000)
+    own = rng.integers(0, model.words, 50_000)
+    q = rng.normal(0, 1, (len(own), lm.DIM)).astype(np.float32)
+    for gains in (None, lm.Gains(model)):
+        calls = []
+        sys.setprofile(lambda frame, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+        try:
+            lm.lower(model, v, q, lm.END + 1 + kind[own], own, gains)
+        finally:
+            sys.setprofile(None)
+        assert len(calls) < 6000
+
+
+def test_softmaxes_taken_together_are_those_of_each_token():
+    """Groups with one token, a few, and more than are taken together; words without vectors; scores that need a shift."""
+    rng, v, model, kind = _tree(8)
+    model.x[: model.words : 7, -1] += 200
+    own = np.concatenate([rng.integers(0, model.words, 700), np.full(lm.FEW + 40, 5), rng.integers(0, 40, 300), np.full(20, model.none)])
+    kinds = np.append(kind, 0)[np.minimum(own, model.words)]
+    kinds[-20:] = rng.integers(0, lm.TAILS, 20)
+    q = rng.normal(0, 1, (len(own), lm.DIM)).astype(np.float32)
+    q1, x = np.append(q, np.ones((len(q), 1)), 1), model.x[:, lm.DIM :].astype(float)
+    lp, slope, grad = np.zeros(len(own)), np.zeros((len(own), lm.DIM)), np.zeros_like(x)
+    for i, k in enumerate(kinds):
+        last = v.first_group[k + 1] - 1
+        group = v.group[own[i]] if own[i] < model.words else last
+        steps = [(v.first_group[k] + model.words, last + 1 + model.words, group + model.words)]
+        if own[i] < model.words:
+            steps.append((v.first_word[group], v.first_word[group + 1], own[i]))
+        for a, b, pick in steps:
+            z = x[a:b] @ q1[i]
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            lp[i] += z[pick - a] - z.max() - np.log(np.exp(z - z.max()).sum())
+            push = -p
+            push[pick - a] += 1
+            slope[i] += push @ x[a:b, : lm.DIM]
+            grad[a:b] += push[:, None] * q1[i]
+    assert np.allclose(lm.lower(model, v, q, lm.END + 1 + kinds, own)[0], lp, atol=1e-3)
+    got, dq = lm.lower(model, v, q, lm.END + 1 + kinds, own, lm.Gains(model))
+    assert np.allclose(got, lp, atol=1e-3) and np.allclose(dq, slope, atol=1e-3)
+    assert np.allclose(model.x[:, lm.DIM :], x + lm.RATE * grad / np.sqrt(1 + grad**2), atol=1e-3)
+    assert not model.x[model.none].any()
+
+
+def test_words_of_contexts_are_read_and_moved_inside_their_text(monkeypatch):
+    """Texts of 0 to 40 words in parts of 50 tokens and batches of 16, against a loop over tokens and positions."""
+    monkeypatch.setattr(lm, "CHUNK", 50)
+    monkeypatch.setattr(lm, "BATCH", 16)
+    rng, v, model, kind = _tree(9)
+    sizes = rng.integers(0, 41, 12) * (np.arange(12) != 4)
+    own = np.concatenate([np.append(rng.integers(0, 60, n), model.none) for n in sizes])
+    target = np.where(own < model.words, lm.END + 1 + np.append(kind, 0)[np.minimum(own, model.words)], lm.END)
+    since = np.concatenate([np.arange(n + 1) for n in sizes])
+    past = [np.where(since > i, np.roll(target, i + 1), lm.CLASSES) + i * (lm.CLASSES + 1) for i in range(lm.CONTEXT)]
+    ctx = np.stack(past, 1)
+    other, copies = lm.Model(v), [lm.Gains(model) for _ in range(2)]
+    other.w, other.x = model.w.copy(), model.x.copy()
+    squares = [np.zeros_like(model.w) for _ in range(2)]
+    lm.learn(model, v, ctx, target, own, since, squares[0], copies[0], np.random.default_rng(1))
+    draws, parts = np.random.default_rng(1), -(-len(own) // 50)
+    for p in range(parts):
+        s, e = len(own) * p // parts, len(own) * (p + 1) // parts
+        pairs = [(t, i, own[t - i - 1]) for t in range(s, e) for i in range(lm.CONTEXT) if since[t] > i and own[t - i - 1] < model.words]
+        extra, x = np.zeros((e - s, lm.DIM), np.float32), other.x[:, : lm.DIM].copy()
+        for t, i, word in pairs:
+            extra[t - s] += x[word] * x[other.positions + i]
+        assert np.allclose(other.inputs(own, since)[s:e], extra, atol=1e-4)
+        q, dq = lm.descend(other, ctx[s:e], target[s:e], squares[1], draws, extra)
+        dq = dq + lm.lower(other, v, q, target[s:e], own[s:e], copies[1])[1]
+        grad = np.zeros_like(x)
+        for t, i, word in pairs:
+            grad[word] += dq[t - s] * x[other.positions + i]
+            grad[other.positions + i] += dq[t - s] * x[word]
+            copies[1].moved[word, 0] += 1
+        copies[1].moved[other.positions : other.none, 0] += e - s
+        copies[1].squares[:, : lm.DIM] += grad * grad
+        other.x[:, : lm.DIM] += lm.RATE * grad / np.sqrt(copies[1].squares[:, : lm.DIM])
+    assert parts > 3 and np.allclose(model.x, other.x, atol=1e-3) and np.allclose(model.w, other.w, atol=1e-3)
+    assert np.array_equal(copies[0].moved, copies[1].moved)
